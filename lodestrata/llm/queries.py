@@ -15,15 +15,31 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .records import read_records, write_records
+
+    manifest = write_records(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0)
+    return read_records(spark, manifest)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import count_tokens
 
     return count_tokens(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    docs = mix_sources(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)["documents"]
+    return docs.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
     return {
+        "op5_token_records": op5_token_records,
         "op7_token_counts": op7_token_counts,
+        "op9_mix_sources": op9_mix_sources,
     }
 
 
