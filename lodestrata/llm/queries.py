@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,14 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    hits = find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10)
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
+    return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .records import read_records, write_records
 
@@ -37,6 +46,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_decontaminate": op3_decontaminate,
         "op5_token_records": op5_token_records,
         "op7_token_counts": op7_token_counts,
         "op9_mix_sources": op9_mix_sources,
