@@ -31,12 +31,24 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, manifest)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import count_tokens
 
     return count_tokens(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict_languages
+
+    return predict_languages(_read(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -48,7 +60,9 @@ def queries() -> dict:
     return {
         "op3_decontaminate": op3_decontaminate,
         "op5_token_records": op5_token_records,
+        "op6_quality": op6_quality,
         "op7_token_counts": op7_token_counts,
+        "op8_language": op8_language,
         "op9_mix_sources": op9_mix_sources,
     }
 
