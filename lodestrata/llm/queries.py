@@ -56,6 +56,13 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import dedup_substrings
+
+    out = dedup_substrings(_read(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {
         "op3_decontaminate": op3_decontaminate,
@@ -64,6 +71,7 @@ def queries() -> dict:
         "op7_token_counts": op7_token_counts,
         "op8_language": op8_language,
         "op9_mix_sources": op9_mix_sources,
+        "op10_substrings": op10_substrings,
     }
 
 
