@@ -16,6 +16,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bagminhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), threshold=0.8)["documents"]
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks
 
@@ -65,6 +71,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_minhash": op2_minhash,
         "op3_decontaminate": op3_decontaminate,
         "op5_token_records": op5_token_records,
         "op6_quality": op6_quality,
