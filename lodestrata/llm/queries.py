@@ -16,6 +16,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hnsw import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.95)["vectors"]
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bagminhash import near_duplicates
 
@@ -71,6 +77,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_near_vectors": op1_near_vectors,
         "op2_minhash": op2_minhash,
         "op3_decontaminate": op3_decontaminate,
         "op5_token_records": op5_token_records,
