@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import materialize, tune
 
 #: Bytes to bytes: A-Z lowered, whatever is no word byte to a space. Bytes over 127 belong to words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -136,6 +136,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_by
     return merged.withColumn("_n", F.explode(F.expr("sequence(1L, rows)"))).select(id_col, "n_words", "runs", "spans", "items")
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The rows of docs that no window of the benchmark occurs in, with the columns they had.
+
+    A benchmark of several blocks is applied block by block, each result written before the next."""
+    spark = docs.sparkSession
+    tune(spark)
+    b = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    blocks = max(1, -(-(b.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    call = uuid.uuid4().hex
+    for k in range(blocks):
+        part = b.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
+        sent = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # about block_bytes of text
+
+        def run(batches, k=k, sent=sent):
+            tree = _automaton((call, k, window), sent.value, window)
+            for batch in batches:
+                if batch.num_rows:
+                    yield batch.filter(pa.array([not tree.scan(words_of(x.as_py()))[0] for x in batch.column(text_col)]))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if k < blocks - 1:
+            docs, _ = materialize(docs, "clean")
+    return docs
+
+
 def joined(col: str):
     """Runs that touch or overlap, merged."""
     return F.expr(

@@ -161,3 +161,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id
 
     out = x.mapInArrow(run, f"{id_col} long, score double, predicted int")
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> DataFrame:
+    """The rows of docs whose text scores at least the threshold, with the columns they had; learnt as score_quality."""
+    tune(docs.sparkSession)
+    y = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("int").alias("label")).where(f"{id_col} is not null and label in (0, 1)")
+    model = fit(featurize(docs.where(~held_out(id_col)), id_col, text_col).join(y, id_col), **options)
+    if model.means is None and model.offset == 0.5:
+        return docs  # nothing learnt, nothing rejected
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                good = model.score([statistics(x.as_py()) for x in b.column(text_col)]) >= threshold
+                yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -10,7 +10,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """The installed file of a public vocabulary."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -36,10 +37,17 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    out = extract_text(_read(spark, sf_dir, "pages"))
+    return out.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .records import read_records, write_records
 
-    manifest = write_records(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0)
+    manifest = write_records(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
     return read_records(spark, manifest)
 
 
@@ -52,7 +60,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import count_tokens
 
-    return count_tokens(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), limit=4096)
+    return count_tokens(_read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +88,7 @@ def queries() -> dict:
         "op1_near_vectors": op1_near_vectors,
         "op2_minhash": op2_minhash,
         "op3_decontaminate": op3_decontaminate,
+        "op4_html_text": op4_html_text,
         "op5_token_records": op5_token_records,
         "op6_quality": op6_quality,
         "op7_token_counts": op7_token_counts,
