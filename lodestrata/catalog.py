@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries; each has QUERIES (name -> function) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ("plans.relational", "operators.rewrites")
+MODULES: tuple[str, ...] = ("plans.relational", "operators.rewrites", "functions.scalars", "operators.merge")
 
 
 def _modules():
