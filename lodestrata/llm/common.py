@@ -5,25 +5,11 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a context, so that workers need not have it on their path."""
-    sc = spark.sparkContext
-    if getattr(sc, "_lodestrata_sent", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="lodestrata-")) / "lodestrata.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(at))
-    sc._lodestrata_sent = True
+from ..session import ship
 
 
 def tune(spark: SparkSession) -> None:
