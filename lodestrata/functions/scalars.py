@@ -130,9 +130,13 @@ def token_sort_ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(x) + len(y))
 
 
-@F.pandas_udf("double")
-def token_sort_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else token_sort_ratio(x, y) for x, y in zip(a, b)])
+def token_sort(a, b) -> Column:
+    """token_sort_ratio of two columns, by Arrow batches."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else token_sort_ratio(x, y) for x, y in zip(a, b)])
+
+    return F.pandas_udf(run, "double")(a, b)
 
 
 def table_rows(text: str) -> list[list[str]]:
@@ -187,9 +191,9 @@ def _(spark, d):
     return o.select("o_orderkey", got["owner"].alias("owner"), got["text"].alias("rest"))
 
 
-@R.query("sc_mentions", "functions/string", "SELECT p_partkey, array_to_string(list_sort(list_filter(['BRASS','COPPER','NICKEL','STEEL','TIN'], lambda x: contains(lower(p_type), lower(x)))), ',') AS m FROM part")
+@R.query("sc_mentions", "functions/string", "SELECT p_partkey, array_to_string(list_sort(list_filter(['LARGE','MEDIUM','PROMO','SMALL','STANDARD'], lambda x: contains(lower(p_type), lower(x)))), ',') AS m FROM part")
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.array_join(mentions(F.col("p_type"), ["TIN", "STEEL", "BRASS", "NICKEL", "COPPER"]), ",").alias("m"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(mentions(F.col("p_type"), ["SMALL", "PROMO", "STANDARD", "LARGE", "MEDIUM"]), ",").alias("m"))
 
 
 @R.query("sc_json_path", "functions/JSON SRC-25", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -228,7 +232,7 @@ def _(spark, d):
 @R.query("sc_token_sort", "functions/string")
 def _(spark, d):
     p = table(spark, d, "part")
-    return p.select("p_partkey", token_sort_udf("p_name", "p_type").alias("ratio"))
+    return p.select("p_partkey", token_sort("p_name", "p_type").alias("ratio"))
 
 
 QUERIES, ORACLES, COVERS = R.queries, R.oracles, R.covers
