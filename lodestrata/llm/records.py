@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ from .common import arrow_uri, new_path, tune
 
 MASK = 0xA282EAD8
 FRAME, HEAD = struct.Struct("<QI"), struct.Struct("<qBB")
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 
 
 def masked(data: bytes) -> int:
@@ -70,13 +71,45 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        self.most, self.seen = cache_entries, {}
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.most, self.seen, self.pieces = cache_entries, {}, {}
+        self.marks = {c: self.pack(self.tok.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
+        #: How the library's byte-level splitter shows bytes: printable Latin-1 as itself, the others from U+0100 on.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        odd = [b for b in range(256) if b not in plain]
+        self.shown = [chr(b) if b in plain else chr(256 + odd.index(b)) for b in range(256)]
 
     def pack(self, ids) -> bytes:
         import numpy as np
 
         return np.asarray(ids, dtype=self.kind).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one of the splitter's pieces: the library's merges."""
+        if (ids := self.pieces.get(piece)) is None:
+            ids = array(self.code, [t.id for t in self.tok.model.tokenize(piece)]).tobytes()
+            if len(self.pieces) > self.most // 4:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
+
+    def _new(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not kept yet, each led by a space."""
+        got, seen, tokenize = {}, self.seen, self.tok.model.tokenize
+        split = self.tok.pre_tokenizer.pre_tokenize_str
+        for w in chunks:
+            mark = w[-1] if w[-1] in self.marks else ""
+            word = w[:-1] if mark else w
+            if word.isalpha() and max(word) < "\u0250":  # letters in every version of Unicode
+                ids = seen.get(word) or got.get(word)
+                if ids is None:
+                    piece = "Ġ" + (word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode())))
+                    ids = array(self.code, [t.id for t in tokenize(piece)]).tobytes()
+                got[w] = ids + self.marks[mark] if mark else ids
+            else:
+                got[w] = b"".join([self._piece(p) for p, _ in split(" " + w)])
+        return got
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -89,12 +122,12 @@ class ChunkEncoder:
             new = list({w for w, p in zip(rest, parts) if p is None})
             if any(not w or w[0].isspace() for w in new):
                 return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
-            got = {w: self.pack(e.ids) for w, e in zip(new, self.tok.encode_batch_fast([" " + w for w in new], add_special_tokens=False))}
+            got = self._new(new)
             parts = [got[w] if p is None else p for w, p in zip(rest, parts)]
             if len(seen) > self.most:
                 seen.clear()
             seen.update((w, p) for w, p in got.items() if len(w) <= 64)
-        lead = self.pack(self.tok.encode(first, add_special_tokens=False).ids) if first else b""
+        lead = b"".join([self._piece(p) for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(first)]) if first else b""
         return lead + b"".join(parts)
 
 
