@@ -22,17 +22,22 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, forget, materialize, tune
+from .common import bit_table, connected_components, forget, materialize, may_be_in, tune
 from .decontaminate import _FOLD
 from .substrings import SLICE_BYTES, _mix, _rolled, hash_words
 
 REGISTERS, BANDS = 128, 32
 SHINGLE = 5
-#: Of 128 one-bit registers, this many differ in fewer than one of 10^9 pairs at similarity 0.8 (13 on average).
-SKETCH_DIFFERS = 36
+#: Finer signatures, of texts in buckets that still hold several components: 4 bits of 1024 registers; at similarity 0.8
+#: 192 differ on average, with a deviation of 12.5.
+FINE, FINE_DIFFERS, FINE_LIKELY = 1024, 267, 200
+#: Bits kept of each register. At similarity 0.8, 24 of 128 differ on average; SKETCH_DIFFERS or more in about one of
+#: 10^8 pairs.
+SKETCH_BITS, SKETCH_DIFFERS = 4, 51
+SKETCH = [f"s{k}" for k in range(2 * SKETCH_BITS)]
 
 
 def shingles(texts: list[bytes], n: int = SHINGLE):
@@ -105,10 +110,11 @@ def _bytes(x):
 
 
 def _sign(batches):
-    """Rows (id, k1, k2, bands, s1, s2): hashes of the multiset, of each band, and one bit of each register."""
+    """Rows (id, k1, k2, size, bands, s0, s1, ...): hashes of the multiset, how many shingles it has, hashes of the bands,
+    and a few bits of each register."""
     import numpy as np
 
-    names = ["id", "k1", "k2", "bands", "s1", "s2"]
+    names = ["id", "k1", "k2", "size", "bands", *SKETCH]
     per = REGISTERS // BANDS
     for b in batches:
         rows, texts, size = [], [], 0
@@ -142,10 +148,36 @@ def _sign(batches):
             for j in range(per):
                 band = _mix(band + sig[:, j::per])
             band = _mix(band + np.arange(BANDS, dtype=np.uint64))
-            bits = np.packbits((sig >> np.uint64(63)).astype(np.uint8), axis=1).view(">u8").astype(np.uint64).view(np.int64)
+            size_of = np.bincount(text, weights=weight, minlength=len(texts))[full].astype(np.int64)
+            bits = [np.packbits((sig >> np.uint64(63 - k) & np.uint64(1)).astype(np.uint8), axis=1).view(">u8").astype(np.uint64).view(np.int64) for k in range(SKETCH_BITS)]
+            sketch = [pa.array(x[:, half].copy()) for x in bits for half in (0, 1)]
             offsets = pa.array(np.arange(len(full) + 1, dtype=np.int32) * BANDS)
             bands = pa.ListArray.from_arrays(offsets, pa.array(band.ravel().view(np.int64)))
-            yield pa.record_batch([pa.array([rows[k] for k in full], pa.int64()), pa.array(keys[0]), pa.array(keys[1]), bands, pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())], names=names)
+            yield pa.record_batch([pa.array([rows[k] for k in full], pa.int64()), pa.array(keys[0]), pa.array(keys[1]), pa.array(size_of), bands, *sketch], names=names)
+
+
+def _packed(sig):
+    """Columns of longs with SKETCH_BITS bits of each register: bit k of 64 registers together."""
+    import numpy as np
+
+    sig = _mix(sig)
+    bits = [np.packbits((sig >> np.uint64(63 - k) & np.uint64(1)).astype(np.uint8), axis=1).view(">u8").astype(np.uint64).view(np.int64) for k in range(SKETCH_BITS)]
+    return np.stack(bits, axis=2).reshape(len(sig), -1)
+
+
+def _fine(batches):
+    """(id, f array<long>): sketches of FINE registers."""
+    import numpy as np
+
+    for b in batches:
+        for k in range(0, b.num_rows, 64):
+            own = b.slice(k, 64)
+            text, value, weight = shingles([_bytes(x.as_py()) for x in own.column(1)])
+            if len(text):
+                full = np.unique(text)
+                f = _packed(signatures(text, value, weight, own.num_rows, FINE).view(np.uint64)[full])
+                offsets = pa.array(np.arange(len(full) + 1, dtype=np.int32) * f.shape[1])
+                yield pa.record_batch([own.column(0).take(pa.array(full)), pa.ListArray.from_arrays(offsets, pa.array(f.ravel()))], names=["id", "f"])
 
 
 def similarity(a: str, b: str) -> float:
@@ -186,7 +218,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         yield from _verify(batches)
 
     named = pairs.select(F.col("b").alias("id")).union(pairs.select("a")).distinct()
-    own = texts.join(named, "id", "left_semi")
+    own = may_be_in(texts, bit_table(named)).join(named, "id", "left_semi")
     both = pairs.join(own.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").join(own.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, s double")
 
@@ -204,17 +236,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
         yield from _sign(batches)
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed, _ = materialize(src.mapInArrow(sign, "id long, k1 long, k2 long, bands array<long>, s1 long, s2 long"), "signatures")
-    classes, _ = materialize(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2")), "classes")
+    signed, _ = materialize(src.mapInArrow(sign, "id long, k1 long, k2 long, size long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH)), "signatures")
+    classes, _ = materialize(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "bands", *SKETCH)]), "classes")
     texts = src.where("id is not null and text is not null")
 
     # members of buckets that hold more than one representative
     member = classes.select("rep", F.explode("bands").alias("bucket"))
     heads = member.groupBy("bucket").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head < tail").select("bucket", "head")
     member, member_at = materialize(member.join(heads, "bucket"), "buckets")
-    sketch = classes.groupBy(F.col("rep").alias("id")).agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"))
-    a, b = sketch.select(F.col("id").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2")), sketch.select(F.col("id").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    near = F.expr(f"bit_count(a1 ^ b1) + bit_count(a2 ^ b2) <= {SKETCH_DIFFERS}")
+    sketch = classes.groupBy(F.col("rep").alias("id")).agg(*[F.min(c).alias(c) for c in ("size", *SKETCH)])
+    a, b = (sketch.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("size", *SKETCH)]) for x in "ab")
+    differ = " + ".join("bit_count(" + " | ".join(f"(a_s{2 * k + half} ^ b_s{2 * k + half})" for k in range(SKETCH_BITS)) + ")" for half in (0, 1))
+    # sizes bound the similarity exactly, sketches with a margin of six deviations
+    near = F.expr(f"least(a_size, b_size) >= {threshold} * greatest(a_size, b_size) and {differ} < {SKETCH_DIFFERS}")
 
     star = member.where("head <> rep").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     star = star.join(b, "b").join(a, "a").where(near).select("a", "b")
@@ -227,16 +261,33 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     open_ = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     to_head = known.select(F.col("a").alias("head"), F.col("b").alias("rep"), F.col("s"))
     rest = inside.join(open_, "bucket", "left_semi").where("rep <> head").join(to_head, ["head", "rep"], "left").join(sketch.withColumnRenamed("id", "rep"), "rep")
-    rest, rest_at = materialize(rest.select("bucket", "rep", "component", "s1", "s2", (1 - F.col("s")).alias("d")), "open")
-    x = rest.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("d").alias("da"))
-    y = rest.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("d").alias("db"))
-    apart = F.abs(F.col("da") - F.col("db")) > (1 - threshold) + 1e-9
-    cond = (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near & ~F.coalesce(apart, F.lit(False))
-    pairs, pairs_at = materialize(x.join(y, cond).select("a", "b").distinct(), "pairs")
-    links = known.unionByName(verified(pairs, texts)).where(F.col("s") >= threshold)
-    links, _ = materialize(links, "links")
+
+    def fine(batches):
+        yield from _fine(batches)
+
+    ids = rest.select(F.col("rep").alias("id")).distinct()
+    finer = may_be_in(texts, bit_table(ids)).mapInArrow(fine, "id long, f array<long>").groupBy("id").agg(F.first("f").alias("f"))
+    longs = FINE // 64 * SKETCH_BITS
+    rest = rest.join(finer.withColumnRenamed("id", "rep"), "rep")
+    rest, rest_at = materialize(rest.select("bucket", *[F.col("f")[k].alias(f"f{k}") for k in range(longs)], "rep", "size", F.collect_set("bucket").over(Window.partitionBy("rep")).alias("bs"), (1 - F.col("s")).alias("d")), "open")
+    cols = ["size", "bs", *[f"f{k}" for k in range(longs)]]
+    differ = " + ".join("bit_count(" + " | ".join(f"(a_f{k + j} ^ b_f{k + j})" for j in range(SKETCH_BITS)) + ")" for k in range(0, longs, SKETCH_BITS))
+    first = F.col("a_bucket") == F.array_min(F.array_intersect("a_bs", "b_bs"))  # a pair that shares several buckets comes once
+    links = known
+    # likely pairs first: what they unite needs no further look
+    for low, high in ((0, FINE_LIKELY), (FINE_LIKELY, FINE_DIFFERS)):
+        comp, _ = materialize(connected_components(links.where(F.col("s") >= threshold)), "components") if low else (comp, None)
+        now = rest.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        x, y = (now.select(F.col("bucket").alias(f"{p}_bucket"), F.col("rep").alias(p), F.col("component").alias(f"c{p}"), F.col("d").alias(f"d{p}"), *[F.col(c).alias(f"{p}_{c}") for c in cols]) for p in "ab")
+        apart = F.abs(F.col("da") - F.col("db")) > (1 - threshold) + 1e-9
+        near = F.expr(f"least(a_size, b_size) >= {threshold} * greatest(a_size, b_size) and {differ} >= {low} and {differ} < {high}")
+        cond = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~F.coalesce(apart, F.lit(False)) & near & first
+        pairs, _ = materialize(x.join(y, cond).select("a", "b"), "pairs")
+        more, _ = materialize(verified(pairs, texts), "links")
+        links = links.unionByName(more)
+    links, _ = materialize(links.where(F.col("s") >= threshold), "links")
     comp, _ = materialize(connected_components(links), "components")
-    forget(spark, member_at, known_at, rest_at, pairs_at)
+    forget(spark, member_at, known_at, rest_at)
 
     of = signed.select("id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).groupBy("id").agg(F.min("rep").alias("copy_of"), F.collect_set("rep").alias("reps"))
     split = of.where(F.size("reps") > 1).select("id", F.explode("reps").alias("rep")).where("id <> rep")

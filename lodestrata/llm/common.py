@@ -61,6 +61,40 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def bit_table(ids: DataFrame, max_bits: int = 1 << 27):
+    """A bit for the hash of each id (a table with one long column id), in at most max_bits bits: what may be sent to
+    all workers however many ids there are. Where it fills up, more ids seem to be in it than are."""
+    import numpy as np
+
+    bits, n = 1 << 16, ids.count()
+    while bits < min(max_bits, 32 * n):
+        bits *= 2
+    at = ids.select(F.xxhash64("id").alias("h"))
+    got = at.groupBy(F.shiftright(F.col("h").bitwiseAND(F.lit(bits - 1)), 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits // 64, np.uint64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
+    return out
+
+
+def may_be_in(df: DataFrame, table) -> DataFrame:
+    """The rows of df whose id may be in a bit table; no id of the table is lost, and nothing is shuffled."""
+    sent = df.sparkSession.sparkContext.broadcast(table)
+    hashed = df.withColumn("_h", F.xxhash64("id"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        bits = sent.value
+        for b in batches:
+            h = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(len(bits) * 64 - 1)
+            on = (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) != 0
+            if on.any():
+                yield b.filter(pa.array(on)).select(list(range(b.num_columns - 1)))
+
+    return hashed.mapInArrow(run, df.schema)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Components of an undirected graph given as (a long, b long): (node, component = smallest node reachable).
 
