@@ -131,8 +131,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_by
     for k in range(1, blocks):
         parts = parts.unionByName(scanned(k).withColumn("block", F.lit(k)))
     one = parts.groupBy(id_col, "h", "block").agg(F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("n_words", "runs", "spans", "items")])
-    merged = one.groupBy(id_col, "h").agg(F.max("rows").alias("rows"), F.max("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "spans", "items")])
-    merged = merged.withColumn("items", F.array_sort(F.array_distinct("items"))).withColumn("runs", joined("runs")).withColumn("spans", joined("spans"))
+    both = F.flatten(F.collect_list(F.zip_with("runs", "spans", lambda r, c: F.struct(r["start"].alias("start"), r["end"].alias("end"), c["start"].alias("a"), c["end"].alias("z")))))
+    merged = one.groupBy(id_col, "h").agg(F.max("rows").alias("rows"), F.max("n_words").alias("n_words"), both.alias("both"), F.flatten(F.collect_list("items")).alias("items"))
+    merged = merged.withColumn("items", F.array_sort(F.array_distinct("items"))).withColumn("both", joined("both"))
+    for name, x, y in (("runs", "start", "end"), ("spans", "a", "z")):
+        merged = merged.withColumn(name, F.expr(f"transform(both, t -> named_struct('start', t.{x}, 'end', t.{y}))"))
     return merged.withColumn("_n", F.explode(F.expr("sequence(1L, rows)"))).select(id_col, "n_words", "runs", "spans", "items")
 
 
@@ -162,8 +165,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_by
 
 
 def joined(col: str):
-    """Runs that touch or overlap, merged."""
+    """Word runs (start, end) that touch or overlap, merged, with their character offsets (a, z)."""
     return F.expr(
-        f"aggregate(array_sort({col}), cast(array() as array<struct<start:int,end:int>>), (a, x) -> case when size(a) > 0 and element_at(a, -1).end >= x.start "
-        "then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))) else concat(a, array(x)) end)"
+        f"aggregate(array_sort({col}), cast(array() as array<struct<start:int,end:int,a:int,z:int>>), (m, x) -> case when size(m) > 0 and element_at(m, -1).end >= x.start "
+        "then concat(slice(m, 1, size(m) - 1), array(named_struct('start', element_at(m, -1).start, 'end', greatest(element_at(m, -1).end, x.end), 'a', element_at(m, -1).a, 'z', greatest(element_at(m, -1).z, x.z)))) else concat(m, array(x)) end)"
     )
