@@ -30,7 +30,7 @@ from .common import arrow_uri, new_path, tune
 
 MASK = 0xA282EAD8
 FRAME, HEAD = struct.Struct("<QI"), struct.Struct("<qBB")
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 
 
 def masked(data: bytes) -> int:
