@@ -2,8 +2,9 @@
 
 Equal vectors are one class. Classes are dealt to shards by hash; each shard builds a graph: levels by a hash, each
 level a graph of at most M links per node chosen by the usual diversity rule, filled by inserting batches that search
-the graph so far. Each shard audits itself: for a sample of its own vectors it compares what a beam finds with brute
-force over the shard, and widens the beam until it finds 0.92 of the ten nearest and 0.99 of the links. Every class queries every shard, in blocks; a
+the graph so far. Each shard audits itself: for samples of its own vectors and of other shards' it compares what a beam
+finds with brute force over the shard, and widens the beam until it finds 0.99 of the ten nearest and 0.99 of the links
+of those whose query would not widen it; a vector itself counts as neither. Every class queries every shard, in blocks; a
 query whose beam ends within the threshold widens it until it doesn't, or scans the shard. Found pairs are verified by
 cosine in double precision, links are made symmetric, and components united.
 
@@ -26,6 +27,8 @@ M, BASE_M, EF_BUILD = 12, 24, 40
 #: Shards below the size at which more are made; vectors of a shard; queries of a block.
 SHARDS, SHARD_ROWS, BLOCK_ROWS = 8, 50_000, 16_384
 BATCH = 256
+#: About so many vectors of all shards audit each shard, besides its own sample.
+AUDIT_ROWS = 512
 
 
 class Graph:
@@ -195,36 +198,52 @@ class Graph:
         seeds = last[1][self._descend(q, len(self.layers) - 1)] if len(self.layers) > 1 else np.tile(np.arange(min(len(last[0]), 8)), (len(q), 1))
         return self._beam(last, q, seeds, min(ef, len(last[0])))
 
-    def audit(self, threshold: float, recall: float, sample: int = 256, top: int = 10, ef: int = 32) -> int:
-        """The beam at which a sample of own vectors finds that share of its nearest, and 0.99 of its links; 0: scan."""
+    def audit(self, threshold: float, recall: float, others=None, sample: int = 256, top: int = 10, ef: int = 32) -> int:
+        """The beam at which samples of own vectors and others find that share of their nearest, and 0.99 of the links of
+        those that don't widen it; 0: scan. A vector is not its own neighbour."""
         import numpy as np
 
         n = len(self.x)
         if n <= 4 * ef:
             return 0
         pick = np.random.default_rng(7).choice(n, min(sample, n), replace=False)
-        true = self.x[pick] @ self.x.T
-        near = [set(np.argpartition(-t, top)[: top + 1]) for t in true]
-        links = [set(np.flatnonzero(t >= threshold)[:4096]) for t in true]
+        q = self.x[pick] if others is None else np.concatenate([self.x[pick], np.asarray(others, np.float32)])
+        near, links = np.zeros((len(q), n), bool), np.zeros((len(q), n), bool)
+        for k in range(0, len(q), 64):
+            true = q[k : k + 64] @ self.x.T
+            own = pick[k : k + 64]
+            true[np.arange(len(own)), own] = -2
+            np.put_along_axis(near[k : k + 64], np.argpartition(-true, top - 1)[:, :top], True, 1)
+            links[k : k + 64] = true >= threshold
         while ef < n // 2:
-            found = [set(x) for x in self.search(self.x[pick], ef)[0]]
-            hit = sum(len(w & f) for w, f in zip(near, found))
-            # of more links than half a beam, the query widens the beam by itself
-            linked = [(w, f) for w, f in zip(links, found) if len(w) <= ef // 2]
-            if hit >= recall * sum(map(len, near)) and sum(len(w & f) for w, f in linked) >= 0.99 * sum(len(w) for w, _ in linked):
+            ids, sims = self.search(q, ef)
+            some, at = ids >= 0, np.maximum(ids, 0)
+            hit = (np.take_along_axis(near, at, 1) & some).sum()
+            linked = (np.take_along_axis(links, at, 1) & some).sum(axis=1)
+            stays = ~_widens(sims, threshold)
+            if hit >= recall * near.sum() and linked[stays].sum() >= 0.99 * links[stays].sum():
                 return ef
             ef *= 2
         return 0
 
 
+def _widens(sims, threshold: float):
+    """Queries whose beam ends among the links: there may be more."""
+    return sims[:, -1] >= threshold - 0.05
+
+
 def _build(table: pa.Table, threshold: float, recall: float) -> pa.Table:
     import numpy as np
 
-    ids = table["cid"].to_numpy()
+    own = table["own"].to_numpy()
+    x = np.asarray(table["x"].combine_chunks().flatten()).reshape(len(own), -1)
+    others, x, ids = x[~own], x[own], table["cid"].to_numpy()[own]
+    if not len(ids):
+        return pa.table({"dim": table["dim"][:0], "shard": table["shard"][:0], "index": pa.array([], pa.binary())})
     order = np.argsort(ids)
-    x = np.asarray(table["x"].combine_chunks().flatten()).reshape(len(ids), -1)[order]
+    x = x[order]
     g = Graph(x)
-    blob = pickle.dumps((ids[order], x, g, g.audit(threshold, recall)), protocol=5)
+    blob = pickle.dumps((ids[order], x, g, g.audit(threshold, recall, others)), protocol=5)
     return pa.table({"dim": table["dim"][:1], "shard": table["shard"][:1], "index": pa.array([blob], pa.binary())})
 
 
@@ -246,7 +265,7 @@ def _ask(queries: pa.Table, index: pa.Table, threshold: float) -> pa.Table:
                     r, left = todo[r], todo[:0]
                 else:
                     got, sims = g.search(q[todo], beam)
-                    full = sims[:, -1] >= threshold - 0.05  # the beam ends among the links: there may be more
+                    full = _widens(sims, threshold)
                     r, c = np.nonzero((sims >= threshold - 1e-4) & (got >= 0) & ~full[:, None])
                     c, r, left = got[r, c], todo[r], todo[full]
                 s = np.einsum("nd,nd->n", q[r], x[c])
@@ -258,7 +277,7 @@ def _ask(queries: pa.Table, index: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.92, id_col: str = "vec_id", vector_col: str = "embedding") -> dict[str, DataFrame]:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.99, id_col: str = "vec_id", vector_col: str = "embedding") -> dict[str, DataFrame]:
     """vectors: (id, n_links, component_id, kept), one row per row; links: (a, b) between classes of equal vectors."""
     spark = vectors.sparkSession
     tune(spark)
@@ -283,8 +302,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
         return _ask(q, i, threshold)
 
     cols = ["dim", "shard", "cid", "x"]
-    dealt = classes.withColumn("shard", F.pmod("cid", F.lit(shards)).cast("int"))
-    index, _ = materialize(dealt.select(*cols).groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, index binary"), "index")
+    home = F.pmod("cid", F.lit(shards)).cast("int")
+    dealt = classes.withColumn("shard", home).select(*cols, F.lit(True).alias("own"))
+    audits = classes.where(F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(1 << 30)) < int(min(1.0, AUDIT_ROWS / max(1, total)) * (1 << 30)))
+    audits = audits.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home).select(*cols, F.lit(False).alias("own"))
+    index, _ = materialize(dealt.unionByName(audits).groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, index binary"), "index")
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = classes.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int"))
     key = ["dim", "shard", "block"]

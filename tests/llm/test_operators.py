@@ -91,6 +91,41 @@ def test_graph_recall():
     assert (np.diff(sims, axis=1) <= 1e-6).all()
 
 
+class Lossy(hnsw.Graph):
+    """Brute force that at the first beam loses links of the places it is told (-1: of vectors that are not its own)."""
+
+    lost = ()
+
+    def search(self, q, ef):
+        sims = q @ self.x.T
+        if ef == 32:
+            own, to_self = sims.argmax(axis=1), sims > 1 - 1e-5
+            hide = np.where(to_self.any(axis=1), np.isin(own, self.lost), -1 in self.lost)
+            sims[hide[:, None] & ~to_self & (sims >= 0.95)] = -1
+        ids = np.argsort(-sims, axis=1)[:, :ef]
+        return ids, np.take_along_axis(sims, ids, 1)
+
+
+def test_audit_of_links():
+    r = np.random.default_rng(2)
+
+    def unit(v):
+        return (v / np.linalg.norm(v, axis=-1, keepdims=True)).astype(np.float32)
+
+    x = unit(r.normal(size=(2000, 64)))
+    pick = np.random.default_rng(7).choice(2000, 256, replace=False)
+    free = np.setdiff1d(np.arange(2000), pick)
+    x[free[:2]] = unit(x[pick[:2]] + unit(r.normal(size=(2, 64))) * 0.1)  # two links among 256 sampled vectors
+    x[free[10:30]] = unit(x[pick[9]] + unit(r.normal(size=(20, 64))) * 0.1)  # 20 links, more than half the first beam
+    g = Lossy(x)
+    assert g.audit(0.95, 0.5) == 32
+    for lost in ([pick[0], pick[1]], [pick[9]]):
+        g.lost = lost
+        assert g.audit(0.95, 0.5) == 64
+    g.lost = [-1]  # of other shards' vectors
+    assert g.audit(0.95, 0.5, unit(x[free[100:110]] + unit(r.normal(size=(10, 64))) * 0.1)) == 64
+
+
 # 2 -----------------------------------------------------------------------------------------------------------------
 
 
