@@ -155,7 +155,7 @@ def _(spark, d):
 
 @R.query("v_coherence", "A-34", "WITH u AS (SELECT label, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS u FROM embeddings WHERE vec_id < 300) SELECT a.label, CAST(round(CAST(avg(list_inner_product(a.u, b.u)) AS DECIMAL(38,12)), 5) AS DOUBLE) AS coherence FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1")
 def _(spark, d):
-    return coherence(table(spark, d, "embeddings").where("vec_id < 300"), "label").select("label", decimal("coherence", 5).alias("coherence"))
+    return coherence(table(spark, d, "embeddings"), "label").select("label", decimal("coherence", 5).alias("coherence"))
 
 
 @R.query("v_adjacent", "V-08", "SELECT a.vec_id, CAST(round(CAST(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS DECIMAL(38,12)), 6) AS DOUBLE) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = (SELECT max(vec_id) FROM embeddings c WHERE c.label = a.label AND c.vec_id < a.vec_id)")

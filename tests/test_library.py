@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -209,6 +210,16 @@ def test_vectors(spark):
     assert one["coherence"] == 1.0
 
 
+def test_coherence_of_all(spark, sf_dir):
+    by = {}
+    for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "embedding").collect():
+        u = np.asarray(r["embedding"], float)
+        by.setdefault(r["label"], []).append(u / np.linalg.norm(u))
+    want = {k: np.mean((np.stack(u) @ np.stack(u).T)[np.triu_indices(len(u), 1)]) for k, u in by.items()}
+    got = {r["label"]: r["coherence"] for r in vectors.QUERIES["v_coherence"](spark, sf_dir).collect()}
+    assert got == {k: pytest.approx(x, abs=1.1e-5) for k, x in want.items()}
+
+
 def test_rewrites(spark):
     t = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "a long, b long")
     g = rewrites.graph_lookup(t.where("a = 1"), t, "a", "a", "b", 5)
