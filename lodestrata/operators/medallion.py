@@ -3,7 +3,7 @@ over all contracts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize
@@ -105,11 +105,16 @@ def annotations_to_graph(answers: DataFrame, documents: DataFrame) -> tuple[Data
 
 
 def _bronze(spark, d) -> DataFrame:
-    """Order lines as extracted entities: contract = order, label by flag, name by part."""
-    li = table(spark, d, "lineitem").where("l_orderkey % 10 = 1")
+    """Order lines as extracted entities: contract = order, label by flag, name by part; each line is related to the
+    first line of its order, type by status."""
+    li = table(spark, d, "lineitem").withColumn("first", F.min("l_linenumber").over(Window.partitionBy("l_orderkey")))
     label = F.when(F.col("l_returnflag") == "A", "Party").when(F.col("l_returnflag") == "N", "Jurisdiction").otherwise("IPClause")
-    e = li.select(F.col("l_orderkey").cast("string").alias("contract_id"), (F.col("l_linenumber") % 3).alias("chunk_index"), F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), label.alias("label"), F.concat(F.lit("  Part "), (F.col("l_partkey") % 4).cast("string")).alias("name"), (0.6 + F.col("l_discount") * 4).alias("confidence")).alias("e"))
-    return e.groupBy("contract_id", "chunk_index").agg(F.collect_list("e").alias("entities"))
+    own = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    entity = F.struct(own.alias("id"), label.alias("label"), F.concat(F.lit("  Part "), (F.col("l_partkey") % 4).cast("string")).alias("name"), (0.6 + F.col("l_discount") * 4).alias("confidence"))
+    kind = F.when(F.col("l_linestatus") == "O", "GOVERNED_BY").otherwise("SIGNED_BY")
+    relation = F.struct(own.alias("source"), F.concat_ws("-", "l_orderkey", "first").alias("target"), kind.alias("rel_type"), (0.6 + F.col("l_tax") * 5).alias("confidence"), F.concat_ws(" ", F.lit("line"), "l_linenumber").alias("evidence"))
+    e = li.select(F.col("l_orderkey").cast("string").alias("contract_id"), (F.col("l_linenumber") % 3).alias("chunk_index"), entity.alias("e"), F.when(F.col("l_linenumber") != F.col("first"), relation).alias("r"))
+    return e.groupBy("contract_id", "chunk_index").agg(F.collect_list("e").alias("entities"), F.collect_list("r").alias("relationships"))
 
 
 STAGED = "s AS (SELECT CAST(l_orderkey AS VARCHAR) AS contract_id, l_linenumber % 3 AS chunk_index, CASE l_returnflag WHEN 'A' THEN 'Party' WHEN 'N' THEN 'Jurisdiction' ELSE 'Clause' END AS label, concat('part ', l_partkey % 4) AS norm, 0.6 + l_discount * 4 AS confidence FROM lineitem WHERE l_orderkey % 10 = 1 AND 0.6 + l_discount * 4 >= 0.7)"
@@ -124,7 +129,7 @@ def _(spark, d):
 @R.query("md_resolution", "J-25 I-13", f"WITH {STAGED} SELECT label, count(*) AS n FROM s GROUP BY label")
 def _(spark, d):
     s = stage_entities(_bronze(spark, d))
-    return resolve(s, canonical_entities(s)).join(s.select("contract_id", "id", "label"), ["contract_id", "id"]).groupBy("label").agg(F.count("*").alias("n"))
+    return resolve(s, canonical_entities(s))
 
 
 _RULES = ", ".join(f"('{a}', '{b}', '{c}', '{t}')" for a, b, c, t in RISK_RULES)
@@ -148,10 +153,12 @@ def _(spark, d):
 
 @R.query("md_gold_projection", "I-14 I-16", f"WITH {STAGED} SELECT label, count(*) AS n FROM (SELECT DISTINCT contract_id, label, norm FROM s) t GROUP BY label")
 def _(spark, d):
-    b = _bronze(spark, d).withColumn("relationships", F.array().cast(RELATION))
+    b = _bronze(spark, d)
     s = stage_entities(b)
     c = canonical_entities(s)
-    return gold(c, canonical_relations(b, resolve(s, c)))[0].groupBy("label").agg(F.count("*").alias("n"))
+    v, e = gold(c, canonical_relations(b, resolve(s, c)))
+    v = v.select(F.lit("vertex").alias("kind"), "uuid", F.col("label").alias("type"), "name", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), "document_id", F.col("metadata").alias("properties"))
+    return v.unionByName(e.select(F.lit("edge").alias("kind"), "uuid", F.col("rel_type").alias("type"), F.lit(None).cast("string").alias("name"), "src", "dst", "document_id", "properties"))
 
 
 QUERIES, ORACLES, COVERS = R.queries, R.oracles, R.covers

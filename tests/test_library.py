@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -154,6 +155,36 @@ def test_medallion_end_to_end(spark):
     assert party.count() == 4 and [tuple(x) for x in causes.select("cause", "effect").collect()] == [("Missing Indemnity Clause", "Uncapped Liability")]
 
 
+WHOLE = """CREATE VIEW l AS SELECT *, CAST(l_orderkey AS VARCHAR) AS c, l_linenumber % 3 AS k, concat_ws('-', l_orderkey, l_linenumber) AS id,
+concat_ws('-', l_orderkey, min(l_linenumber) OVER (PARTITION BY l_orderkey)) AS target FROM '{}/lineitem.parquet';
+CREATE VIEW s AS SELECT *, CASE l_returnflag WHEN 'A' THEN 'Party' WHEN 'N' THEN 'Jurisdiction' ELSE 'Clause' END AS label, concat('part ', l_partkey % 4) AS norm,
+md5(concat_ws('|', c, label, norm)) AS canon FROM l WHERE 0.6 + l_discount * 4 >= 0.7;
+CREATE VIEW ids AS SELECT c, id, min(canon) AS canon FROM s GROUP BY ALL;
+CREATE VIEW e AS SELECT l.c, a.canon AS src, b.canon AS dst, CASE l_linestatus WHEN 'O' THEN 'GOVERNED_BY' ELSE 'SIGNED_BY' END AS t, concat('line ', first(l_linenumber ORDER BY k, concat('line ', l_linenumber))) AS ev
+FROM l JOIN ids a ON a.id = l.id JOIN ids b ON b.id = l.target WHERE l.id <> l.target AND 0.6 + l_tax * 5 >= 0.7 GROUP BY ALL;"""
+
+
+def test_medallion_of_all_orders(spark, sf_dir):
+    """Whole lineitem: resolved ids, gold vertices and edges, contracts with risks."""
+    con = duckdb.connect()
+    con.execute(WHOLE.format(sf_dir))
+
+    def sql(q):
+        return sorted(con.execute(q).fetchall(), key=str)
+
+    q = medallion.QUERIES
+    assert rows(q["md_resolution"](spark, sf_dir).select("contract_id", "id", "canonical_id")) == sql("SELECT * FROM ids")
+    g = q["md_gold_projection"](spark, sf_dir)
+    assert rows(g.where("kind = 'vertex'").select("uuid", "type", "document_id")) == sql("SELECT DISTINCT canon, label, c FROM s")
+    got = rows(g.where("kind = 'edge'").select("src", "dst", "type", "document_id", F.get_json_object("properties", "$.evidence")))
+    assert got and got == sql("SELECT src, dst, t, c, ev FROM e")
+    assert rows(q["md_silver_entities"](spark, sf_dir).select("contract_id", "label", "norm", "n")) == sql("SELECT c, label, norm, count(*) FROM s GROUP BY ALL")
+    held = "SELECT c FROM s WHERE label = 'Party' GROUP BY 1"
+    assert rows(q["md_risks"](spark, sf_dir).select("document_id").distinct()) == sql(held)
+    # no clauses of the named kinds here: indemnity causes uncapped liability everywhere, governing law more where it lacks
+    assert rows(q["md_risk_causes"](spark, sf_dir).select("document_id").distinct()) == sql(held)
+
+
 @given(st.text(alphabet="ab .!?\n", max_size=400), st.integers(20, 80), st.integers(0, 19))
 @settings(max_examples=60, deadline=None)
 def test_chunk_cover(text, size, overlap):
