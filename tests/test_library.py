@@ -221,6 +221,12 @@ def test_scalars(spark):
     assert spark.range(1).select(scalars.owner_and_text(F.lit("just text"))).first()[0].asDict() == {"owner": "", "text": "just text"}
 
 
+def test_json_set_each_of_all(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props").collect()
+    want = [(r["event_id"], k, str(v)) for r in e for k, v in {**json.loads(r["props"]), "a": 1}.items()]
+    assert rows(scalars.QUERIES["sc_json_set_each"](spark, sf_dir)) == sorted(want, key=str)
+
+
 def test_search_units(spark):
     assert search.word_similarity("word", "two words") > 0.7
     assert search.parse_websearch('a "b c" -d or e') == [[("a", False), ("b c", False), ("d", True)], [("e", False)]]
