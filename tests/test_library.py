@@ -257,6 +257,30 @@ def test_coherence_of_all(spark, sf_dir):
     assert got == {k: pytest.approx(x, abs=1.1e-5) for k, x in want.items()}
 
 
+def test_mean_metrics(spark, sf_dir):
+    by = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", "doc_id").orderBy("doc_id").collect():
+        by.setdefault(r["lang"], []).append("src1" in r["source"].lower())
+    each = []
+    for hits in by.values():
+        top = hits[:10]
+        five = [k for k, x in enumerate(top[:5], 1) if x]
+        ideal = sum(1 / np.log2(k + 1) for k in range(1, len(five) + 1))
+        each.append((any(top), 1 / five[0] if five else 0, len(five) / 5, len(five), sum(1 / np.log2(k + 1) for k in five) / ideal if five else 0))
+    got = fusion.QUERIES["ev_mean_metrics"](spark, sf_dir).first().asDict()
+    want = dict(zip(("hit", "rr", "precision", "recall", "ndcg"), np.mean(each, axis=0)))
+    assert got == {"queries": len(by), **{k: pytest.approx(x, abs=1.1e-6) for k, x in want.items()}}
+    assert 0 < got["ndcg"] < 1
+
+
+def test_run_report(spark):
+    log = [("a", "a", True, 3, 10.0), ("a", "b", True, 0, 20.0), ("b", "b", False, 0, 30.0), ("b", "b", True, 1, 60.0)]
+    r = fusion.run_report(spark.createDataFrame(log, "expected string, intent string, valid boolean, rows long, ms double")).first()
+    assert tuple(r) == (0.75, 0.75, 0.5, 30.0, 60.0)
+    ms = spark.createDataFrame([("a", "a", True, 1, float(k)) for k in range(1, 40)], "expected string, intent string, valid boolean, rows long, ms double")
+    assert fusion.run_report(ms).first()["p95_ms"] == pytest.approx(38.0)  # place 0.95 * 40
+
+
 def test_rewrites(spark):
     t = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "a long, b long")
     g = rewrites.graph_lookup(t.where("a = 1"), t, "a", "a", "b", 5)
