@@ -216,9 +216,14 @@ def _grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     return [s for s in out if s]
 
 
-def _number(x: str | None, least: int, default: int) -> int:
-    m = re.match(r"\s*(-?\d+)", x or "")
-    return max(least, min(int(m[1]), 1000)) if m else default
+def _number(x: str | None, least: int, most: int, default: int) -> int:
+    m = re.match(r"\s*(-?)0*(\d+)", x or "")
+    return max(least, min(int((m[1] + m[2])[:20]), most)) if m else default
+
+
+def _list_number(x: str | None, default: int) -> int:
+    """Of any size that browsers show."""
+    return _number(x, -(1 << 31), (1 << 31) - 1, default)
 
 
 def render(page: str | None) -> str | None:
@@ -277,7 +282,7 @@ def render(page: str | None) -> str | None:
                 inner.end()
                 if not table:
                     table.append([])
-                table[-1].append((" ".join(inner.lines), _number(a.get("colspan"), 1, 1), _number(a.get("rowspan"), 1, 1)))
+                table[-1].append((" ".join(inner.lines), _number(a.get("colspan"), 1, 1000, 1), _number(a.get("rowspan"), 1, 65534, 1)))
                 out = outer
 
         elif tag == "tr" and tables:
@@ -294,7 +299,7 @@ def render(page: str | None) -> str | None:
 
         elif tag in ("ul", "ol", "menu", "dir"):
             out.block(1 if lists else 2)
-            lists.append([_number(a.get("start"), -1000, 1) if tag == "ol" else None])
+            lists.append([_list_number(a.get("start"), 1) if tag == "ol" else None])
 
             def leave():
                 lists.pop()
@@ -304,7 +309,7 @@ def render(page: str | None) -> str | None:
             out.block(1)
             was = out.indent
             if lists and lists[-1][0] is not None:
-                mark = f"{_number(a.get('value'), -1000, lists[-1][0])}. "
+                mark = f"{_list_number(a.get('value'), lists[-1][0])}. "
                 lists[-1][0] = int(mark[:-2]) + 1
             else:
                 mark = "- "

@@ -259,6 +259,11 @@ def test_render(page):
     assert html_text.render(page) == PAGES[page]
 
 
+def test_list_numbers():
+    got = html_text.render("<ol start=1990><li>a<li value=2024>b<li>c</ol><ol start=-1500><li>d</ol>")
+    assert got.split() == ["1990.", "a", "2024.", "b", "2025.", "c", "-1500.", "d"]
+
+
 def test_render_deep_and_table(spark, sf_dir):
     assert html_text.render("<div><ul><li>" * 20_000 + "x").strip().endswith("x")
     got = html_text.extract_text(spark.createDataFrame([(1, None), (None, "<p>a"), (1, "")], "page_id long, html string").withColumn("text", F.lit("clash")))
