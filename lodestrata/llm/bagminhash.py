@@ -7,14 +7,17 @@ of the position are the interval's successive halvings, and a point counts if it
 keeps the earliest point; two texts agree in a register with probability sum(min) / sum(max). Points are drawn up to a
 horizon at which, as a rule, all registers are filled, and further where not, so few points of long texts are drawn.
 
-Candidates share a band of registers. Equal multisets are one class from the start, represented by the smallest id.
-A band's bucket links its members to its first member; buckets that still hold several components then compare
-members of different components, less those that the triangle inequality of the distance to the bucket's first member
-rules out. So groups of copies cost their size, not its square, and no pair that could join two components is left
-out. Every link is verified by the overlap of the two texts' multisets.
-
-Defined results: null, empty and wordless texts, and null ids, link with nothing; rows with one id are one node, linked
-by any of its texts; ties and repeated rows fall into one class; an empty table gives no rows.
+Candidates share a band of registers: 32 bands of 4, which all differ for one in 2 * 10^7 pairs of similarity 0.8. Equal
+multisets are one class from the start. A band's bucket links its members to its first member; buckets that still hold
+several components then compare members of different components, in blocks, so that a large bucket is split over many
+tasks. A pair is put aside only if its sizes rule it out, or if its sketches (the least hash of the discretised elements in
+each of 512 bins, 4 bits of each) differ in more bins than six deviations above what similarity at the threshold gives,
+which is one in 10^9 pairs at the threshold and fewer above. Every other pair is verified by the overlap of the two
+texts' multisets, so no link is made without it. Groups of copies cost their size, not its square.
+
+Defined results: each row is a document, also where ids repeat; null, empty and wordless texts, and null ids, link with
+nothing; ties and repeated rows fall into one class; texts of any length are taken whole, in slices of about 1 MiB of
+texts; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,19 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_table, connected_components, forget, materialize, may_be_in, tune
+from .common import bit_table, connected_components, forget, fresh, materialize, may_be_in, tidy, tune
 from .decontaminate import _FOLD
 from .substrings import SLICE_BYTES, _mix, _rolled, hash_words
 
 REGISTERS, BANDS = 128, 32
 SHINGLE = 5
-#: Finer signatures, of texts in buckets that still hold several components: 4 bits of 1024 registers; at similarity 0.8
-#: 192 differ on average, with a deviation of 12.5.
-FINE, FINE_DIFFERS, FINE_LIKELY = 1024, 267, 200
-#: Bits kept of each register. At similarity 0.8, 24 of 128 differ on average; SKETCH_DIFFERS or more in about one of
-#: 10^8 pairs.
-SKETCH_BITS, SKETCH_DIFFERS = 4, 51
-SKETCH = [f"s{k}" for k in range(2 * SKETCH_BITS)]
+#: Bins of a sketch and bits of a bin (0: no element).
+BINS, SKETCH_BITS = 512, 4
+#: Members of a bucket in one block; a bucket's blocks meet pair by pair.
+BLOCK = 512
 
 
 def shingles(texts: list[bytes], n: int = SHINGLE):
@@ -109,125 +109,168 @@ def _bytes(x):
     return x.encode("utf-8", "surrogatepass").translate(_FOLD)
 
 
-def _sign(batches):
-    """Rows (id, k1, k2, size, bands, s0, s1, ...): hashes of the multiset, how many shingles it has, hashes of the bands,
-    and a few bits of each register."""
+def _slices(texts, most_rows: int, most_bytes: int = SLICE_BYTES):
+    """(row numbers, folded texts) of a column in slices of so many rows and bytes at most, one text at least."""
+    rows, out, size = [], [], 0
+    for k, x in enumerate(texts):
+        t = x.as_py()
+        t = b"" if t is None else _bytes(t)
+        if rows and (size + len(t) > most_bytes or len(rows) == most_rows):
+            yield rows, out
+            rows, out, size = [], [], 0
+        rows.append(k)
+        out.append(t)
+        size += len(t)
+    if rows:
+        yield rows, out
+
+
+def sketches(text, value, weight, texts: int):
+    """Longs of each text: bit k of 64 bins together. An element is a shingle at one of its unit steps of weight."""
     import numpy as np
 
-    names = ["id", "k1", "k2", "size", "bands", *SKETCH]
-    per = REGISTERS // BANDS
-    for b in batches:
-        rows, texts, size = [], [], 0
-        ids = b.column(0).to_pylist()
-        groups = []
-        for i, x in zip(ids, b.column(1)):
-            t = x.as_py()
-            if t is None or i is None:
-                continue
-            t = _bytes(t)
-            if texts and size + len(t) > SLICE_BYTES:
-                groups.append((rows, texts))
-                rows, texts, size = [], [], 0
-            rows.append(i)
-            texts.append(t)
-            size += len(t)
-        groups.append((rows, texts))
-        for rows, texts in groups:
-            text, value, weight = shingles(texts)
-            if not len(text):
-                continue
-            sig = signatures(text, value, weight, len(texts)).view(np.uint64)
-            full = np.unique(text)
-            keys = []
-            for c in (11, 12):
-                k = np.zeros(len(texts), np.uint64)
-                np.add.at(k, text, _mix(value + np.uint64(c)) * weight.astype(np.uint64))
-                keys.append(_mix(k)[full].view(np.int64))
-            sig = _mix(sig[full])
-            band = np.zeros((len(full), BANDS), np.uint64)
-            for j in range(per):
-                band = _mix(band + sig[:, j::per])
-            band = _mix(band + np.arange(BANDS, dtype=np.uint64))
-            size_of = np.bincount(text, weights=weight, minlength=len(texts))[full].astype(np.int64)
-            bits = [np.packbits((sig >> np.uint64(63 - k) & np.uint64(1)).astype(np.uint8), axis=1).view(">u8").astype(np.uint64).view(np.int64) for k in range(SKETCH_BITS)]
-            sketch = [pa.array(x[:, half].copy()) for x in bits for half in (0, 1)]
-            offsets = pa.array(np.arange(len(full) + 1, dtype=np.int32) * BANDS)
-            bands = pa.ListArray.from_arrays(offsets, pa.array(band.ravel().view(np.int64)))
-            yield pa.record_batch([pa.array([rows[k] for k in full], pa.int64()), pa.array(keys[0]), pa.array(keys[1]), pa.array(size_of), bands, *sketch], names=names)
+    each = np.repeat(np.arange(len(value)), weight)
+    step = np.arange(len(each)) - np.repeat(np.cumsum(weight) - weight, weight)
+    h = _mix(value[each] + _mix(step.astype(np.uint64) + np.uint64(77)))
+    least = np.full(texts * BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, text[each] * BINS + (h % np.uint64(BINS)).astype(np.int64), h)
+    code = np.where(least == np.iinfo(np.uint64).max, 0, _mix(least) % np.uint64((1 << SKETCH_BITS) - 1) + np.uint64(1)).astype(np.uint64).reshape(texts, BINS)
+    bits = [np.packbits((code >> np.uint64(k) & np.uint64(1)).astype(np.uint8), axis=1).view(">u8").astype(np.uint64).view(np.int64) for k in range(SKETCH_BITS)]
+    return np.stack(bits, axis=2).reshape(texts, -1)
 
 
-def _packed(sig):
-    """Columns of longs with SKETCH_BITS bits of each register: bit k of 64 registers together."""
+def _lists(x):
     import numpy as np
 
-    sig = _mix(sig)
-    bits = [np.packbits((sig >> np.uint64(63 - k) & np.uint64(1)).astype(np.uint8), axis=1).view(">u8").astype(np.uint64).view(np.int64) for k in range(SKETCH_BITS)]
-    return np.stack(bits, axis=2).reshape(len(sig), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
 
-def _fine(batches):
-    """(id, f array<long>): sketches of FINE registers."""
+def _keys(text, value, weight, texts: int):
+    """Two hashes of each text's multiset."""
     import numpy as np
 
+    out = []
+    for c in (11, 12):
+        k = np.zeros(texts, np.uint64)
+        np.add.at(k, text, _mix(value + np.uint64(c)) * weight.astype(np.uint64))
+        out.append(_mix(k).view(np.int64))
+    return out
+
+
+def _sign(batches):
+    """Rows (id, text, h) -> (id, h, k1, k2, size, bands, f): hashes of the multiset, how many shingles it has, hashes of
+    the bands, and the sketch; keys are null for texts without shingles and null ids."""
+    import numpy as np
+
+    names = ["id", "h", "k1", "k2", "size", "bands", "f"]
+    per = REGISTERS // BANDS
     for b in batches:
-        for k in range(0, b.num_rows, 64):
-            own = b.slice(k, 64)
-            text, value, weight = shingles([_bytes(x.as_py()) for x in own.column(1)])
-            if len(text):
-                full = np.unique(text)
-                f = _packed(signatures(text, value, weight, own.num_rows, FINE).view(np.uint64)[full])
-                offsets = pa.array(np.arange(len(full) + 1, dtype=np.int32) * f.shape[1])
-                yield pa.record_batch([own.column(0).take(pa.array(full)), pa.ListArray.from_arrays(offsets, pa.array(f.ravel()))], names=["id", "f"])
+        for rows, texts in _slices(b.column(1), 1024):
+            own = b.slice(rows[0], len(rows))
+            text, value, weight = shingles(texts)
+            sig = signatures(text, value, weight, len(texts)).view(np.uint64)
+            k1, k2 = _keys(text, value, weight, len(texts))
+            sig = _mix(sig)
+            band = np.zeros((len(texts), BANDS), np.uint64)
+            for j in range(per):
+                band = _mix(band + sig[:, j::per])
+            band = _mix(band + np.arange(BANDS, dtype=np.uint64))
+            size = np.bincount(text, weights=weight, minlength=len(texts)).astype(np.int64)
+            none = (size == 0) | np.asarray(own.column(0).is_null())
+            k1, k2 = pa.array(k1, mask=none), pa.array(k2, mask=none)
+            cols = [own.column(0), own.column(2), k1, k2, pa.array(size), _lists(band.view(np.int64)), _lists(sketches(text, value, weight, len(texts)))]
+            yield pa.record_batch(cols, names=names)
+    tidy()
 
 
 def similarity(a: str, b: str) -> float:
     """Weighted Jaccard similarity of two texts' shingle multisets."""
-    import numpy as np
+    return float(_overlaps([_bytes(a)], [_bytes(b)])[0])
 
-    t, v, w = shingles([_bytes(a), _bytes(b)])
-    return _overlap((v[t == 0], w[t == 0]), (v[t == 1], w[t == 1]))
 
-
-def _overlap(a, b) -> float:
+def _overlaps(left: list[bytes], right: list[bytes]):
+    """Weighted Jaccard similarity of each text on the left and its partner on the right."""
     import numpy as np
 
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
-    every = int(a[1].sum() + b[1].sum()) - both
-    return both / every if every else 0.0
+    n = len(left)
+    text, value, weight = shingles(left + right)
+    total = np.bincount(text, weights=weight, minlength=2 * n)
+    pair = text % n
+    order = np.lexsort((value, pair))
+    pair, value, weight = pair[order], value[order], weight[order]
+    both = np.flatnonzero((pair[1:] == pair[:-1]) & (value[1:] == value[:-1]))
+    low = np.bincount(pair[both], weights=np.minimum(weight[both], weight[both + 1]), minlength=n)
+    return low / np.maximum(total[:n] + total[n:] - low, 1)
 
 
 def _verify(batches):
-    """Rows (a, b, text of a, text of b), alike in a together where they can be -> (a, b, s)."""
-    last, own = None, None
+    """Rows (a, b, text of a, text of b) -> (a, b, s)."""
+    import numpy as np
+
     for b in batches:
-        out = []
-        for i, j, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-            if i != last:
-                _, v, w = shingles([_bytes(x.as_py())])
-                last, own = i, (v, w)
-            _, v, w = shingles([_bytes(y.as_py())])
-            out.append(_overlap(own, (v, w)))
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["a", "b", "s"])
+        out, left = [], b.column(2)
+        for rows, right in _slices(b.column(3), 256, SLICE_BYTES // 2):
+            out.append(_overlaps([_bytes(left[k].as_py()) for k in rows], right))
+        if out:
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.concatenate(out))], names=["a", "b", "s"])
+    tidy()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, s) of pairs (a, b); only the texts that pairs name are shuffled."""
+    """(a, b, s) of pairs (a, b) of nodes, by their texts (node, text)."""
 
     def run(batches):
         yield from _verify(batches)
 
-    named = pairs.select(F.col("b").alias("id")).union(pairs.select("a")).distinct()
-    own = may_be_in(texts, bit_table(named)).join(named, "id", "left_semi")
-    both = pairs.join(own.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").join(own.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, s double")
 
 
+LONGS = BINS // 64 * SKETCH_BITS
+
+
+def _spread(x: str) -> list:
+    """Columns of a node's size and sketch: z, f0, f1, ..., and o0, o1, ..., the bins that have elements. None is null, so
+    that the generated code of a comparison stays short enough to be compiled."""
+    full = [F.expr("coalesce(" + " | ".join(f"f[{k + j}]" for j in range(SKETCH_BITS)) + ", 0L)").alias(f"o{x}{k // SKETCH_BITS}") for k in range(0, LONGS, SKETCH_BITS)]
+    return [F.coalesce("size", F.lit(0)).alias(f"z{x}"), *[F.expr(f"coalesce(f[{k}], 0L)").alias(f"f{x}{k}") for k in range(LONGS)], *full]
+
+
+def may_link(threshold: float) -> str:
+    """SQL: the sizes and sketches of a and b allow similarity `threshold`. Of n bins with elements of the union, which has
+    u elements at the threshold, as many differ as in n draws without replacement."""
+    at = range(0, LONGS, SKETCH_BITS)
+    differ = " + ".join("bit_count(" + " | ".join(f"(fa{k + j} ^ fb{k + j})" for j in range(SKETCH_BITS)) + ")" for k in at)
+    n = "(" + " + ".join(f"bit_count(oa{k} | ob{k})" for k in range(len(at))) + ")"
+    u = f"((za + zb) / {1 + threshold})"
+    most = f"{1 - threshold} * {n} + 6 * sqrt({threshold * (1 - threshold)} * {n} * greatest({u} - {n}, 0) / greatest({u} - 1, 1)) + 1"
+    return f"least(za, zb) >= {threshold} * greatest(za, zb) and {differ} <= {most}"
+
+
+def _rest(member: DataFrame, links: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): members of different components of buckets (node, bucket) that hold several, if they may link. A bucket's
+    members are dealt to blocks, and each pair of blocks is a key of its own."""
+    comp = connected_components(links)
+    inside = member.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    opened = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+    rest = inside.join(opened.select("bucket", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("nb")), "bucket").join(classes.select("node", "size", "f"), "node")
+    rest, rest_at = materialize(rest.withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb"))), "open")
+    ends = {}
+    for x, others, cell in (("a", "sequence(i, nb - 1)", "i * nb + o"), ("b", "sequence(0L, i)", "o * nb + i")):
+        own = rest.withColumn("o", F.explode(F.expr(others))).withColumn("cell", F.expr(cell))
+        ends[x] = own.select("bucket", "cell", F.col("i").alias(f"i{x}"), F.col("node").alias(x), F.col("component").alias(f"c{x}"), *_spread(x))
+    cond = f"(ia < ib or a < b) and ca <> cb and {may_link(threshold)}"
+    pairs, _ = materialize(ends["a"].join(ends["b"], ["bucket", "cell"]).where(cond).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    forget(links.sparkSession, rest_at)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> dict[str, DataFrame]:
     """documents: (id, copy_of, component_id, kept), one row per row of docs; links: verified (a, b, s) between
-    representatives, s >= threshold.
+    representatives, s >= threshold; rows: (id, h, kept), where h is the xxhash64 of the text as a string.
 
-    copy_of is the smallest id with the same multiset, component_id the smallest id reachable by links.
+    copy_of is the smallest id with the same multiset, component_id the smallest id reachable by links. Bands are made
+    for thresholds of 0.8 and more; below, fewer pairs become candidates.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -235,73 +278,65 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     def sign(batches):
         yield from _sign(batches)
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed, _ = materialize(src.mapInArrow(sign, "id long, k1 long, k2 long, size long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH)), "signatures")
-    classes, _ = materialize(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "bands", *SKETCH)]), "classes")
-    texts = src.where("id is not null and text is not null")
-
-    # members of buckets that hold more than one representative
-    member = classes.select("rep", F.explode("bands").alias("bucket"))
-    heads = member.groupBy("bucket").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head < tail").select("bucket", "head")
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    signed, _ = materialize(src.select("id", "text", "h").mapInArrow(sign, "id long, h long, k1 long, k2 long, size long, bands array<long>, f array<long>"), "signatures")
+    classes = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "bands", "f")])
+    classes, _ = materialize(classes.withColumn("node", F.col("rep")), "classes")
+    alike = classes.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
+    shared = not alike.isEmpty()
+    if shared:  # an id with several texts: its first class keeps the id as its node, the others get a hash
+        nth = F.row_number().over(Window.partitionBy("rep").orderBy("k1", "k2"))
+        odd = classes.join(alike, "rep", "left_semi").withColumn("node", F.when(nth > 1, F.xxhash64("k1", "k2")).otherwise(F.col("rep")))
+        classes, _ = materialize(classes.join(alike, "rep", "left_anti").select(*classes.columns).unionByName(odd.select(*classes.columns)), "classes")
+
+    # members of buckets that hold more than one class
+    member = classes.select("node", F.explode("bands").alias("bucket"))
+    heads = member.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("bucket", "head")
     member, member_at = materialize(member.join(heads, "bucket"), "buckets")
-    sketch = classes.groupBy(F.col("rep").alias("id")).agg(*[F.min(c).alias(c) for c in ("size", *SKETCH)])
-    a, b = (sketch.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("size", *SKETCH)]) for x in "ab")
-    differ = " + ".join("bit_count(" + " | ".join(f"(a_s{2 * k + half} ^ b_s{2 * k + half})" for k in range(SKETCH_BITS)) + ")" for half in (0, 1))
-    # sizes bound the similarity exactly, sketches with a margin of six deviations
-    near = F.expr(f"least(a_size, b_size) >= {threshold} * greatest(a_size, b_size) and {differ} < {SKETCH_DIFFERS}")
-
-    star = member.where("head <> rep").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(b, "b").join(a, "a").where(near).select("a", "b")
-    known, known_at = materialize(verified(star, texts), "links")
-    comp, _ = materialize(connected_components(known.where(F.col("s") >= threshold)), "components")
-
-    # buckets that still hold several components: members of different ones, unless their distances to the head tell
-    comp_of = comp.select(F.col("node").alias("rep"), "component")
-    inside = member.join(comp_of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    to_head = known.select(F.col("a").alias("head"), F.col("b").alias("rep"), F.col("s"))
-    rest = inside.join(open_, "bucket", "left_semi").where("rep <> head").join(to_head, ["head", "rep"], "left").join(sketch.withColumnRenamed("id", "rep"), "rep")
-
-    def fine(batches):
-        yield from _fine(batches)
-
-    ids = rest.select(F.col("rep").alias("id")).distinct()
-    finer = may_be_in(texts, bit_table(ids)).mapInArrow(fine, "id long, f array<long>").groupBy("id").agg(F.first("f").alias("f"))
-    longs = FINE // 64 * SKETCH_BITS
-    rest = rest.join(finer.withColumnRenamed("id", "rep"), "rep")
-    rest, rest_at = materialize(rest.select("bucket", *[F.col("f")[k].alias(f"f{k}") for k in range(longs)], "rep", "size", F.collect_set("bucket").over(Window.partitionBy("rep")).alias("bs"), (1 - F.col("s")).alias("d")), "open")
-    cols = ["size", "bs", *[f"f{k}" for k in range(longs)]]
-    differ = " + ".join("bit_count(" + " | ".join(f"(a_f{k + j} ^ b_f{k + j})" for j in range(SKETCH_BITS)) + ")" for k in range(0, longs, SKETCH_BITS))
-    first = F.col("a_bucket") == F.array_min(F.array_intersect("a_bs", "b_bs"))  # a pair that shares several buckets comes once
-    links = known
-    # likely pairs first: what they unite needs no further look
-    for low, high in ((0, FINE_LIKELY), (FINE_LIKELY, FINE_DIFFERS)):
-        comp, _ = materialize(connected_components(links.where(F.col("s") >= threshold)), "components") if low else (comp, None)
-        now = rest.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        x, y = (now.select(F.col("bucket").alias(f"{p}_bucket"), F.col("rep").alias(p), F.col("component").alias(f"c{p}"), F.col("d").alias(f"d{p}"), *[F.col(c).alias(f"{p}_{c}") for c in cols]) for p in "ab")
-        apart = F.abs(F.col("da") - F.col("db")) > (1 - threshold) + 1e-9
-        near = F.expr(f"least(a_size, b_size) >= {threshold} * greatest(a_size, b_size) and {differ} >= {low} and {differ} < {high}")
-        cond = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~F.coalesce(apart, F.lit(False)) & near & first
-        pairs, _ = materialize(x.join(y, cond).select("a", "b"), "pairs")
-        more, _ = materialize(verified(pairs, texts), "links")
-        links = links.unionByName(more)
-    links, _ = materialize(links.where(F.col("s") >= threshold), "links")
+    named = member.select("node").distinct().join(classes.select("node", "rep", "k1"), "node")
+    named, named_at = materialize(named.select(F.col("rep").alias("id"), "node", "k1"), "named")
+    texts = may_be_in(src.where("id is not null and text is not null").select("id", "text", "h"), bit_table(named.select("id")))
+    texts = texts.join(signed.select("id", "h", "k1").distinct().join(named, ["id", "k1"]).select("id", "h", "node"), ["id", "h"])
+    texts, texts_at = materialize(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+
+    a, b = (classes.select(F.col("node").alias(x), *_spread(x)) for x in "ab")
+    star = member.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    star, _ = materialize(star.join(b, "b").join(a, "a").where(may_link(threshold)).select("a", "b"), "pairs")
+    known, known_at = materialize(verified(star, texts).where(F.col("s") >= threshold), "links")
+
+    pairs = _rest(member.select("node", "bucket"), known, classes, threshold)
+    links, _ = materialize(known.unionByName(verified(pairs, texts).where(F.col("s") >= threshold)), "links")
     comp, _ = materialize(connected_components(links), "components")
-    forget(spark, member_at, known_at, rest_at)
+    forget(spark, member_at, named_at, texts_at, known_at)
 
-    of = signed.select("id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).groupBy("id").agg(F.min("rep").alias("copy_of"), F.collect_set("rep").alias("reps"))
-    split = of.where(F.size("reps") > 1).select("id", F.explode("reps").alias("rep")).where("id <> rep")
-    if not split.isEmpty():  # an id with several texts ties their classes together
-        comp, _ = materialize(connected_components(links.select("a", "b").unionByName(split.select(F.col("rep").alias("a"), F.col("id").alias("b")))), "components")
-    out = src.select("id").join(of.select(F.col("id").alias("_id"), "copy_of"), F.col("id") == F.col("_id"), "left")
-    out = out.join(comp.select(F.col("node").alias("_node"), F.col("component")), F.col("copy_of") == F.col("_node"), "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("copy_of", "id").alias("copy_of"), F.coalesce("component", "copy_of", "id").alias("component_id"))
-    return {"documents": out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True))), "links": links}
+    of = classes.select("k1", "k2", "node", "rep").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if shared:
+        root = F.min(F.struct("rep", "node"))
+        of = of.join(of.groupBy("component").agg(root.alias("root")), "component").select("k1", "k2", "node", "rep", F.col("root.node").alias("component"), F.col("root.rep").alias("least"))
+    else:
+        of = of.withColumn("least", F.col("component"))
+    of, _ = materialize(of.select("k1", "k2", "rep", "least", (F.col("node") == F.col("component")).alias("first")), "classes")
+    out = signed.select("id", "h", "k1", "k2").join(of, ["k1", "k2"], "left")
+    documents = out.select(F.col("id").alias(id_col), F.coalesce("rep", "id").alias("copy_of"), F.coalesce("least", "id").alias("component_id"))
+    kept = F.coalesce(F.col("first") & (F.col("id") == F.col("rep")), F.lit(True))
+    return {"documents": documents.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True))), "links": links, "rows": out.select("id", "h", "k1", "k2", kept.alias("kept"))}
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near duplicates (the smallest id, once), with the columns it had; rows with a null
-    id stay."""
-    kept = near_duplicates(docs, threshold, id_col, text_col)["documents"].where(f"kept and {id_col} is not null").select(F.col(id_col).alias("_keep")).distinct()
-    one = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    """One document of each group of near duplicates (the smallest id, once), with the columns it had.
+
+    Nulls: rows with a null id, and rows with null, empty or wordless texts, link with nothing and stay. Of rows with one
+    id and the same words one stays: that of the smallest text hash, then of the smallest hash of the whole row, so that
+    retries agree. Rows with one id and texts that aren't alike are documents of their own. Columns may have any names.
+    """
+    rows = near_duplicates(docs, threshold, id_col, text_col)["rows"].where("kept and id is not null")
+    some = rows.where("k1 is not null").groupBy("id", "k1", "k2").agg(F.min("h").alias("h")).select("id", "h")
+    some = some.unionByName(rows.where("k1 is null").select("id", "h")).distinct()
+    i, h, all_ = fresh(docs.columns, "id", "text_hash", "row")
+    some = some.select(F.col("id").alias(i), F.col("h").alias(h))
+    keyed = docs.where(F.col(id_col).isNotNull()).withColumns({i: F.col(id_col).cast("long"), h: F.xxhash64(F.col(text_col).cast("string"))})
+    one = keyed.join(some, [i, h], "left_semi")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = one.groupBy(i, h).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*plain)).alias(all_))
+    return one.select(f"{all_}.*").unionByName(docs.where(F.col(id_col).isNull()))

@@ -177,6 +177,10 @@ def test_near_duplicates(spark, odd, none):
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 2, 3, 4, 5, 6]
     assert kept.where("doc_id is null").count() == 1
     assert bagminhash.near_duplicates(none)["documents"].count() == 0
+    clash = spark.createDataFrame([(1, "a b c d e f", 7), (1, "u v w x y z", 8), (1, "U V W X Y Z", 9), (2, "u v w x y z.", 10), (3, "u v w x y z.", 11)], "doc_id long, text string, _keep int").withColumns({c: F.lit(5) for c in ("_row", "id", "text_hash", "row", "node", "h", "k1")})
+    assert rows(bagminhash.near_duplicates(clash)["documents"].select("doc_id", "component_id")) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1)]
+    kept = bagminhash.keep_one(clash)
+    assert kept.columns == clash.columns and len({r["text"].lower() for r in kept.collect()}) == kept.count() == 2 and {r["_row"] for r in kept.collect()} == {5}
 
 
 def test_weighted_jaccard_unbiased():
@@ -193,6 +197,11 @@ def test_weighted_jaccard_unbiased():
         true = sum((x & y).values()) / sum((x | y).values())
         assert bagminhash.similarity(s, t) == pytest.approx(true)
         off.append((sig[0] == sig[1]).mean() - true)
+        f = bagminhash.sketches(*bagminhash.shingles([s.encode(), t.encode()]), 2).view(np.uint64).reshape(2, -1, 4)
+        some, differ = ((x[:, 0] | x[:, 1] | x[:, 2] | x[:, 3]) for x in (f[0] | f[1], f[0] ^ f[1]))
+        n, d = (sum(int(v).bit_count() for v in x) for x in (some, differ))
+        union = sum((x | y).values())
+        assert d <= n * (1 - true) + 6 * (true * (1 - true) * n * max(union - n, 0) / max(union - 1, 1)) ** 0.5 + 1
     assert abs(np.mean(off)) < 0.01 and np.max(np.abs(off)) < 0.08
 
 
@@ -442,7 +451,9 @@ def test_suffix_automaton():
 # shared ------------------------------------------------------------------------------------------------------------
 
 
-def test_components(spark):
+@pytest.mark.parametrize("each", [1 << 20, 4])
+def test_components(spark, monkeypatch, each):
+    monkeypatch.setattr(common, "CONTRACT_EDGES", each)
     e = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(31)}, **{k: 100 for k in range(100, 160)}, 200: 200, 201: 200}
