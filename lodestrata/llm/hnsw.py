@@ -2,33 +2,42 @@
 
 Equal vectors are one class. Classes are dealt to shards by hash; each shard builds a graph: levels by a hash, each
 level a graph of at most M links per node chosen by the usual diversity rule, filled by inserting batches that search
-the graph so far. Each shard audits itself: for samples of its own vectors and of other shards' it compares what a beam
-finds with brute force over the shard, and widens the beam until it finds 0.99 of the ten nearest and 0.99 of the links
-of those whose query would not widen it; a vector itself counts as neither. Every class queries every shard, in blocks; a
-query whose beam ends within the threshold widens it until it doesn't, or scans the shard. Found pairs are verified by
-cosine in double precision, links are made symmetric, and components united.
+the graph so far; nodes of the base level that its first node does not reach get a bridge to their nearest reached one.
+A query is a beam search; from every found vector within a margin of the threshold the graph is then walked on, as long
+as more such vectors are found, so a large group needs no wide beam. Each shard audits itself: for samples of its own
+vectors and of other shards' it compares what queries find with brute force over the shard, and widens the beam until
+0.99 of the links are found, and the nearest vector of 0.75 of the queries, most of which have no link (a vector itself
+counts as neither); a beam as wide as the shard reaches all of it, and if even that fails the audit the run fails.
+
+Graphs are written to the shared folder once. Every class queries every shard: a task holds a block of classes and reads
+one graph after the other. Found pairs are verified by cosine in double precision. A task gives a count of links for
+each class and, for the components, a spanning forest of the links it found, so what it gives does not grow with the
+square of a group.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors of another
 length, link with nothing; repeated rows are vectors of their own and link with each other; a null id links with
-nothing; an empty table gives no rows.
+nothing; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, tune
+from .common import arrow_uri, connected_components, forest, materialize, new_path, tidy, tune
 
-M, BASE_M, EF_BUILD = 12, 24, 40
-#: Shards below the size at which more are made; vectors of a shard; queries of a block.
-SHARDS, SHARD_ROWS, BLOCK_ROWS = 8, 50_000, 16_384
+M, BASE_M, EF_BUILD = 12, 24, 64
+#: Shards below the size at which more are made; vectors and bytes of a shard at most; queries and bytes of a block.
+SHARDS, SHARD_ROWS, SHARD_BYTES, BLOCK_ROWS, BLOCK_BYTES = 8, 50_000, 64 << 20, 16_384, 16 << 20
 BATCH = 256
 #: About so many vectors of all shards audit each shard, besides its own sample.
 AUDIT_ROWS = 512
+#: How far below the threshold the walk goes on; of how many audited queries the beam must find the nearest vector.
+MARGIN, NEAREST = 0.02, 0.75
 
 
 class Graph:
@@ -49,6 +58,46 @@ class Graph:
                 continue
             self._grow(nodes, BASE_M if l == 0 else M, upper)
             upper = len(self.layers)
+        if n:
+            self._bridge()
+
+    def __getstate__(self):
+        return [(nodes.astype("int32"), links.astype("int32")) for nodes, _, links in self.layers]
+
+    def __setstate__(self, layers):
+        import numpy as np
+
+        self.x, self.layers = None, []
+        for nodes, links in layers:
+            place = np.full(len(layers[-1][0]), -1, np.int64)
+            place[nodes] = np.arange(len(nodes))
+            self.layers.append((nodes.astype(np.int64), place, links))
+
+    def _bridge(self) -> None:
+        """Two more links a node in the base level, for what its first node does not reach: from the nearest reached node
+        that has room, and back."""
+        import numpy as np
+
+        nodes, place, links = self.layers[-1]
+        n = len(nodes)
+        links = np.concatenate([links, np.full((n, 2), -1, np.int64)], axis=1)
+        reached, front = np.zeros(n, bool), np.zeros(1, np.int64)
+        while True:
+            reached[front] = True
+            while len(front):
+                near = np.unique(links[front])
+                front = near[(near >= 0) & ~reached[np.maximum(near, 0)]]
+                reached[front] = True
+            if reached.all():
+                break
+            new = int(np.argmin(reached))
+            sims = np.where(reached & (links < 0).any(axis=1), self.x @ self.x[new], -3)
+            old = int(np.argmax(sims))
+            for a, b in ((old, new), (new, old)):
+                room = np.flatnonzero(links[a] < 0)
+                links[a, room[0] if len(room) else -1] = b
+            front = np.array([new])
+        self.layers[-1] = (nodes, place, links)
 
     def _grow(self, nodes, most: int, upper) -> None:
         """Insert the nodes of one layer in batches."""
@@ -90,7 +139,7 @@ class Graph:
         if not c:
             return out
         v = x[np.maximum(ids, 0)]
-        among = np.einsum("bcd,bed->bce", v, v)
+        among = v @ v.transpose(0, 2, 1)
         taken = np.zeros((b, c), bool)
         count = np.zeros(b, np.int64)
         valid = (ids >= 0) & (sims > -1.5)
@@ -108,20 +157,22 @@ class Graph:
         return out
 
     def _back(self, x, links, to, new, most: int) -> None:
-        """Links from old nodes to new ones; a full node chooses again."""
+        """Links from old nodes to new ones, 16 at a time; a full node chooses again."""
         import numpy as np
 
         order = np.lexsort((new, to))
         to, new = to[order], new[order]
         nodes, first, count = np.unique(to, return_index=True, return_counts=True)
-        extra = np.full((len(nodes), min(count.max(initial=0), 16)), -1, np.int64)
-        for k in range(extra.shape[1]):
-            has = count > k
-            extra[has, k] = new[first[has] + k]
-        ids = np.concatenate([links[nodes], extra], axis=1)
-        sims = np.where(ids >= 0, np.einsum("bcd,bd->bc", x[np.maximum(ids, 0)], x[nodes]), -2)
-        order = np.argsort(-sims, axis=1)
-        links[nodes] = self._choose(x, x[nodes], np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1), most)
+        for done in range(0, count.max(initial=0), 16):
+            on = count > done
+            own, extra = nodes[on], np.full((on.sum(), min(count.max() - done, 16)), -1, np.int64)
+            for k in range(extra.shape[1]):
+                has = count[on] > done + k
+                extra[has, k] = new[first[on][has] + done + k]
+            ids = np.concatenate([links[own], extra], axis=1)
+            sims = np.where(ids >= 0, np.einsum("bcd,bd->bc", x[np.maximum(ids, 0)], x[own]), -2)
+            order = np.argsort(-sims, axis=1)
+            links[own] = self._choose(x, x[own], np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1), most)
 
     def _seeds(self, layer, q, upper, inserted: int):
         """Where to enter a layer: what the layers above find, or its first nodes."""
@@ -195,127 +246,192 @@ class Graph:
 
         q = np.ascontiguousarray(q, dtype=np.float32)
         last = self.layers[-1]
-        seeds = last[1][self._descend(q, len(self.layers) - 1)] if len(self.layers) > 1 else np.tile(np.arange(min(len(last[0]), 8)), (len(q), 1))
-        return self._beam(last, q, seeds, min(ef, len(last[0])))
+        seeds = np.zeros((len(q), 1), np.int64)  # the first node reaches all others
+        if len(self.layers) > 1:
+            seeds = np.concatenate([last[1][self._descend(q, len(self.layers) - 1)], seeds], axis=1)
+        return self._beam(last, q, seeds, max(min(ef, len(last[0])), 1))
+
+    def within(self, q, ef: int, low: float, most: int = 1 << 17):
+        """(query, node) of all found at similarity low or more: by a beam, and by walking on from what is found. At most
+        about `most` nodes are opened at a time."""
+        import numpy as np
 
-    def audit(self, threshold: float, recall: float, others=None, sample: int = 256, top: int = 10, ef: int = 32) -> int:
-        """The beam at which samples of own vectors and others find that share of their nearest, and 0.99 of the links of
-        those that don't widen it; 0: scan. A vector is not its own neighbour."""
+        q = np.ascontiguousarray(q, dtype=np.float32)
+        ids, sims = self.search(q, ef)
+        n, links = len(self.x), self.layers[-1][2]
+        r, c = np.nonzero((ids >= 0) & (sims >= low))
+        c = ids[r, c].astype(np.int64)
+        seen, stamp = np.zeros(len(q) * n, bool), np.zeros(len(q) * n, np.int32)
+        seen[r * n + c] = True
+        found, todo = [(r, c)], [(r, c)]
+        while todo:
+            r, c = todo.pop()
+            if len(r) > most:
+                todo += [(r[most:], c[most:])]
+                r, c = r[:most], c[:most]
+            near = links[c]
+            k, j = np.nonzero(near >= 0)
+            at = r[k] * n + near[k, j]
+            at = at[~seen[at]]
+            stamp[at] = np.arange(len(at), dtype=np.int32)
+            at = at[stamp[at] == np.arange(len(at))]
+            seen[at] = True
+            r, c = at // n, at % n
+            s = np.empty(len(at), np.float32)
+            for k in range(0, len(at), most):
+                s[k : k + most] = np.einsum("nd,nd->n", q[r[k : k + most]], self.x[c[k : k + most]])
+            on = s >= low
+            if on.any():
+                found.append((r[on], c[on]))
+                todo.append((r[on], c[on]))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def audit(self, threshold: float, recall: float, others=None, sample: int = 256, ef: int = 16) -> int:
+        """The beam at which samples of own vectors and others find that share of their links, and NEAREST of the
+        nearest vectors. A vector is not its own neighbour."""
         import numpy as np
 
         n = len(self.x)
-        if n <= 4 * ef:
-            return 0
         pick = np.random.default_rng(7).choice(n, min(sample, n), replace=False)
         q = self.x[pick] if others is None else np.concatenate([self.x[pick], np.asarray(others, np.float32)])
-        near, links = np.zeros((len(q), n), bool), np.zeros((len(q), n), bool)
+        nearest, links = np.zeros(len(q), np.int64), np.zeros((len(q), n), bool)
         for k in range(0, len(q), 64):
             true = q[k : k + 64] @ self.x.T
             own = pick[k : k + 64]
             true[np.arange(len(own)), own] = -2
-            np.put_along_axis(near[k : k + 64], np.argpartition(-true, top - 1)[:, :top], True, 1)
+            nearest[k : k + 64] = true.argmax(axis=1)
             links[k : k + 64] = true >= threshold
-        while ef < n // 2:
-            ids, sims = self.search(q, ef)
-            some, at = ids >= 0, np.maximum(ids, 0)
-            hit = (np.take_along_axis(near, at, 1) & some).sum()
-            linked = (np.take_along_axis(links, at, 1) & some).sum(axis=1)
-            stays = ~_widens(sims, threshold)
-            if hit >= recall * near.sum() and linked[stays].sum() >= 0.99 * links[stays].sum():
+        best = np.einsum("nd,nd->n", q, self.x[nearest])
+        while True:
+            hit, linked = 0, 0
+            for k in range(0, len(q), 64):
+                ids, sims = self.search(q[k : k + 64], ef)
+                sims = np.where(ids == np.concatenate([pick, np.full(len(q) - len(pick), -9)])[k : k + 64, None], -2, sims)
+                hit += (sims.max(axis=1) >= best[k : k + 64] - 1e-6).sum()
+                r, c = self.within(q[k : k + 64], ef, threshold - MARGIN)
+                linked += links[k : k + 64][r, c].sum()
+            if linked >= recall * links.sum() and (n < 2 or hit >= NEAREST * len(q)):
                 return ef
-            ef *= 2
-        return 0
-
+            if ef >= n:
+                raise RuntimeError(f"a shard's graph finds {linked} of {links.sum()} links and {hit} of {len(q)} nearest vectors")
+            ef = min(ef * 2, n)
 
-def _widens(sims, threshold: float):
-    """Queries whose beam ends among the links: there may be more."""
-    return sims[:, -1] >= threshold - 0.05
 
-
-def _build(table: pa.Table, threshold: float, recall: float) -> pa.Table:
+def _build(table: pa.Table, threshold: float, recall: float, base: str) -> pa.Table:
+    """One shard's graph, written to the shared folder under a name of its own; gives the manifest's row."""
     import numpy as np
+    import pyarrow.fs as fs
 
     own = table["own"].to_numpy()
     x = np.asarray(table["x"].combine_chunks().flatten()).reshape(len(own), -1)
-    others, x, ids = x[~own], x[own], table["cid"].to_numpy()[own]
+    others, x, ids, n = x[~own], x[own], table["cid"].to_numpy()[own], table["n"].to_numpy()[own]
+    empty = pa.table({"dim": table["dim"][:0], "path": pa.array([], pa.string())})
     if not len(ids):
-        return pa.table({"dim": table["dim"][:0], "shard": table["shard"][:0], "index": pa.array([], pa.binary())})
+        return empty
     order = np.argsort(ids)
-    x = x[order]
-    g = Graph(x)
-    blob = pickle.dumps((ids[order], x, g, g.audit(threshold, recall, others)), protocol=5)
-    return pa.table({"dim": table["dim"][:1], "shard": table["shard"][:1], "index": pa.array([blob], pa.binary())})
+    g = Graph(x[order])
+    ef = g.audit(threshold, recall, others)
+    store, root = fs.FileSystem.from_uri(base)
+    store.create_dir(root, recursive=True)
+    name = f"graph-{uuid.uuid4().hex}"
+    with store.open_output_stream(f"{root}/{name}") as f:
+        f.write(pickle.dumps((ids[order], n[order], x[order], g, ef), protocol=5))
+    tidy()
+    return pa.table({"dim": table["dim"][:1], "path": pa.array([f"{base}/{name}"])})
+
+
+def _load(path: str):
+    import numpy as np
+    import pyarrow.fs as fs
 
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(at) as f:
+        ids, n, x, g, ef = pickle.loads(f.read())
+    g.x = np.ascontiguousarray(x, dtype=np.float32)
+    return ids, n, x, g, ef
 
-def _ask(queries: pa.Table, index: pa.Table, threshold: float) -> pa.Table:
-    """Pairs (a, b) of query and shard vectors with cosine >= threshold in double precision."""
+
+def _ask(batches, manifest: dict[int, list[str]], threshold: float):
+    """A block of classes (cid, dim, x) -> (a, b, n): how many vectors of other classes a links with (b is null), and
+    links a, b that unite what the block's links unite (n is null)."""
     import numpy as np
 
-    found: tuple[list, list] = ([], [])
-    if queries.num_rows and index.num_rows:
-        ids, x, g, ef = pickle.loads(index["index"][0].as_py())
-        own = queries["cid"].to_numpy()
-        q_all = np.asarray(queries["x"].combine_chunks().flatten()).reshape(len(own), -1)
-        for k in range(0, len(own), BATCH):
-            q, who = q_all[k : k + BATCH], own[k : k + BATCH]
-            todo, beam = np.arange(len(q)), ef
-            while len(todo):
-                if not beam or beam >= len(ids) // 2:
-                    r, c = np.nonzero(q[todo] @ x.T >= threshold - 1e-4)
-                    r, left = todo[r], todo[:0]
-                else:
-                    got, sims = g.search(q[todo], beam)
-                    full = _widens(sims, threshold)
-                    r, c = np.nonzero((sims >= threshold - 1e-4) & (got >= 0) & ~full[:, None])
-                    c, r, left = got[r, c], todo[r], todo[full]
-                s = np.einsum("nd,nd->n", q[r], x[c])
-                ok = (s >= threshold) & (who[r] != ids[c])
-                found[0].append(who[r[ok]])
-                found[1].append(ids[c[ok]])
-                todo, beam = left, beam * 4
-    a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
-    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+    parts: dict[int, list] = {}
+    for batch in batches:
+        dims = batch.column(1).to_numpy()
+        for d in np.unique(dims):
+            own = batch.filter(pa.array(dims == d))
+            parts.setdefault(int(d), []).append((own.column(0).to_numpy(), np.asarray(own.column(2).flatten()).reshape(-1, d)))
+    for d, held in parts.items():
+        who, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        count, u, v = np.zeros(len(who), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for path in manifest.get(d, ()):
+            ids, n, y, g, ef = _load(path)
+            step = max(16, min(BATCH, (1 << 23) // len(ids)))
+            for k in range(0, len(who), step):
+                r, c = g.within(x[k : k + step], ef, threshold - MARGIN)
+                a, b = [], []
+                for j in range(0, len(r), 1 << 16):
+                    i, o = r[j : j + (1 << 16)] + k, c[j : j + (1 << 16)]
+                    ok = (np.einsum("nd,nd->n", x[i], y[o]) >= threshold) & (who[i] != ids[o])
+                    i, o = i[ok], o[ok]
+                    count += np.bincount(i, weights=n[o], minlength=len(who)).astype(np.int64)
+                    a.append(who[i])
+                    b.append(ids[o])
+                if a and sum(map(len, a)):
+                    u, v = forest(np.concatenate([u, *a]), np.concatenate([v, *b]))
+        some = np.flatnonzero(count)
+        none = lambda m: pa.nulls(m, pa.int64())
+        yield pa.record_batch([pa.array(who[some]), none(len(some)), pa.array(count[some])], names=["a", "b", "n"])
+        yield pa.record_batch([pa.array(u), pa.array(v), none(len(u))], names=["a", "b", "n"])
+    tidy()
+
+
+def _divided(e: str, by):
+    """An array's elements by a value, which is computed once for the array and not for each element."""
+    return F.transform(F.array(F.struct(F.col(e).alias("e"), by.alias("by"))), lambda s: F.transform(s["e"], lambda t: t / s["by"]))[0]
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.99, id_col: str = "vec_id", vector_col: str = "embedding") -> dict[str, DataFrame]:
-    """vectors: (id, n_links, component_id, kept), one row per row; links: (a, b) between classes of equal vectors."""
+    """vectors: (id, n_links, component_id, kept), one row per row; links: (a, b) between classes of equal vectors that
+    unite all that links unite."""
     spark = vectors.sparkSession
     tune(spark)
     e = F.col(vector_col)
     fine = F.coalesce(F.col(id_col).isNotNull() & (F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(e, lambda v: v != 0), F.lit(False))
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(fine, F.transform(e, lambda t: t.cast("double"))).alias("e"))
     # scaled by the largest component first, so that squares neither overflow nor vanish
-    v = v.withColumn("e", F.when(F.col("e").isNotNull(), F.transform("e", lambda t: t / F.array_max(F.transform("e", F.abs)))))
+    v = v.withColumn("e", F.when(F.col("e").isNotNull(), _divided("e", F.array_max(F.transform("e", F.abs)))))
     v = v.withColumn("cid", F.when(F.col("e").isNotNull(), F.xxhash64("e")))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, t: s + t * t))
+    x = _divided("e", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, t: s + t * t)))
     classes = v.where("cid is not null").groupBy("cid").agg(F.count("*").alias("n"), F.min("id").alias("rep"), F.first("e").alias("e"))
-    classes = classes.withColumn("_n", norm).withColumn("x", F.transform("e", lambda t: t / F.col("_n"))).select("cid", "n", "rep", F.size("x").alias("dim"), "x")
+    classes = classes.select("cid", "n", "rep", F.size("e").alias("dim"), x.alias("x"))
     classes, _ = materialize(classes, "classes")
-    total = classes.count()
-    shards = max(min(SHARDS, -(-total // 512)), -(-total // SHARD_ROWS), 1)
-    blocks = max(1, -(-total // BLOCK_ROWS))
+    stats = classes.agg(F.count("*").alias("n"), F.coalesce(F.max("dim"), F.lit(1)).alias("dim")).first()
+    total, wide = stats["n"], 8 * stats["dim"]
+    shards = max(min(SHARDS, -(-total // 512)), -(-total // max(512, min(SHARD_ROWS, SHARD_BYTES // wide))), 1)
+    blocks = max(-(-total // max(64, min(BLOCK_ROWS, BLOCK_BYTES // wide))), min(2 * spark.sparkContext.defaultParallelism, -(-total // 1024)), 1)
+    base = arrow_uri(new_path(spark, "graphs"))
 
     def build(t):
-        return _build(t, threshold, recall)
-
-    def ask(q, i):
-        return _ask(q, i, threshold)
+        return _build(t, threshold, recall, base)
 
-    cols = ["dim", "shard", "cid", "x"]
+    cols = ["dim", "shard", "cid", "n", "x"]
     home = F.pmod("cid", F.lit(shards)).cast("int")
     dealt = classes.withColumn("shard", home).select(*cols, F.lit(True).alias("own"))
     audits = classes.where(F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(1 << 30)) < int(min(1.0, AUDIT_ROWS / max(1, total)) * (1 << 30)))
     audits = audits.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home).select(*cols, F.lit(False).alias("own"))
-    index, _ = materialize(dealt.unionByName(audits).groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, index binary"), "index")
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = classes.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int"))
-    key = ["dim", "shard", "block"]
-    pairs = asked.select(*key, "cid", "x").groupBy(*key).cogroup(index.select(*key, "index").groupBy(*key)).applyInArrow(ask, "a long, b long")
-    links, _ = materialize(pairs.distinct(), "links")
-    comp = connected_components(links)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    manifest: dict[int, list[str]] = {}
+    for r in dealt.unionByName(audits).groupBy("dim", "shard").applyInArrow(build, "dim int, path string").collect():  # a row per shard
+        manifest.setdefault(r["dim"], []).append(r["path"])
+
+    def ask(batches):
+        yield from _ask(batches, manifest, threshold)
+
+    found, _ = materialize(classes.select("cid", "dim", "x").repartition(blocks, "cid").mapInArrow(ask, "a long, b long, n long"), "links")
+    links, more = found.where("b is not null").select("a", "b"), found.where("b is null").select("a", F.col("n").alias("more"))
+    comp, _ = materialize(connected_components(links), "components")
     size = classes.select("cid", "n", "rep")
-    more = both.join(size.select(F.col("cid").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("more"))
     least = comp.join(size.select(F.col("cid").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     of = size.join(comp.select(F.col("node").alias("cid"), "component"), "cid", "left").join(least, "component", "left").join(more.withColumnRenamed("a", "cid"), "cid", "left")
     of = of.select(F.col("cid").alias("_cid"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).cast("long").alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
