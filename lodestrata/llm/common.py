@@ -126,25 +126,28 @@ def may_be_in(df: DataFrame, table) -> DataFrame:
 CONTRACT_EDGES = 1 << 20
 
 
+def forest(u, v):
+    """Edges (arrays) with the same components, as (node, smallest node) of each node that isn't the smallest."""
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, low = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        x, y = low[a], low[b]
+        if (x == y).all():
+            break
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+    on = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[on], nodes[low[on]]
+
+
 def _contract(batches, most: int = 1 << 20):
-    """Edges (u, v) of one task with the same components among themselves, as (node, smallest node) of each; at most
-    about `most` edges are held at a time."""
+    """The forests of one task's edges (u, v); at most about `most` edges are held at a time."""
     import numpy as np
     import pyarrow as pa
 
-    def forest(u, v):
-        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        a, b, low = at[: len(u)], at[len(u) :], np.arange(len(nodes))
-        while True:
-            x, y = low[a], low[b]
-            if (x == y).all():
-                break
-            np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
-            while (low[low] != low).any():
-                low = low[low]
-        on = np.flatnonzero(low != np.arange(len(nodes)))
-        return nodes[on], nodes[low[on]]
-
     def out(u, v):
         for k in range(0, len(u), 1 << 16):
             yield pa.record_batch([pa.array(x[k : k + (1 << 16)]) for x in (u, v)], names=["u", "v"])

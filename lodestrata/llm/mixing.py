@@ -1,17 +1,19 @@
 """Mixing sources to target weights, with DataFrame expressions only.
 
-Words of a source form one stream (documents by bucket, then id), cut into blocks of a fixed number of words. The mix
-has one slot for each block it takes. A pseudorandom permutation of all slots places each source's draws among the
-output shards, so the source counts of a shard are a multinomial draw conditioned on the mix's totals, which makes the
-totals exact. Slot j of a source takes the block that the source's own pseudorandom permutation gives for
-j mod (number of blocks), so no block is taken more than once oftener than another. Slots and blocks are then joined
-by (source, block index).
+Words of a source form one stream (documents by bucket, then id), cut into blocks of a fixed number of words. The mix has
+one slot for each block it takes, and its slots are dealt to output shards of a fixed number of slots. Each shard draws
+its source counts from one multinomial distribution: every slot of the shard draws a source, with the sources' slots as
+weights. Running sums of a source's counts over the shards number its slots. Draws beyond a source's own number of slots
+go to sources that are short of theirs (of n slots about the square root of n), so totals are exact. Slot j of a source
+takes the block that the source's own pseudorandom permutation gives for j mod (number of blocks), so no block is taken
+more than once oftener than another. Slots and blocks are then joined by (source, block index).
 
 Permutations are swap-or-not shuffles: a bijection of [0, n) for any n, computed for each index on its own, so neither
 a sort nor a table of the permutation is needed and reruns agree.
 
 Defined results: null text has size 0; a document without words has taken 0; null is a source of its own, after all
-others; identical rows get one part of the stream each; an empty table gives no rows; other columns are ignored.
+others; identical rows get one part of the stream each; texts of any length are taken whole; an empty table gives no
+rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,15 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sources up to this number are broadcast (a row each, under 4 MB); more are joined by shuffle.
+#: Sources up to this number are broadcast (a few rows each, under 4 MB); more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
-#: Rows that a stretch of a source's stream has on average: running sums are taken within stretches.
-STRETCH_ROWS = 50_000
-#: Slots that one row of the plan expands to.
-CHUNK_SLOTS = 4_096
+#: Rows that a stretch of a source's stream has on average, and the number of stretches at most: running sums are taken
+#: within stretches, then over the stretches of a source.
+STRETCH_ROWS, STRETCHES = 2_048, 1 << 16
+#: Output shards whose counts are summed up together before the running sums over a source's shards.
+GROUP_SHARDS = 4_096
 
 
 def permuted(x: Column, n: Column, key: Column, seed: int, rounds: int = 12) -> Column:
@@ -66,62 +69,102 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
 
 
 def plan_slots(targets: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
-    """(sidx, block, shard, slot): each slot of the mix, its place among the output shards and the block it takes."""
+    """(shard, sidx, j, block): each slot of the mix, in the shard that drew it: slot j of a source takes the block."""
+    spark = targets.sparkSession
     one = Window.orderBy("sidx")
     t = targets.where("source_size > 0").withColumn("blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
-    t = t.withColumn("slots", F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.col("blocks") * 2))
-    t = t.withColumn("first", F.coalesce(F.sum("slots").over(one.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-    t = t.withColumn("all", F.sum("slots").over(one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("long"))
-    t = t.where("slots > 0").withColumn("chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK_SLOTS})")))
-    t = t.repartition("sidx", "chunk")
-    t = t.withColumn("j", F.explode(F.expr(f"sequence(chunk * {CHUNK_SLOTS}, least(slots, (chunk + 1) * {CHUNK_SLOTS}) - 1)")))
-    t = t.withColumn("slot", permuted(F.col("first") + F.col("j"), F.col("all"), F.lit(0), seed))
-    t = t.withColumn("block", permuted(F.pmod("j", "blocks"), F.col("blocks"), F.col("sidx") + 1, seed + 7))
-    return t.select("sidx", "block", F.expr(f"slot div {shard_slots}").alias("shard"), "slot")
+    t = t.withColumn("slots", F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.col("blocks") * 2)).where("slots > 0")
+    t = t.withColumn("first", F.coalesce(F.sum("slots").over(one.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")).select("sidx", "blocks", "slots", "first")
+    t, _ = materialize(t, "slots")
+    total = t.agg(F.count("*").alias("n"), F.coalesce(F.sum("slots"), F.lit(0)).alias("slots")).first()
+    n, slots = max(1, total["n"]), max(1, total["slots"])
+    few = F.broadcast if n <= BROADCAST_SOURCES else (lambda x: x)
+
+    # every slot of a shard draws a number below `slots`; the source whose range holds it is found through equal cells
+    cell = -(-slots // n)
+    ranges = t.withColumn("cell", F.explode(F.expr(f"sequence(first div {cell}, (first + slots - 1) div {cell})"))).select("cell", "sidx", "first", (F.col("first") + F.col("slots")).alias("end"))
+    shards = -(-slots // shard_slots)
+    draws = spark.range(shards).withColumnRenamed("id", "shard").where(F.lit(total["slots"] > 0))
+    draws = draws.select("shard", F.explode(F.expr(f"sequence(0L, least({shard_slots}L, {slots}L - shard * {shard_slots}L) - 1)")).alias("i"))
+    draws = draws.withColumn("r", F.pmod(F.xxhash64(F.lit(seed), "shard", "i"), F.lit(slots))).withColumn("cell", F.expr(f"r div {cell}"))
+    drawn = draws.join(few(ranges), "cell").where("first <= r and r < end").groupBy("shard", "sidx").agg(F.count("*").alias("n"))
+    drawn, _ = materialize(drawn.withColumn("part", F.expr(f"shard div {GROUP_SHARDS}")), "draws")
+
+    # running sums over shards, within groups of shards and over the groups
+    before = Window.orderBy("part").partitionBy("sidx").rowsBetween(Window.unboundedPreceding, -1)
+    parts = drawn.groupBy("sidx", "part").agg(F.sum("n").alias("m"))
+    parts = parts.select("sidx", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("sidx", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    runs = drawn.withColumn("at", F.coalesce(F.sum("n").over(within), F.lit(0))).join(parts, ["sidx", "part"]).withColumn("at", (F.col("at") + F.col("base")).cast("long"))
+    runs = runs.join(few(t.select("sidx", "slots")), "sidx").withColumn("own", F.greatest(F.least("n", F.col("slots") - F.col("at")), F.lit(0).cast("long")))
+    runs, _ = materialize(runs.select("shard", "sidx", "n", "at", "own"), "runs")
+
+    # draws beyond a source's slots, and the slots that sources are short of, meet by rank
+    over = runs.where("n > own").withColumn("over", F.col("n") - F.col("own"))
+    over = over.withColumn("rank", F.coalesce(F.sum("over").over(Window.orderBy("sidx", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    over = over.select("shard", F.explode(F.expr("sequence(rank, rank + over - 1)")).alias("rank"))
+    got = runs.groupBy("sidx").agg(F.sum("n").alias("got"))
+    short = t.join(got, "sidx", "left").withColumn("got", F.coalesce("got", F.lit(0)).cast("long")).where("got < slots")
+    short = short.withColumn("rank", F.coalesce(F.sum(F.col("slots") - F.col("got")).over(Window.orderBy("sidx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    short = short.select("sidx", "rank", F.explode(F.expr("sequence(got, slots - 1)")).alias("j"), "got").select("sidx", (F.col("rank") + F.col("j") - F.col("got")).alias("rank"), "j")
+    own = runs.where("own > 0").select("shard", "sidx", F.explode(F.expr("sequence(at, at + own - 1)")).alias("j"))
+    every = own.unionByName(over.join(short, "rank").select("shard", "sidx", "j")).join(few(t.select("sidx", "blocks")), "sidx")
+    block = permuted(F.pmod("j", "blocks"), F.col("blocks"), F.col("sidx") + 1, seed + 7)
+    return every.select("shard", "sidx", "j", block.alias("block"))
 
 
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = 128, shard_slots: int = 8_192, seed: int = 20_011, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> dict[str, DataFrame]:
-    """The mix as DataFrames: documents (id, row, source, size, source_size, target, taken), slots, pieces.
+    """The mix as DataFrames: documents (id, row, source, size, source_size, target, taken, first_shard), slots, pieces.
 
-    row is a hash of the whole row's id, source and text; pieces are (sidx, block, row, id, words), the parts of
-    documents in each block, and slots joined with pieces by (sidx, block) are the mix itself.
+    row is a hash of the row's id, source and text; pieces are (sidx, block, row, id, words), the parts of documents in
+    each block, and slots joined with pieces by (sidx, block) are the mix itself: taken sums it up by document, and
+    first_shard is the first output shard that takes words of the document (null: none).
     """
-    d = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col)).alias("row"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    text = F.col(text_col).cast("string")
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(id_col).cast("long"), F.col(source_col).cast("string"), text).alias("row"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     d, _ = materialize(d, "sizes")
     targets, _ = materialize(source_targets(d, weights, share, cap), "targets")
-    few = targets.count() <= BROADCAST_SOURCES
-    hint = F.broadcast if few else (lambda x: x)
-    stretches = max(1, -(-d.count() // STRETCH_ROWS))
+    hint = F.broadcast if targets.count() <= BROADCAST_SOURCES else (lambda x: x)
+    stretches = min(STRETCHES, max(1, -(-d.count() // STRETCH_ROWS)))
     t = targets.withColumnRenamed("source", "_s")
     d = d.join(hint(t), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("stretch", F.pmod("row", F.lit(stretches)))
     sums = d.groupBy("sidx", "stretch").agg(F.sum("size").alias("n"))
     base = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("sidx").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")).select("sidx", "stretch", "base")
-    w = Window.partitionBy("sidx", "stretch").orderBy(id_col, "row").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("sidx", "stretch").orderBy("id", "row").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("at", F.coalesce(F.sum("size").over(w), F.lit(0)).cast("long")).join(base, ["sidx", "stretch"])
-    d = d.withColumn("at", F.col("at") + F.col("base")).drop("base", "stretch")
+    d, _ = materialize(d.withColumn("at", F.col("at") + F.col("base")).drop("base", "stretch"), "streams")
     pieces = d.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(at div {block_words}, (at + size - 1) div {block_words})")))
     pieces = pieces.withColumn("words", F.expr(f"least(at + size, (block + 1) * {block_words}) - greatest(at, block * {block_words})"))
     slots = plan_slots(targets, block_words, shard_slots, seed)
-    times = slots.groupBy("sidx", "block").agg(F.count("*").alias("times"))
-    keys = [id_col, "row", "source", "sidx", "size", "source_size", "target", "at"]
-    taken = pieces.join(times, ["sidx", "block"], "left").groupBy(*keys).agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
-    out = taken.unionByName(d.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))).drop("at", "sidx")
-    return {"documents": out, "slots": slots, "pieces": pieces.select("sidx", "block", "row", id_col, "words"), "targets": targets}
+    # a shuffle of both sides by (source, block index), whatever their sizes
+    mix = pieces.select("sidx", "block", "at", "words").join(slots.hint("merge"), ["sidx", "block"])
+    taken = mix.groupBy("sidx", "at").agg(F.sum("words").cast("long").alias("taken"), F.min("shard").alias("first_shard"))
+    # documents with words start at places of their own in their source's stream
+    place = F.when(F.col("size") > 0, F.col("at"))
+    out = d.withColumn("place", place).join(taken.withColumnRenamed("at", "place"), ["sidx", "place"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+    out = out.select(F.col("id").alias(id_col), "row", "source", "size", "source_size", "target", "taken", "first_shard")
+    return {"documents": out, "slots": slots, "pieces": pieces.select("sidx", "block", "row", F.col("id").alias(id_col), "words"), "targets": targets}
 
 
 def mixed_documents(docs: DataFrame, seed: int = 20_011, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """Documents as the mix takes them: each row 0, 1 or 2 times, with the columns it had.
 
     The number of copies is taken/size rounded down, or up with the fraction as its probability (a hash of the row
-    decides), so sources come near their targets with whole documents. A document without words is not taken.
+    decides), so sources come near their targets with whole documents. Nulls: a null source is a source, a null id is an
+    id like others; a document without words (null, empty, white space) is not taken. Rows with the same id, source and
+    text are taken together as often as their sum, as copies of that with the smallest hash of the whole row. Columns may
+    have any names; an empty table gives no rows.
     """
     mix = mix_sources(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)["documents"]
+    key, at, row, copies, alike, times, whole = fresh(docs.columns, "id", "at", "row", "copies", "alike", "times", "whole")
     chance = F.pmod(F.xxhash64(F.lit(seed + 99), "row", "taken"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    copies = F.floor(F.col("taken") / F.col("size") + chance).cast("long")
-    times = mix.where("taken > 0").select(F.col(id_col).alias("_id"), F.col("row").alias("_at"), copies.alias("_n"))
-    times = times.groupBy("_id", "_at").agg(F.sum("_n").alias("_sum"), F.count("*").alias("_rows")).where("_sum > 0")
-    row = F.xxhash64(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col))
-    both = docs.withColumn("_row", row).join(times, (F.col("_row") == F.col("_at")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
-    alone, alike = both.where("_rows = 1"), both.where("_rows > 1").dropDuplicates(["_id", "_at"])  # identical rows: one, as often as they are taken together
-    out = alone.unionByName(alike).withColumn("_copy", F.explode(F.expr("sequence(1L, _sum)")))
-    return out.select(*docs.columns)
+    n = F.floor(F.col("taken") / F.col("size") + chance).cast("long")
+    sums = mix.where("taken > 0").select(F.col(id_col).alias(key), F.col("row").alias(at), n.alias(copies))
+    sums = sums.groupBy(key, at).agg(F.sum(copies).alias(copies), F.count("*").alias(alike)).where(F.col(copies) > 0)
+    hashed = F.xxhash64(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col).cast("string"))
+    both = docs.withColumn(row, hashed).join(sums, (F.col(row) == F.col(at)) & F.col(id_col).cast("long").eqNullSafe(F.col(key)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = both.where(F.col(alike) > 1).groupBy(key, at, copies).agg(F.min_by(F.struct(*columns), F.xxhash64(*plain)).alias(whole)).select(f"{whole}.*", copies)
+    out = both.where(F.col(alike) == 1).select(*columns, copies).unionByName(one)
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*columns)

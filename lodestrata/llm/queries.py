@@ -73,7 +73,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
     docs = mix_sources(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)["documents"]
-    return docs.select("doc_id", "size", "source_size", "target", "taken")
+    return docs.select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

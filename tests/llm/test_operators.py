@@ -92,21 +92,21 @@ def test_graph_recall():
 
 
 class Lossy(hnsw.Graph):
-    """Brute force that at the first beam loses links of the places it is told (-1: of vectors that are not its own)."""
+    """A graph whose first beam loses links of the places it is told (-1: of vectors that are not its own)."""
 
     lost = ()
 
-    def search(self, q, ef):
+    def within(self, q, ef, low, most=1 << 17):
         sims = q @ self.x.T
-        if ef == 32:
-            own, to_self = sims.argmax(axis=1), sims > 1 - 1e-5
+        own, to_self = sims.argmax(axis=1), sims > 1 - 1e-5
+        if ef == 16:
             hide = np.where(to_self.any(axis=1), np.isin(own, self.lost), -1 in self.lost)
-            sims[hide[:, None] & ~to_self & (sims >= 0.95)] = -1
-        ids = np.argsort(-sims, axis=1)[:, :ef]
-        return ids, np.take_along_axis(sims, ids, 1)
+            sims[hide[:, None] & ~to_self] = -1
+        return np.nonzero(sims >= low)
 
 
-def test_audit_of_links():
+def test_audit_of_links(monkeypatch):
+    monkeypatch.setattr(hnsw, "NEAREST", 0)
     r = np.random.default_rng(2)
 
     def unit(v):
@@ -116,14 +116,35 @@ def test_audit_of_links():
     pick = np.random.default_rng(7).choice(2000, 256, replace=False)
     free = np.setdiff1d(np.arange(2000), pick)
     x[free[:2]] = unit(x[pick[:2]] + unit(r.normal(size=(2, 64))) * 0.1)  # two links among 256 sampled vectors
-    x[free[10:30]] = unit(x[pick[9]] + unit(r.normal(size=(20, 64))) * 0.1)  # 20 links, more than half the first beam
+    x[free[10:30]] = unit(x[pick[9]] + unit(r.normal(size=(20, 64))) * 0.1)  # 20 links, more than the first beam
     g = Lossy(x)
-    assert g.audit(0.95, 0.5) == 32
+    assert g.audit(0.95, 0.99) == 16
     for lost in ([pick[0], pick[1]], [pick[9]]):
         g.lost = lost
-        assert g.audit(0.95, 0.5) == 64
+        assert g.audit(0.95, 0.99) == 32
     g.lost = [-1]  # of other shards' vectors
-    assert g.audit(0.95, 0.5, unit(x[free[100:110]] + unit(r.normal(size=(10, 64))) * 0.1)) == 64
+    assert g.audit(0.95, 0.99, unit(x[free[100:110]] + unit(r.normal(size=(10, 64))) * 0.1)) == 32
+    g.within = lambda q, ef, low: (np.zeros(0, int), np.zeros(0, int))
+    with pytest.raises(RuntimeError):
+        g.audit(0.95, 0.99)
+
+
+def test_links_of_large_groups(spark):
+    """0.99 of the links of brute force and no other, on 20,000 vectors with groups of 2 to 1,500."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(20_000, 32))
+    at = 0
+    for size in (1500, 600, *[40] * 20, *[3] * 300, *[2] * 300):
+        x[at : at + size] = x[at] + r.normal(size=(size, 32)) * r.uniform(0.1, 0.2)
+        at += size
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    v = spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {row["vec_id"]: row for row in hnsw.near_vectors(v.repartition(4), 0.95)["vectors"].collect()}
+    links = np.concatenate([(x[k : k + 1000] @ x.T >= 0.95).sum(axis=1) - 1 for k in range(0, len(x), 1000)])
+    own = np.array([got[k]["n_links"] for k in range(len(x))])
+    assert (own <= links).all() and own.sum() >= 0.99 * links.sum() and (own[links == 0] == 0).all()
+    assert all(got[k]["component_id"] == k for k in np.flatnonzero(links == 0))
+    assert np.mean([got[k]["component_id"] == 0 for k in range(1500) if links[k] > 3]) > 0.99
 
 
 # 2 -----------------------------------------------------------------------------------------------------------------
@@ -379,24 +400,73 @@ def brute_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
     return out
 
 
+def brute_slots(spark, mix, block_words, shard_slots, seed):
+    """How often slot j of a source is there, its blocks and slots, from the targets alone: the draws, one by one."""
+    t = sorted((r for r in mix["targets"].collect() if r["source_size"]), key=lambda r: r["sidx"])
+    blocks = {r["sidx"]: -(-r["source_size"] // block_words) for r in t}
+    slots = {r["sidx"]: min(int(r["target"] * blocks[r["sidx"]] / r["source_size"] + 0.5), 2 * blocks[r["sidx"]]) for r in t}
+    line = [s for s in slots for _ in range(slots[s])]
+    draws = [(k // shard_slots, k % shard_slots) for k in range(len(line))]
+    rs = spark.createDataFrame(draws or [(0, 0)], "shard long, i long").select(F.xxhash64(F.lit(seed), "shard", "i")).collect()
+    j, over, took = Counter(), 0, Counter()
+    for (r,), _ in zip(rs, draws):
+        s = line[r % len(line)]
+        over += j[s] >= slots[s]
+        j[s] += j[s] < slots[s]
+    assert over == sum(slots[s] - j[s] for s in slots)
+    for s in slots:
+        for k in range(slots[s]):
+            took[s, k] += 1
+    return took, blocks, slots
+
+
 def test_mixing(spark, odd, none, docs):
     for df in (odd, docs):
-        mix = mixing.mix_sources(df)
-        got = mix["documents"].collect()
-        size = Counter()
-        for r in df.collect():
-            size[r["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
-        want = brute_targets(dict(size))
-        assert len(got) == df.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
-        for s in size:
-            own = [r for r in got if r["source"] == s]
-            assert {r["source_size"] for r in own} == {size[s]} and all(r["target"] == pytest.approx(want[s]) for r in own)
-            assert abs(sum(r["taken"] for r in own) - want[s]) <= 130 + 0.02 * want[s]
-        assert rows(mixing.mix_sources(df.repartition(3))["documents"]) == rows(mix["documents"])
+        for options in ({}, {"block_words": 16, "shard_slots": 64}):
+            mix = mixing.mix_sources(df, **options)
+            got = mix["documents"].collect()
+            size = Counter()
+            for r in df.collect():
+                size[r["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+            want = brute_targets(dict(size))
+            assert len(got) == df.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+            for s in size:
+                own = [r for r in got if r["source"] == s]
+                assert {r["source_size"] for r in own} == {size[s]} and all(r["target"] == pytest.approx(want[s]) for r in own)
+                assert abs(sum(r["taken"] for r in own) - want[s]) <= 130 + 0.02 * want[s]
+            # taken is the join of slots and blocks
+            took, blocks, slots = brute_slots(spark, mix, options.get("block_words", 128), options.get("shard_slots", 8192), 20_011)
+            plan = [(r["sidx"], r["j"], r["block"], r["shard"]) for r in mix["slots"].collect()]
+            assert Counter(x[:2] for x in plan) == took
+            for s in slots:
+                for lap in range(-(-slots[s] // blocks[s])):
+                    at = [b for i, j, b, _ in plan if i == s and j // blocks[s] == lap]
+                    assert len(set(at)) == len(at) and set(at) <= set(range(blocks[s]))
+            times = Counter(x[0::2][:2] for x in plan)
+            words = Counter()
+            for r in mix["pieces"].collect():
+                words[r["doc_id"], r["row"]] += r["words"] * times[r["sidx"], r["block"]]
+            assert {k: v for k, v in words.items() if v} == {k: v for k, v in (sum((Counter({(r["doc_id"], r["row"]): r["taken"]}) for r in got), Counter())).items() if v}
+            assert rows(mixing.mix_sources(df.repartition(3), **options)["documents"]) == rows(mix["documents"])
     again = mixing.mixed_documents(docs)
     assert again.columns == docs.columns and again.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
-    assert mixing.mixed_documents(odd).columns == odd.columns
     assert mixing.mix_sources(none)["documents"].count() == 0
+    clash = odd.withColumns({c: F.lit(7) for c in ("_row", "_copy", "_at", "_id", "at", "copies", "alike", "times", "whole", "sidx", "block")})
+    out = mixing.mixed_documents(clash)
+    assert out.columns == clash.columns and {r["_row"] for r in out.collect()} == {7} and out.count() > 0
+    assert mixing.mixed_documents(none).count() == 0
+
+
+def test_draws(spark):
+    """Source counts of a shard are multinomial: means and variances over 400 shards; totals are exact."""
+    t = spark.createDataFrame([("a", 0, 100_000, 150_000.0), ("b", 1, 50_000, 40_000.0), (None, 2, 10_000, 10_000.0)], "source string, sidx int, source_size long, target double")
+    slots = mixing.plan_slots(t, 1, 500, 3).groupBy("shard", "sidx").count().collect()
+    n = np.zeros((400, 3))
+    for r in slots:
+        n[r["shard"], r["sidx"]] = r["count"]
+    assert (n.sum(axis=1) == 500).all() and n.sum(axis=0).tolist() == [150_000, 40_000, 10_000]
+    p = np.array([0.75, 0.2, 0.05])
+    assert np.allclose(n.var(axis=0) / (500 * p * (1 - p)), 1, atol=0.3)
 
 
 def test_permutation(spark):
