@@ -10,10 +10,11 @@ horizon at which, as a rule, all registers are filled, and further where not, so
 Candidates share a band of registers: 32 bands of 4, which all differ for one in 2 * 10^7 pairs of similarity 0.8. Equal
 multisets are one class from the start. A band's bucket links its members to its first member; buckets that still hold
 several components then compare members of different components, in blocks, so that a large bucket is split over many
-tasks. A pair is put aside only if its sizes rule it out, or if its sketches (the least hash of the discretised elements in
-each of 512 bins, 4 bits of each) differ in more bins than six deviations above what similarity at the threshold gives,
-which is one in 10^9 pairs at the threshold and fewer above. Every other pair is verified by the overlap of the two
-texts' multisets, so no link is made without it. Groups of copies cost their size, not its square.
+tasks. A pair is put aside only if its sizes rule it out; or if the parities of its elements (discretised, hashed to 1024
+bits) differ in more bits than the texts may have different elements, which is exact; or if its sketches (the least hash of
+the elements in each of 512 bins, 4 bits of each) differ in more bins than six deviations above what similarity at the
+threshold gives, which is one in 10^9 pairs at the threshold and fewer above. Every other pair is verified by the overlap
+of the two texts' multisets, so no link is made without it. Groups of copies cost their size, not its square.
 
 Defined results: each row is a document, also where ids repeat; null, empty and wordless texts, and null ids, link with
 nothing; ties and repeated rows fall into one class; texts of any length are taken whole, in slices of about 1 MiB of
@@ -36,6 +37,8 @@ REGISTERS, BANDS = 128, 32
 SHINGLE = 5
 #: Bins of a sketch and bits of a bin (0: no element).
 BINS, SKETCH_BITS = 512, 4
+#: Bits of the parities.
+PARITIES = 1024
 #: Members of a bucket in one block; a bucket's blocks meet pair by pair.
 BLOCK = 512
 
@@ -126,7 +129,8 @@ def _slices(texts, most_rows: int, most_bytes: int = SLICE_BYTES):
 
 
 def sketches(text, value, weight, texts: int):
-    """Longs of each text: bit k of 64 bins together. An element is a shingle at one of its unit steps of weight."""
+    """Longs of each text: bit k of 64 bins together, then the parities. An element is a shingle at one of its unit steps
+    of weight."""
     import numpy as np
 
     each = np.repeat(np.arange(len(value)), weight)
@@ -136,7 +140,9 @@ def sketches(text, value, weight, texts: int):
     np.minimum.at(least, text[each] * BINS + (h % np.uint64(BINS)).astype(np.int64), h)
     code = np.where(least == np.iinfo(np.uint64).max, 0, _mix(least) % np.uint64((1 << SKETCH_BITS) - 1) + np.uint64(1)).astype(np.uint64).reshape(texts, BINS)
     bits = [np.packbits((code >> np.uint64(k) & np.uint64(1)).astype(np.uint8), axis=1).view(">u8").astype(np.uint64).view(np.int64) for k in range(SKETCH_BITS)]
-    return np.stack(bits, axis=2).reshape(texts, -1)
+    odd = np.bincount(text[each] * PARITIES + (h >> np.uint64(32)).astype(np.int64) % PARITIES, minlength=texts * PARITIES) & 1
+    odd = np.packbits(odd.astype(np.uint8).reshape(texts, PARITIES), axis=1).view(">u8").astype(np.uint64).view(np.int64)
+    return np.concatenate([np.stack(bits, axis=2).reshape(texts, -1), odd], axis=1)
 
 
 def _lists(x):
@@ -230,10 +236,10 @@ LONGS = BINS // 64 * SKETCH_BITS
 
 
 def _spread(x: str) -> list:
-    """Columns of a node's size and sketch: z, f0, f1, ..., and o0, o1, ..., the bins that have elements. None is null, so
-    that the generated code of a comparison stays short enough to be compiled."""
+    """Columns of a node's size and sketch: z, f0, f1, ..., p0, p1, ... (parities), and o0, o1, ..., the bins that have
+    elements. None is null, so that the generated code of a comparison stays short enough to be compiled."""
     full = [F.expr("coalesce(" + " | ".join(f"f[{k + j}]" for j in range(SKETCH_BITS)) + ", 0L)").alias(f"o{x}{k // SKETCH_BITS}") for k in range(0, LONGS, SKETCH_BITS)]
-    return [F.coalesce("size", F.lit(0)).alias(f"z{x}"), *[F.expr(f"coalesce(f[{k}], 0L)").alias(f"f{x}{k}") for k in range(LONGS)], *full]
+    return [F.coalesce("size", F.lit(0)).alias(f"z{x}"), *[F.expr(f"coalesce(f[{k}], 0L)").alias(f"f{x}{k}") for k in range(LONGS)], *[F.expr(f"coalesce(f[{LONGS + k}], 0L)").alias(f"p{x}{k}") for k in range(PARITIES // 64)], *full]
 
 
 def may_link(threshold: float) -> str:
@@ -244,7 +250,8 @@ def may_link(threshold: float) -> str:
     n = "(" + " + ".join(f"bit_count(oa{k} | ob{k})" for k in range(len(at))) + ")"
     u = f"((za + zb) / {1 + threshold})"
     most = f"{1 - threshold} * {n} + 6 * sqrt({threshold * (1 - threshold)} * {n} * greatest({u} - {n}, 0) / greatest({u} - 1, 1)) + 1"
-    return f"least(za, zb) >= {threshold} * greatest(za, zb) and {differ} <= {most}"
+    odd = " + ".join(f"bit_count(pa{k} ^ pb{k})" for k in range(PARITIES // 64))
+    return f"least(za, zb) >= {threshold} * greatest(za, zb) and {odd} <= (za + zb) * {(1 - threshold) / (1 + threshold) + 1e-9} and {differ} <= {most}"
 
 
 def _rest(member: DataFrame, links: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -253,14 +260,15 @@ def _rest(member: DataFrame, links: DataFrame, classes: DataFrame, threshold: fl
     comp = connected_components(links)
     inside = member.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     opened = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    rest = inside.join(opened.select("bucket", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("nb")), "bucket").join(classes.select("node", "size", "f"), "node")
+    rest = inside.join(opened.select("bucket", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("nb")), "bucket").join(classes.select("node", "size", "f", "bands"), "node")
     rest, rest_at = materialize(rest.withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb"))), "open")
     ends = {}
     for x, others, cell in (("a", "sequence(i, nb - 1)", "i * nb + o"), ("b", "sequence(0L, i)", "o * nb + i")):
         own = rest.withColumn("o", F.explode(F.expr(others))).withColumn("cell", F.expr(cell))
-        ends[x] = own.select("bucket", "cell", F.col("i").alias(f"i{x}"), F.col("node").alias(x), F.col("component").alias(f"c{x}"), *_spread(x))
-    cond = f"(ia < ib or a < b) and ca <> cb and {may_link(threshold)}"
-    pairs, _ = materialize(ends["a"].join(ends["b"], ["bucket", "cell"]).where(cond).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        ends[x] = own.select("bucket", "cell", F.col("i").alias(f"i{x}"), F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("bands").alias(f"b{x}"), *_spread(x))
+    # a pair that shares several buckets comes once
+    cond = f"(ia < ib or a < b) and ca <> cb and {may_link(threshold)} and bucket = array_min(array_intersect(ba, bb))"
+    pairs, _ = materialize(ends["a"].join(ends["b"], ["bucket", "cell"]).where(cond).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
     forget(links.sparkSession, rest_at)
     return pairs
 

@@ -218,7 +218,9 @@ def test_weighted_jaccard_unbiased():
         true = sum((x & y).values()) / sum((x | y).values())
         assert bagminhash.similarity(s, t) == pytest.approx(true)
         off.append((sig[0] == sig[1]).mean() - true)
-        f = bagminhash.sketches(*bagminhash.shingles([s.encode(), t.encode()]), 2).view(np.uint64).reshape(2, -1, 4)
+        f = bagminhash.sketches(*bagminhash.shingles([s.encode(), t.encode()]), 2).view(np.uint64)
+        assert sum(int(v).bit_count() for v in f[0, bagminhash.LONGS :] ^ f[1, bagminhash.LONGS :]) <= sum((x | y).values()) - sum((x & y).values())
+        f = f[:, : bagminhash.LONGS].reshape(2, -1, 4)
         some, differ = ((x[:, 0] | x[:, 1] | x[:, 2] | x[:, 3]) for x in (f[0] | f[1], f[0] ^ f[1]))
         n, d = (sum(int(v).bit_count() for v in x) for x in (some, differ))
         union = sum((x | y).values())
