@@ -7,30 +7,33 @@ byte (1: doc_id is null), the width of an id (2 or 4 bytes, by the vocabulary),
 index: for each record its offset, doc_id and number of ids (int64 each), so that records can be read in any order.
 
 Documents go to files by ranges of doc_id, sorted, so files in order are the corpus in ascending doc_id order (null
-first; rows of one id by text). Each task writes under a name of its own and only names that the successful tasks
+first; rows of one id by a hash of the text, which also parts them when they are many). Each task writes under a name of its own and only names that the successful tasks
 return enter the manifest, so retried or speculative tasks cannot mix. Files are in the folder that the session's
 checkpoint setting names.
 
-Defined results: null and empty texts have the end id only; repeated ids are records of their own; an empty table
-gives no files and no rows.
+Defined results: null and empty texts have the end id only; texts of any length are one record; repeated ids and rows
+are records of their own; other columns, whatever their names, are ignored; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from array import array
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_uri, new_path, tune
+from .common import arrow_uri, new_path, tidy, tune
 
 MASK = 0xA282EAD8
 FRAME, HEAD = struct.Struct("<QI"), struct.Struct("<qBB")
-CACHE_ENTRIES = 250_000
+#: Pieces that a generation keeps.
+CACHE_ENTRIES = 120_000
 
 
 def masked(data: bytes) -> int:
@@ -57,12 +60,36 @@ def frames(stream):
         yield body[:n]
 
 
-class ChunkEncoder:
-    """Ids of whole texts as the tokenizers library gives them, kept by space-led chunk.
+# The pieces that the vocabulary's byte-level splitter makes, for characters below U+0250, where letters,
+# numbers and white space are the same in every version of Unicode.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+_PIECES = re.compile(f" ?[{_L}]+| ?[{_N}]+|'(?:[stmd]|re|ve|ll)| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_OTHER = re.compile("[^\x00-\u024f]")
 
-    The byte-level splitter starts a piece at each space that no white space follows, so a text is the sequence of
-    its chunks; their ids come from the library once and are kept in a bounded table. Texts in which white space or
-    the end follows a space, or with a special token's string, go to the library whole.
+
+class _Ids(dict):
+    """Ids by piece; what is missing comes from the generation before or from the library's merges."""
+
+    def __init__(self, tokenize, shown: dict, code: str, old: dict):
+        self.tokenize, self.shown, self.code, self.old = tokenize, shown, code, old
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array(self.code, [t.id for t in self.tokenize(piece.translate(self.shown))]).tobytes()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
+class PieceEncoder:
+    """Ids of whole texts as the tokenizers library gives them, kept by piece.
+
+    A byte-level splitter cuts a text into pieces; the ids of a piece come from the library's merges once and are kept in
+    a table of two generations, of which the older goes when the younger is full. Texts with characters from U+0250 on
+    are cut at spaces that no white space follows, where a piece always starts, and their parts with such characters cut
+    by the library. Texts in which white space or the end follows a space as well, or with a special token's string, go
+    to the library whole.
     """
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
@@ -70,76 +97,60 @@ class ChunkEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
-        self.most, self.seen, self.pieces = cache_entries, {}, {}
-        self.marks = {c: self.pack(self.tok.encode(c, add_special_tokens=False).ids) for c in ".,;:!?"}
+        self.most = cache_entries
         #: How the library's byte-level splitter shows bytes: printable Latin-1 as itself, the others from U+0100 on.
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         odd = [b for b in range(256) if b not in plain]
-        self.shown = [chr(b) if b in plain else chr(256 + odd.index(b)) for b in range(256)]
+        shown = [chr(b) if b in plain else chr(256 + odd.index(b)) for b in range(256)]
+        self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0x250)}
+        self.ids = _Ids(self.tok.model.tokenize, self.shown, self.code, {})
 
     def pack(self, ids) -> bytes:
-        import numpy as np
+        return array(self.code, ids).tobytes()
 
-        return np.asarray(ids, dtype=self.kind).tobytes()
+    def _library(self, text: str) -> bytes:
+        return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of one of the splitter's pieces: the library's merges."""
-        if (ids := self.pieces.get(piece)) is None:
-            ids = array(self.code, [t.id for t in self.tok.model.tokenize(piece)]).tobytes()
-            if len(self.pieces) > self.most // 4:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
-
-    def _new(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that are not kept yet, each led by a space."""
-        got, seen, tokenize = {}, self.seen, self.tok.model.tokenize
-        split = self.tok.pre_tokenizer.pre_tokenize_str
-        for w in chunks:
-            mark = w[-1] if w[-1] in self.marks else ""
-            word = w[:-1] if mark else w
-            if word.isalpha() and max(word) < "\u0250":  # letters in every version of Unicode
-                ids = seen.get(word) or got.get(word)
-                if ids is None:
-                    piece = "Ġ" + (word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode())))
-                    ids = array(self.code, [t.id for t in tokenize(piece)]).tobytes()
-                got[w] = ids + self.marks[mark] if mark else ids
-            else:
-                got[w] = b"".join([self._piece(p) for p, _ in split(" " + w)])
-        return got
+    def _pieces(self, pieces: list[str]) -> bytes:
+        out = b"".join(map(self.ids.__getitem__, pieces))
+        if len(self.ids) > self.most:
+            self.ids.old = {}
+            self.ids = _Ids(self.ids.tokenize, self.shown, self.code, self.ids)
+        return out
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.special):
-            return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
+        if self.special.search(text):
+            return self._library(text)
+        if not _OTHER.search(text):
+            return self._pieces(_PIECES.findall(text))
         first, *rest = text.split(" ")
-        seen = self.seen
-        parts = list(map(seen.get, rest))
-        if None in parts:
-            new = list({w for w, p in zip(rest, parts) if p is None})
-            if any(not w or w[0].isspace() for w in new):
-                return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
-            got = self._new(new)
-            parts = [got[w] if p is None else p for w, p in zip(rest, parts)]
-            if len(seen) > self.most:
-                seen.clear()
-            seen.update((w, p) for w, p in got.items() if len(w) <= 64)
-        lead = b"".join([self._piece(p) for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(first)]) if first else b""
-        return lead + b"".join(parts)
+        if any(not w or w[0].isspace() for w in rest):
+            return self._library(text)
+        chunks = [first, *[" " + w for w in rest]]
+        return b"".join([self._chunk(c) if _OTHER.search(c) else self._pieces(_PIECES.findall(c)) for c in chunks if c])
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk that the library cuts; kept like a piece."""
+        ids = self.ids.get(chunk) or self._library(chunk)
+        if len(chunk) <= 64:
+            self.ids[chunk] = ids
+        return ids
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> PieceEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
 
 
@@ -171,7 +182,8 @@ def _write_part(batches, tokenizer_path: str, end_id: int, base: str):
         index.write(np.asarray(lines, dtype="<i8").tobytes())
     if out is not None:
         out.close(), index.close()
-        yield pa.record_batch([pa.array([x]) for x in (f"{base}/{name}.bin", docs_n, tokens, at)] + [pa.array([first], pa.int64()), pa.array([last], pa.int64())], names=["path", "docs", "tokens", "bytes", "first_id", "last_id"])
+        yield pa.record_batch([pa.array([x]) for x in (f"{base}/{name}.bin", docs_n, tokens, at)] + [pa.array([x], pa.int64()) for x in (first, last, TaskContext.get().partitionId())], names=["path", "docs", "tokens", "bytes", "first_id", "last_id", "part"])
+    tidy()
 
 
 def _read_files(batches, id_col: str):
@@ -205,14 +217,16 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 0, to: str
     spark = docs.sparkSession
     tune(spark)
     base = arrow_uri(to or new_path(spark, "records"))
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    src = src.repartitionByRange("id").sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    # the hash spreads rows that share an id, or have none, over several files
+    src = src.repartitionByRange("id", "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h", F.col("text").asc_nulls_first()).select("id", "text")
 
     def run(batches):
         yield from _write_part(batches, tokenizer_path, end_id, base)
 
-    rows = src.mapInArrow(run, "path string, docs long, tokens long, bytes long, first_id long, last_id long").collect()
-    rows.sort(key=lambda r: (r["first_id"] is not None, r["first_id"], r["last_id"]))
+    rows = src.mapInArrow(run, "path string, docs long, tokens long, bytes long, first_id long, last_id long, part long").collect()
+    rows.sort(key=lambda r: r["part"])
     out, start = [], 0
     for r in rows:
         out.append(r.asDict() | {"start": start})
