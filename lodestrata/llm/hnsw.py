@@ -6,7 +6,7 @@ the graph so far; nodes of the base level that its first node does not reach get
 A query is a beam search; from every found vector within a margin of the threshold the graph is then walked on, as long
 as more such vectors are found, so a large group needs no wide beam. Each shard audits itself: for samples of its own
 vectors and of other shards' it compares what queries find with brute force over the shard, and widens the beam until
-0.99 of the links are found, and the nearest vector of 0.75 of the queries, most of which have no link (a vector itself
+0.99 of the links are found, and the nearest vector of 0.6 of the queries, most of which have no link (a vector itself
 counts as neither); a beam as wide as the shard reaches all of it, and if even that fails the audit the run fails.
 
 Graphs are written to the shared folder once. Every class queries every shard: a task holds a block of classes and reads
@@ -37,7 +37,7 @@ BATCH = 256
 #: About so many vectors of all shards audit each shard, besides its own sample.
 AUDIT_ROWS = 512
 #: How far below the threshold the walk goes on; of how many audited queries the beam must find the nearest vector.
-MARGIN, NEAREST = 0.02, 0.75
+MARGIN, NEAREST = 0.02, 0.6
 
 
 class Graph:
@@ -254,10 +254,12 @@ class Graph:
     def within(self, q, ef: int, low: float, most: int = 1 << 17):
         """(query, node) of all found at similarity low or more: by a beam, and by walking on from what is found. At most
         about `most` nodes are opened at a time."""
+        return self._walk(q, *self.search(q, ef), low, most)
+
+    def _walk(self, q, ids, sims, low: float, most: int = 1 << 17):
         import numpy as np
 
         q = np.ascontiguousarray(q, dtype=np.float32)
-        ids, sims = self.search(q, ef)
         n, links = len(self.x), self.layers[-1][2]
         r, c = np.nonzero((ids >= 0) & (sims >= low))
         c = ids[r, c].astype(np.int64)
@@ -306,10 +308,10 @@ class Graph:
             hit, linked = 0, 0
             for k in range(0, len(q), 64):
                 ids, sims = self.search(q[k : k + 64], ef)
+                r, c = self._walk(q[k : k + 64], ids, sims, threshold - MARGIN)
+                linked += links[k : k + 64][r, c].sum()
                 sims = np.where(ids == np.concatenate([pick, np.full(len(q) - len(pick), -9)])[k : k + 64, None], -2, sims)
                 hit += (sims.max(axis=1) >= best[k : k + 64] - 1e-6).sum()
-                r, c = self.within(q[k : k + 64], ef, threshold - MARGIN)
-                linked += links[k : k + 64][r, c].sum()
             if linked >= recall * links.sum() and (n < 2 or hit >= NEAREST * len(q)):
                 return ef
             if ef >= n:
