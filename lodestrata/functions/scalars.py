@@ -207,7 +207,7 @@ def _(spark, d):
     return table(spark, d, "events").where(json_contains(p, {"k": 87}) & json_has(p, "k") & ~json_has(p, "zz")).select("event_id")
 
 
-@R.query("sc_json_set_each", "functions/JSON", "SELECT event_id, 'a' AS k, '1' AS v FROM events WHERE event_id < 50 UNION ALL SELECT event_id, 'k', CAST(json_extract(props, '$.k') AS VARCHAR) FROM events WHERE event_id < 50")
+@R.query("sc_json_set_each", "functions/JSON", "SELECT event_id, 'a' AS k, '1' AS v FROM events UNION ALL SELECT event_id, 'k', CAST(json_extract(props, '$.k') AS VARCHAR) FROM events")
 def _(spark, d):
     e = table(spark, d, "events")
     return e.select("event_id", F.explode(F.from_json(json_set(F.col("props"), a=1, zz=None), "map<string,string>")).alias("k", "v"))

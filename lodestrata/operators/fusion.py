@@ -306,7 +306,20 @@ def _(spark, d):
     return m.select("query", "hit", *[decimal(c, 6).alias(c) for c in ("rr", "precision", "recall", "ndcg")])
 
 
-@R.query("ev_mean_metrics", "E-07", "SELECT CAST(count(DISTINCT lang) AS BIGINT) AS queries FROM documents")
+_MEAN = "CAST(round(CAST(avg({0}) AS DECIMAL(38,12)), 6) AS DOUBLE) AS {0}"
+MEANS_SQL = f"""WITH r AS (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, CAST(contains(lower(source), 'src1') AS INT) AS rel FROM documents),
+q AS (
+    SELECT lang, CAST(max(rel) AS DOUBLE) AS hit, coalesce(1.0 / min(CASE WHEN rank <= 5 AND rel = 1 THEN rank END), 0) AS rr,
+        sum(CASE WHEN rank <= 5 THEN rel ELSE 0 END) AS n, sum(CASE WHEN rank <= 5 THEN rel / log2(rank + 1) ELSE 0 END) AS dcg
+    FROM r WHERE rank <= 10 GROUP BY 1),
+m AS (
+    SELECT hit, CAST(rr AS DOUBLE) AS rr, n / 5.0 AS precision, CAST(n AS DOUBLE) AS recall,
+        coalesce(dcg / list_sum(list_transform(range(1, CAST(n AS INT) + 1), lambda i: 1 / log2(i + 1))), 0) AS ndcg FROM q)
+SELECT count(*) AS queries, {', '.join(_MEAN.format(c) for c in ('hit', 'rr', 'precision', 'recall', 'ndcg'))} FROM m"""
+
+
+@R.query("ev_mean_metrics", "E-07", MEANS_SQL)
 def _(spark, d):
     docs = table(spark, d, "documents")
     res = docs.select(F.col("lang").alias("query"), "source", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("rank")).where("rank <= 10")

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize
-from ..plans.registry import Registry
-from ..session import table
+from ..plans.registry import Registry, run_sql
 from .merge import upsert
 
 R = Registry()
@@ -76,68 +75,90 @@ INTENTS = {
     "list_contracts": Pattern("Contract"),
 }
 
-#: GS-09: words that ask for an intent, more special ones first; the first that a question has decides.
-ASKS = [
-    ("find_superseded_contracts", r"supersed\w*|supercede\w*"),
-    ("find_amendments", r"amend(s|ments?|ed|ing)?"),
-    ("find_incorporated_documents", r"incorporat\w+\s+by\s+reference"),
-    ("find_attachments", r"attach(es|ed|ments?)"),
-    ("find_replacements", r"replaces?d?|replacements?"),
-    ("find_references", r"referenced?s?\s+document|external\s+document|documents?\s+referenced?s?|are\s+referenced"),
-    ("find_missing_indemnity", r"(missing|no|lacks?|without)\s+(an?\s+)?indemnit\w+"),
-    ("find_missing_termination", r"(missing|no|lacks?|without)\s+(an?\s+)?terminat\w+"),
-    ("find_risk_chains", r"causes?d?\b.*\brisk\w*|risk\w*\b.*\bcauses?d?"),
-    ("find_all_risks", r"risks?|compliance\s+gap|exposure|vulnerabilit\w+"),
-    ("find_indemnification", r"indemnif\w+|indemnit(y|ies)"),
-    ("find_jurisdictions", r"governing\s+law|jurisdiction|choice\s+of\s+law"),
-    ("find_termination_clauses", r"terminat(e|ion|ing|ed)"),
-    ("find_confidentiality_clauses", r"confidential(ity)?|nda|non.?disclosure"),
-    ("find_payment_terms", r"payment\s+terms?|fees?|royalt(y|ies)|revenue\s+shar\w+"),
-    ("find_obligations", r"obligations?|duties|duty"),
-    ("find_liability_clauses", r"liabilit(y|ies)"),
-    ("find_effective_dates", r"effective\s+date|commences?|takes?\s+effect"),
-    ("find_expiration_dates", r"expir(ation|y)\s+date|expires?d?|expiry"),
-    ("find_renewal_terms", r"renewal|auto.?renew\w*"),
-    ("find_disclosures", r"disclosed?s?|disclosures?"),
-    ("find_parties", r"signed|signs|part(y|ies)|signator(y|ies)"),
-    ("find_sections", r"(sub)?sections?|paragraphs?|headings?|structur(e|al)"),
-]
-#: GS-10: words of the logical graphs.
-GRAPHS = {
-    "ENTITY": r"part(y|ies)|jurisdiction|governing\s+law|contract\w*|liabilit",
-    "HIERARCHY": r"(sub)?sections?|paragraphs?|headings?|structur|hierarch|clause\s+text|chunks?\s+of",
-    "LINEAGE": r"amend|supersed|supersession|replac|incorporat\w+\s+by\s+reference|lineage|references?d?\s+document|previous\s+(version|contract)|original\s+agreement|attache",
-    "RISK": r"risk|compliance\s+gap|missing\s+clause|exposure|vulnerabilit|gap\s+(in|analysis)|not?\s+(have\s+)?(an?\s+)?(indemnit|liabilit|terminat)",
+#: GS-09: stems that tell of an intent, each with a weight; a phrase of several stems must stand in this order, up to two
+#: words apart. An intent's score is the sum over its stems that a question has; the highest score is the intent.
+STEMS = {
+    "find_parties": {"party": 1, "parties": 1, "who sign": 3, "signator": 3, "signed": 2},
+    "find_indemnification": {"indemnif": 4, "indemnit": 4},
+    "find_jurisdictions": {"jurisdiction": 4, "governing law": 5, "choice law": 5},
+    "find_termination_clauses": {"terminat": 4},
+    "find_confidentiality_clauses": {"confidential": 5, "nda": 5, "non disclosure": 9},
+    "find_payment_terms": {"payment": 4, "fee": 4, "royalt": 4, "revenue shar": 5},
+    "find_obligations": {"obligation": 3, "duty": 3, "duties": 3},
+    "find_liability_clauses": {"liabilit": 4},
+    "find_effective_dates": {"effective date": 5, "take effect": 5, "takes effect": 5, "commence": 4},
+    "find_expiration_dates": {"expir": 4},
+    "find_renewal_terms": {"renew": 4},
+    "find_disclosures": {"disclos": 4},
+    "find_superseded_contracts": {"supersed": 6, "superced": 6},
+    "find_amendments": {"amend": 6},
+    "find_references": {"document refer": 6, "referenced": 4, "external document": 6},
+    "find_incorporated_documents": {"incorporat reference": 9},
+    "find_attachments": {"attach": 6},
+    "find_replacements": {"replac": 6},
+    "find_all_risks": {"risk": 4, "compliance gap": 5, "exposure": 4, "vulnerab": 4},
+    "find_risk_chains": {"risk cause": 6, "risk factor cause": 1, "cause risk": 6, "cause other risk": 6},
+    "find_missing_indemnity": {"lack indemnit": 9, "missing indemnit": 9, "without indemnit": 9, "no indemnit": 9},
+    "find_missing_termination": {"lack terminat": 9, "missing terminat": 9, "without terminat": 9, "no terminat": 9},
+    "find_sections": {"section": 4, "subsection": 4, "paragraph": 4, "heading": 4, "structur": 4},
+}
+#: GS-10: stems of the logical graphs beside ENTITY, which is always asked.
+GRAPH_STEMS = {
+    "HIERARCHY": ["section", "subsection", "paragraph", "heading", "structur", "hierarch", "clause text", "chunk"],
+    "LINEAGE": ["amend", "supers", "superc", "replac", "incorporat reference", "lineage", "document refer", "referenced document", "previous version", "previous contract", "original agreement", "attach"],
+    "RISK": ["risk", "compliance gap", "missing clause", "exposure", "vulnerab", "gap in", "gap analysis", "no indemnit", "no liabilit", "no terminat", "not have indemnit", "not have liabilit", "not have terminat"],
 }
-_ASKING = {"Which", "What", "Who", "Whose", "Whom", "How", "When", "Where"}
+#: Words that begin questions and sentences, and words that are no name by themselves.
+OPENERS = frozenset("which what who whose whom how when where why is are was were do does did has have can could will list show find give tell name in on at of for the a an any all".split())
+
+
+def _words(question: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", question.lower())
+
+
+def _has(words: list[str], phrase: str, gap: int = 2) -> bool:
+    """The stems of a phrase begin words that follow each other with at most so many words between."""
+    first, *rest = phrase.split()
+    ends = [k for k, w in enumerate(words) if w.startswith(first) and (len(first) > 3 or w in (first, first + "s"))]
+    for stem in rest:
+        ends = [k for e in ends for k in range(e + 1, min(e + gap + 2, len(words))) if words[k].startswith(stem)]
+    return bool(ends)
 
 
 def name_in(question: str) -> str | None:
-    """A quoted name, else title-case words in a row, else one proper noun before a company or contract word or the end."""
-    if m := re.search(r"\"([^\"]+)\"|'([^']+)'", question):
-        return (m[1] or m[2]).strip()
-    word = r"[A-Z][\w&',.\\-]*"
-    if m := re.search(rf"\b({word}(?:\s+{word})+)\b", question):
-        ws = m[1].split()
-        while ws and ws[0] in _ASKING:
-            ws = ws[1:]
-        return " ".join(ws).strip() or None
-    if (m := re.search(r"\b([A-Z][\w&',.\\-]{2,})(?=\s*[?.!]|\s*$|\s+(?:contract|agreement|corp|corporation|inc|ltd|llc|company))", question)) and m[1] not in _ASKING:
-        return m[1].strip()
-    return None
+    """What stands in quotes that open after a space; else the longest run of capitalised words that does not just open
+    the sentence, the first of equals."""
+    for mark in "\"'":
+        parts = f" {question} ".split(f" {mark}", 1)
+        if len(parts) == 2 and (inner := parts[1].partition(mark)[0].strip()) and mark in parts[1]:
+            return inner
+    runs, run, begun = [], [], 0
+    for k, token in enumerate([*question.split(), ""]):
+        bare = token.strip(".,;:!?()")
+        goes_on = bare[:1].isupper() and (run or bare.lower() not in OPENERS) or run and bare == "&"
+        if goes_on:
+            begun = begun if run else k
+            run.append(bare.removesuffix("'s"))
+        if run and (not goes_on or token[-1:] in tuple(",;:!?")):
+            runs.append((begun, run))
+            run = []
+    names = [" ".join(r) for k, r in runs if (k or len(r) > 1) and (len(r) > 1 or len(r[0]) > 4 or not r[0].isupper())]
+    return max(names, key=lambda r: len(r.split()), default=None)
 
 
 def parse_intent(question: str) -> tuple[str, str | None]:
-    """(intent, name) of a question; list_contracts if no word asks for another."""
-    for intent, words in ASKS:
-        if re.search(rf"\b(?:{words})\b", question, re.I):
-            return intent, name_in(question)
-    return "list_contracts", name_in(question)
+    """(intent, name) of a question: the intent with the highest score, of equals the first; list_contracts if none has
+    any."""
+    words = _words(question)
+    scores = {intent: sum(w for stem, w in stems.items() if _has(words, stem)) for intent, stems in STEMS.items()}
+    best = max(scores, key=scores.get)
+    return (best if scores[best] else "list_contracts"), name_in(question)
 
 
 def route(question: str) -> list[str]:
     """The logical graphs to ask, ENTITY always, in order."""
-    return [g for g, words in GRAPHS.items() if g == "ENTITY" or re.search(rf"\b(?:{words})", question, re.I)]
+    words = _words(question)
+    return ["ENTITY", *[g for g, stems in GRAPH_STEMS.items() if any(_has(words, s) for s in stems)]]
 
 
 def match(v: DataFrame, e: DataFrame, src: str | list | None = None, rel: str | list | None = None, dst: str | list | None = None) -> DataFrame:
@@ -304,24 +325,45 @@ def valid_at(e: DataFrame, at: Column) -> DataFrame:
     return e.where((F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
 
 
-# the star schema as a graph: customers are contracts, suppliers parties, nations jurisdictions, parts clauses
-V_SQL = "v AS (SELECT concat('c', CAST(c_custkey AS STRING)) AS uuid, 'Contract' AS label, c_name AS name FROM customer UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), 'Party', s_name FROM supplier UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), 'Jurisdiction', n_name FROM nation)"
-E_SQL = "e AS (SELECT concat('g', CAST(c_custkey AS STRING)) AS uuid, concat('c', CAST(c_custkey AS STRING)) AS src, concat('n', CAST(c_nationkey AS STRING)) AS dst, 'GOVERNED_BY' AS rel_type FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT concat('b', CAST(c_custkey AS STRING), '-', CAST(s_suppkey AS STRING)), concat('c', CAST(c_custkey AS STRING)), concat('s', CAST(s_suppkey AS STRING)), 'SIGNED_BY' FROM customer JOIN supplier ON c_nationkey = s_nationkey UNION ALL SELECT concat('a', CAST(c_custkey AS STRING)), concat('c', CAST(c_custkey AS STRING)), concat('c', CAST(c_custkey + 1 AS STRING)), 'AMENDS' FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey + 1 IN (SELECT c_custkey FROM customer))"
+# the star schema as a graph: customers are contracts, suppliers parties, nations jurisdictions; parts are the other
+# vertices, of 13 labels in turn, and a contract has an edge to the next part of each label, but for every seventh contract
+_K = "((l.k - c_custkey) % 13 + 13) % 13"
+V_SQL = """l AS (SELECT * FROM (VALUES (0, 'Section', 'HAS_SECTION'), (1, 'Clause', 'HAS_CLAUSE'), (2, 'TerminationClause', 'HAS_TERMINATION'),
+    (3, 'ConfidentialityClause', 'HAS_CLAUSE'), (4, 'PaymentTerm', 'HAS_PAYMENT_TERM'), (5, 'Obligation', 'OBLIGATES'), (6, 'LiabilityClause', 'LIMITS_LIABILITY'),
+    (7, 'EffectiveDate', 'HAS_CLAUSE'), (8, 'ExpirationDate', 'HAS_CLAUSE'), (9, 'RenewalTerm', 'HAS_RENEWAL'), (10, 'ReferenceDocument', 'REFERENCES'),
+    (11, 'IndemnityClause', 'HAS_CLAUSE'), (12, 'Risk', NULL)) AS t(k, label, rel)),
+v AS (SELECT concat('c', CAST(c_custkey AS STRING)) AS uuid, 'Contract' AS label, c_name AS name FROM customer
+    UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), 'Party', s_name FROM supplier
+    UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), 'Jurisdiction', n_name FROM nation
+    UNION ALL SELECT concat('p', CAST(p_partkey AS STRING)), l.label, p_name FROM part JOIN l ON l.k = p_partkey % 13)"""
+
+
+def _edge(kind: str, key: str, src: str, dst: str, rel: str, rest: str) -> str:
+    return f"SELECT concat('{kind}', CAST({key} AS STRING)) AS uuid, concat({src}) AS src, concat({dst}) AS dst, {rel} AS rel_type FROM {rest}"
+
+
+_C, _D, _S, _P = (f"'{x}', CAST({y} AS STRING)" for x, y in (("c", "c_custkey"), ("c", "c_custkey + {0}"), ("s", "s_suppkey"), ("p", "p_partkey")))
+_NEXT = "customer WHERE c_custkey % {1} {2} 0 AND c_custkey + {0} IN (SELECT c_custkey FROM customer)"
+_MORE = "supplier WHERE s_suppkey + {0} IN (SELECT s_suppkey FROM supplier)"
+_PARTS = "part WHERE p_partkey % 13 = {0} AND p_partkey + {1} IN (SELECT p_partkey FROM part)"
+E_SQL = "e AS (" + "\nUNION ALL ".join([
+    _edge("g", "c_custkey", _C, "'n', CAST(c_nationkey AS STRING)", "'GOVERNED_BY'", "customer WHERE c_custkey % 3 <> 0"),
+    f"SELECT concat('b', CAST(c_custkey AS STRING), '-', CAST(s_suppkey AS STRING)), concat({_C}), concat({_S}), 'SIGNED_BY' FROM customer JOIN supplier ON c_nationkey = s_nationkey",
+    _edge("a", "c_custkey", _C, _D.format(1), "'AMENDS'", _NEXT.format(1, 5, "<>")),
+    _edge("u", "c_custkey", _C, _D.format(2), "'SUPERCEDES'", _NEXT.format(2, 3, "=")),
+    _edge("r", "c_custkey", _C, _D.format(3), "'REPLACES'", _NEXT.format(3, 4, "=")),
+    _edge("i", "s_suppkey", _S, "'s', CAST(s_suppkey + 1 AS STRING)", "'INDEMNIFIES'", _MORE.format(1)),
+    _edge("d", "s_suppkey", _S, "'s', CAST(s_suppkey + 2 AS STRING)", "'DISCLOSES_TO'", _MORE.format(2)),
+    f"SELECT concat('h', CAST(c_custkey AS STRING), '-', CAST(l.k AS STRING)), concat({_C}), concat({_P}), CASE WHEN l.k <> 10 THEN l.rel WHEN c_custkey % 3 = 0 THEN 'REFERENCES' WHEN c_custkey % 3 = 1 THEN 'INCORPORATES_BY_REFERENCE' ELSE 'ATTACHES' END FROM customer JOIN l ON l.k < 12 JOIN part ON p_partkey = c_custkey + {_K} WHERE c_custkey % 7 <> 0",
+    _edge("k", "p_partkey", _P, "'p', CAST(p_partkey + 1 AS STRING)", "'HAS_CLAUSE'", _PARTS.format(0, 1)),
+    _edge("o", "p_partkey", _P, "'p', CAST(p_partkey + 13 AS STRING)", "'CAUSES'", _PARTS.format(12, 13)),
+    f"SELECT concat('w', CAST(p_partkey AS STRING)), concat({_P}), concat({_S}), 'INCREASES_RISK_FOR' FROM part JOIN supplier ON s_suppkey = p_partkey % 10 + 1 WHERE p_partkey % 13 = 12",
+]) + ")"
 
 
 def star_graph(spark, d) -> GraphStore:
-    c, s, n = (table(spark, d, t) for t in ("customer", "supplier", "nation"))
-    key = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
-    v = None
-    for df, u, label, name in ((c, key("c", "c_custkey"), "Contract", "c_name"), (s, key("s", "s_suppkey"), "Party", "s_name"), (n, key("n", "n_nationkey"), "Jurisdiction", "n_name")):
-        one = df.select(u.alias("uuid"), F.lit(label).alias("label"), F.col(name).alias("name"), normalize(F.col(name)).alias("normalized_name"), F.lit("star").alias("document_id"), F.lit("{}").alias("metadata"))
-        v = one if v is None else v.unionByName(one)
-    rest = [F.lit("star").alias("document_id"), F.lit("{}").alias("properties")]
-    e = c.where("c_custkey % 3 <> 0").select(key("g", "c_custkey").alias("uuid"), key("c", "c_custkey").alias("src"), key("n", "c_nationkey").alias("dst"), F.lit("GOVERNED_BY").alias("rel_type"), *rest)
-    b = c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).select(F.concat(key("b", "c_custkey"), F.lit("-"), F.col("s_suppkey").cast("string")).alias("uuid"), key("c", "c_custkey").alias("src"), key("s", "s_suppkey").alias("dst"), F.lit("SIGNED_BY").alias("rel_type"), *rest)
-    nxt = c.select((F.col("c_custkey") - 1).alias("c_custkey"))
-    a = c.where("c_custkey % 5 <> 0").join(nxt, "c_custkey", "left_semi").select(key("a", "c_custkey").alias("uuid"), key("c", "c_custkey").alias("src"), F.concat(F.lit("c"), (F.col("c_custkey") + 1).cast("string")).alias("dst"), F.lit("AMENDS").alias("rel_type"), *rest)
-    return GraphStore(v, e.unionByName(b).unionByName(a))
+    v = run_sql(spark, d, f"WITH {V_SQL} SELECT * FROM v").withColumns({"normalized_name": normalize(F.col("name")), "document_id": F.lit("star"), "metadata": F.lit("{}")})
+    return GraphStore(v, run_sql(spark, d, f"WITH {V_SQL}, {E_SQL} SELECT * FROM e").withColumns({"document_id": F.lit("star"), "properties": F.lit("{}")}))
 
 
 def _intent_sql(p: Pattern, name: str | None) -> str:
@@ -353,7 +395,28 @@ def _(spark, d):
     return optional_match(g.v, g.e, "Contract", "GOVERNED_BY", "Jurisdiction").select("uuid", "target")
 
 
-@R.query("gp_paths", "GP-02 GP-01", f"WITH RECURSIVE {V_SQL}, {E_SQL}, p AS (SELECT src AS start_, dst AS end_, 1 AS depth, concat(src, '>', dst) AS nodes FROM e WHERE rel_type = 'AMENDS' UNION ALL SELECT p.start_, e.dst, p.depth + 1, concat(p.nodes, '>', e.dst) FROM p JOIN e ON e.src = p.end_ AND e.rel_type = 'AMENDS' WHERE p.depth < 3) SELECT start_, end_, depth, nodes FROM p")
+@R.query("gp_two_hops", "GP-01 J-22", f"WITH {V_SQL}, {E_SQL} SELECT a.uuid AS contract, b.uuid AS section, c.uuid AS clause FROM e x JOIN e y ON y.src = x.dst JOIN v a ON a.uuid = x.src JOIN v b ON b.uuid = x.dst JOIN v c ON c.uuid = y.dst WHERE x.rel_type = 'HAS_SECTION' AND y.rel_type = 'HAS_CLAUSE' AND a.label = 'Contract' AND b.label = 'Section' AND c.label = 'Clause'")
+def _(spark, d):
+    g = star_graph(spark, d)
+    first = match(g.v, g.e, "Contract", "HAS_SECTION", "Section").select(F.col("a_uuid").alias("contract"), F.col("b_uuid").alias("section"))
+    return first.join(match(g.v, g.e, "Section", "HAS_CLAUSE", "Clause").select(F.col("a_uuid").alias("section"), F.col("b_uuid").alias("clause")), "section")
+
+
+@R.query("gp_edge_types", "GP-10", f"WITH {V_SQL}, {E_SQL} SELECT rel_type, count(*) AS n FROM e WHERE rel_type LIKE 'HAS!_%' ESCAPE '!' GROUP BY 1")
+def _(spark, d):
+    return star_graph(spark, d).e.where("rel_type LIKE 'HAS!_%' ESCAPE '!'").groupBy("rel_type").agg(F.count("*").alias("n"))
+
+
+@R.query("gs_add_edges", "GS-02 GP-09", f"WITH {V_SQL}, {E_SQL}, g AS (SELECT src, dst FROM e WHERE rel_type = 'GOVERNED_BY') SELECT 'GOVERNED_BY' AS rel_type, 'once' AS how, count(*) AS n FROM g UNION ALL SELECT 'GOVERNED_BY', 'again', 2 * count(*) FROM g UNION ALL SELECT 'HAS_CLAUSE', x, count(*) FROM g, (VALUES ('once'), ('again')) t(x) GROUP BY x")
+def _(spark, d):
+    g = star_graph(spark, d)
+    old = g.e.where("rel_type = 'GOVERNED_BY'")
+    new = old.unionByName(old.withColumn("rel_type", F.lit("NO_SUCH_TYPE"))).withColumn("uuid", F.concat(F.lit("x"), "uuid"))
+    out = [GraphStore(g.v, old).add_edges(new, once).e.withColumn("how", F.lit(how)) for how, once in (("once", True), ("again", False))]
+    return out[0].unionByName(out[1]).groupBy("rel_type", "how").agg(F.count("*").alias("n"))
+
+
+@R.query("gp_paths", "GP-02", f"WITH RECURSIVE {V_SQL}, {E_SQL}, p AS (SELECT src AS start_, dst AS end_, 1 AS depth, concat(src, '>', dst) AS nodes FROM e WHERE rel_type = 'AMENDS' UNION ALL SELECT p.start_, e.dst, p.depth + 1, concat(p.nodes, '>', e.dst) FROM p JOIN e ON e.src = p.end_ AND e.rel_type = 'AMENDS' WHERE p.depth < 3) SELECT start_, end_, depth, nodes FROM p")
 def _(spark, d):
     return paths(star_graph(spark, d).e, "AMENDS", 1, 3).select(F.col("start").alias("start_"), F.col("end").alias("end_"), "depth", F.array_join("nodes", ">").alias("nodes"))
 
@@ -364,7 +427,7 @@ def _(spark, d):
     return match(g.v, g.e, rel=["AMENDS", "GOVERNED_BY"], dst=["Jurisdiction", "Contract"]).where(F.contains(F.lower("b_name"), F.lit("2"))).select(F.col("r_uuid").alias("uuid"))
 
 
-@R.query("gp_cypher", "GS-08 GP-10", f"WITH {V_SQL}, {E_SQL} SELECT a.name AS contract, b.name AS law FROM e JOIN v a ON a.uuid = e.src JOIN v b ON b.uuid = e.dst WHERE e.rel_type = 'GOVERNED_BY' AND contains(lower(a.name), '11') ORDER BY 1, 2 LIMIT 30")
+@R.query("gp_cypher", "GS-08", f"WITH {V_SQL}, {E_SQL} SELECT a.name AS contract, b.name AS law FROM e JOIN v a ON a.uuid = e.src JOIN v b ON b.uuid = e.dst WHERE e.rel_type = 'GOVERNED_BY' AND contains(lower(a.name), '11') ORDER BY 1, 2 LIMIT 30")
 def _(spark, d):
     return star_graph(spark, d).cypher("MATCH (c:Contract)-[r:GOVERNED_BY]->(j:Jurisdiction) WHERE toLower(c.name) CONTAINS '11' RETURN c.name AS contract, j.name AS law LIMIT 30")
 
@@ -388,4 +451,31 @@ def _(spark, d):
     return star_graph(spark, d).context("12")
 
 
+#: Questions with the intent, name and graphs that they must give.
+ASKED = [
+    ("Which parties signed the Harbour Lease Agreement?", "find_parties", "Harbour Lease Agreement", "ENTITY"),
+    ("Is anyone indemnified under 'Deal Nine'?", "find_indemnification", "Deal Nine", "ENTITY"),
+    ("Which agreements lack an indemnity clause?", "find_missing_indemnity", None, "ENTITY"),
+    ("What risk causes another risk?", "find_risk_chains", None, "ENTITY,RISK"),
+    ("What does the Harbour Lease amend?", "find_amendments", "Harbour Lease", "ENTITY,LINEAGE"),
+    ("Show the section headings", "find_sections", None, "ENTITY,HIERARCHY"),
+    ("List everything", "list_contracts", None, "ENTITY"),
+]
+
+
+def _asked_sql(k: int) -> str:
+    text = lambda x: "CAST(NULL AS VARCHAR)" if x is None else "'" + x.replace("'", "''") + "'"
+    return " UNION ALL ".join(f"SELECT {text(q)} AS question, " + (f"{text(i)} AS intent, {text(n)} AS name" if k == 9 else f"{text(g)} AS graphs") for q, i, n, g in ASKED)
+
+
+@R.query("gs_intents", "GS-09", _asked_sql(9))
+def _(spark, d):
+    return spark.createDataFrame([(q, *parse_intent(q)) for q, *_ in ASKED], "question string, intent string, name string")
+
+
+@R.query("gs_routes", "GS-10", _asked_sql(10))
+def _(spark, d):
+    return spark.createDataFrame([(q, ",".join(route(q))) for q, *_ in ASKED], "question string, graphs string")
+
+
 QUERIES, ORACLES, COVERS = R.queries, R.oracles, R.covers

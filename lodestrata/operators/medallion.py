@@ -117,7 +117,24 @@ def _bronze(spark, d) -> DataFrame:
     return e.groupBy("contract_id", "chunk_index").agg(F.collect_list("e").alias("entities"), F.collect_list("r").alias("relationships"))
 
 
-STAGED = "s AS (SELECT CAST(l_orderkey AS VARCHAR) AS contract_id, l_linenumber % 3 AS chunk_index, CASE l_returnflag WHEN 'A' THEN 'Party' WHEN 'N' THEN 'Jurisdiction' ELSE 'Clause' END AS label, concat('part ', l_partkey % 4) AS norm, 0.6 + l_discount * 4 AS confidence FROM lineitem WHERE l_orderkey % 10 = 1 AND 0.6 + l_discount * 4 >= 0.7)"
+STAGED = """s AS MATERIALIZED (
+    SELECT CAST(l_orderkey AS VARCHAR) AS contract_id, l_linenumber % 3 AS chunk_index, concat(l_orderkey, '-', l_linenumber) AS id,
+        CASE l_returnflag WHEN 'A' THEN 'Party' WHEN 'N' THEN 'Jurisdiction' ELSE 'Clause' END AS label,
+        concat('part ', l_partkey % 4) AS norm, 0.6 + l_discount * 4 AS confidence
+    FROM lineitem WHERE 0.6 + l_discount * 4 >= 0.7)"""
+IDS = """ids AS MATERIALIZED (
+    SELECT contract_id, id, md5(concat_ws('|', contract_id, label, norm)) AS canonical_id FROM s
+    QUALIFY row_number() OVER (PARTITION BY contract_id, id ORDER BY chunk_index DESC, md5(concat_ws('|', contract_id, label, norm))) = 1)"""
+EDGES = """li AS (SELECT *, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS first_line FROM lineitem),
+raw AS (
+    SELECT CAST(l_orderkey AS VARCHAR) AS contract_id, l_linenumber % 3 AS chunk_index, concat(l_orderkey, '-', l_linenumber) AS source,
+        concat(l_orderkey, '-', first_line) AS target, CASE WHEN l_linestatus = 'O' THEN 'GOVERNED_BY' ELSE 'SIGNED_BY' END AS rel_type,
+        concat('line ', l_linenumber) AS evidence
+    FROM li WHERE l_linenumber <> first_line AND 0.6 + l_tax * 5 >= 0.7),
+edges AS (
+    SELECT raw.contract_id, a.canonical_id AS src, b.canonical_id AS dst, rel_type, (list(evidence ORDER BY chunk_index, evidence))[1] AS evidence
+    FROM raw JOIN ids a ON a.contract_id = raw.contract_id AND a.id = raw.source JOIN ids b ON b.contract_id = raw.contract_id AND b.id = raw.target
+    GROUP BY 1, 2, 3, 4)"""
 
 
 @R.query("md_silver_entities", "I-11 I-12 DML-04 A-31", f"WITH {STAGED} SELECT contract_id, label, norm, CAST(round(CAST(max(confidence) AS DECIMAL(38,12)), 6) AS DOUBLE) AS confidence, array_to_string(list_sort(list_distinct(list(chunk_index))), ',') AS chunks, count(*) AS n FROM s GROUP BY 1, 2, 3")
@@ -126,14 +143,15 @@ def _(spark, d):
     return c.select("contract_id", "label", "norm", decimal("confidence", 6).alias("confidence"), F.array_join(F.col("source_chunk_indices").cast("array<string>"), ",").alias("chunks"), F.col("evidence_count").alias("n"))
 
 
-@R.query("md_resolution", "J-25 I-13", f"WITH {STAGED} SELECT label, count(*) AS n FROM s GROUP BY label")
+@R.query("md_resolution", "J-25", f"WITH {STAGED}, {IDS} SELECT * FROM ids")
 def _(spark, d):
     s = stage_entities(_bronze(spark, d))
     return resolve(s, canonical_entities(s))
 
 
+
 _RULES = ", ".join(f"('{a}', '{b}', '{c}', '{t}')" for a, b, c, t in RISK_RULES)
-RISK_SQL = f"{STAGED}, held AS (SELECT contract_id, list(label) AS ls FROM s GROUP BY 1 HAVING list_contains(list(label), 'Party')), r AS (SELECT contract_id AS document_id, risk, severity, risk_type FROM held, (VALUES {_RULES}) q(risk, needed, severity, risk_type) WHERE NOT list_contains(ls, needed))"
+RISK_SQL = f"{STAGED}, held AS MATERIALIZED (SELECT contract_id, list(label) AS ls FROM s GROUP BY 1 HAVING list_contains(list(label), 'Party')), r AS MATERIALIZED (SELECT contract_id AS document_id, risk, severity, risk_type FROM held, (VALUES {_RULES}) q(risk, needed, severity, risk_type) WHERE NOT list_contains(ls, needed))"
 
 
 def _gold_vertices(spark, d) -> DataFrame:
@@ -151,13 +169,22 @@ def _(spark, d):
     return risks(_gold_vertices(spark, d))[2]
 
 
-@R.query("md_gold_projection", "I-14 I-16", f"WITH {STAGED} SELECT label, count(*) AS n FROM (SELECT DISTINCT contract_id, label, norm FROM s) t GROUP BY label")
+GOLD_SQL = f"""WITH {STAGED}, {IDS}, {EDGES}
+SELECT 'vertex' AS kind, md5(concat_ws('|', contract_id, label, norm)) AS uuid, label AS type, concat('  Part ', substr(norm, 6)) AS name,
+    CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS dst, contract_id AS document_id, concat('{{"evidence_count":', count(*), '}}') AS properties
+FROM s GROUP BY contract_id, label, norm
+UNION ALL
+SELECT 'edge', md5(concat_ws('|', src, dst, rel_type, contract_id)), rel_type, NULL, src, dst, contract_id, concat('{{"evidence":"', evidence, '"}}') FROM edges"""
+
+
+@R.query("md_gold_projection", "I-13 I-14 I-16", GOLD_SQL)
 def _(spark, d):
     b = _bronze(spark, d)
     s = stage_entities(b)
     c = canonical_entities(s)
     v, e = gold(c, canonical_relations(b, resolve(s, c)))
-    v = v.select(F.lit("vertex").alias("kind"), "uuid", F.col("label").alias("type"), "name", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), "document_id", F.col("metadata").alias("properties"))
+    count = F.to_json(F.struct(F.get_json_object("metadata", "$.evidence_count").cast("long").alias("evidence_count")))
+    v = v.select(F.lit("vertex").alias("kind"), "uuid", F.col("label").alias("type"), "name", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), "document_id", count.alias("properties"))
     return v.unionByName(e.select(F.lit("edge").alias("kind"), "uuid", F.col("rel_type").alias("type"), F.lit(None).cast("string").alias("name"), "src", "dst", "document_id", "properties"))
 
 

@@ -153,7 +153,15 @@ def _(spark, d):
     return reassign_noise(e, "vec_id", "label")
 
 
-@R.query("v_coherence", "A-34", "WITH u AS (SELECT label, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS u FROM embeddings WHERE vec_id < 300) SELECT a.label, CAST(round(CAST(avg(list_inner_product(a.u, b.u)) AS DECIMAL(38,12)), 5) AS DOUBLE) AS coherence FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1")
+COHERENCE_SQL = """WITH w AS (SELECT label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM w),
+p AS (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS k FROM u),
+s AS (SELECT label, k, sum(x) AS x, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT label, CAST(round(CAST(CASE WHEN max(n) = 1 THEN 1 ELSE (sum(x * x) - max(n)) / (max(n) * (max(n) - 1)) END AS DECIMAL(38,12)), 5) AS DOUBLE) AS coherence
+FROM s GROUP BY label"""
+
+
+@R.query("v_coherence", "A-34", COHERENCE_SQL)
 def _(spark, d):
     return coherence(table(spark, d, "embeddings"), "label").select("label", decimal("coherence", 5).alias("coherence"))
 
