@@ -3,19 +3,22 @@
 The tree builder closes what HTML leaves open (paragraphs before blocks, list items, table cells and rows, options,
 definition terms), ignores end tags of what isn't open, knows void and raw-text elements, and decodes entities. Not
 shown: head, scripts, styles, templates and the like, comments, `hidden`, closed dialogs and details, and what a style
-attribute or a simple selector (tag, .class, #id) of the page's style sheets sets to `display: none` or
-`visibility: hidden`. Blocks start lines, paragraphs and the like keep an empty line between them, list items have
+attribute or the page's style sheets set to `display: none` or `visibility: hidden`: selectors of tags, classes, ids,
+their compounds and descendants, by importance, specificity and order, inside `@media` only if it holds for a screen;
+rules with other selectors are ignored. Blocks start lines, paragraphs and the like keep an empty line between them, list items have
 bullets or numbers and are indented by depth, preformatted text keeps its spaces, and the cells of a table's columns
-are padded to one width, with column and row spans observed. Both passes are loops, so depth is not limited.
+are padded to one width, with column and row spans observed; cells of several lines keep them. Both passes are loops, so depth is not limited.
 
 Defined results: null gives null, empty or invisible pages give an empty text; text without tags is rendered as one
-flow; repeated rows are rendered each; other columns are ignored.
+flow; pages of any length are rendered whole, in time proportional to it, broken ones too; repeated rows are rendered
+each; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,11 +47,14 @@ CLOSES = {
     "tfoot": ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
 }
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[\"'>]")
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_OFF = re.compile(r"display\s*:\s*none")
-_SEEN = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_BRACE = re.compile(r"[{}]")
+_SELECTOR = re.compile(r"(?:[\w-]+|\*)?(?:[.#][\w-]+)*")
+_OFF = re.compile(r"(?<![\w-])display\s*:\s*([a-z-]+)\s*(!\s*important)?")
+_SEEN = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)\s*(!\s*important)?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -66,41 +72,70 @@ def _attrs(s: str) -> dict:
     return out
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where the `>` of a tag is whose attributes begin at `at`; -1: nowhere. A quote that nothing closes is no quote."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        close = page.find(m[0], m.end())
+        if close < 0:
+            return page.find(">", m.end())
+        at = close + 1
+    return -1
+
+
 def parse(page: str) -> Node:
     """The page's tree: children are nodes and, as strings, texts."""
     root = Node("#root", {})
     stack, at, n = [root], 0, len(page)
+    opened: Counter = Counter()
+
+    def cut(k: int) -> None:
+        opened.subtract(x.tag for x in stack[k:])
+        del stack[k:]
 
     def close(tags, until) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in until:
                 return
             if stack[k].tag in tags:
-                del stack[k:]
+                cut(k)
                 if not tags - {"li", "dt", "dd", "option"}:
                     return
                 return close(tags, until)
 
+    last, quoted = page.rfind(">"), True
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None or m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start() if m else n]))
-            if m is None:
-                break
-        at = m.end()
+        m = _OPEN.search(page, at)
+        end = -1
+        if m and m[0] == "<!--":
+            end = page.find("-->", m.end())
+            end = n if end < 0 else end + 2
+        elif m and m.end() <= last:
+            end = _tag_end(page, m.end()) if m[2] and quoted else page.find(">", m.end())
+            if end < 0:  # quotes that run to the page's end: from here on tags end at the next >
+                quoted, end = False, page.find(">", m.end())
+        if end < 0:
+            stack[-1].children.append(html.unescape(page[at:]))
+            break
+        if m.start() > at:
+            stack[-1].children.append(html.unescape(page[at : m.start()]))
+        at = end + 1
         if m[2] is None:
             continue
-        tag = m[2].lower()
+        tag, inside = m[2].lower(), page[m.end() : end]
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag == "p" and not opened["p"]:
                 stack[-1].children.append(Node("p", {}))
             elif tag == "br":
                 stack[-1].children.append(Node("br", {}))
             else:
                 scope = {"table"} if tag not in ("table", "html", "body") else set()
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                     if stack[k].tag == tag:
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k].tag in scope or stack[k].tag in ("td", "th") and tag not in ("tr", "tbody", "thead", "tfoot", "table"):
                         break
@@ -109,7 +144,7 @@ def parse(page: str) -> Node:
             close(*CLOSES[tag])
         if tag in ENDS_P:
             close({"p"}, {"td", "th", "button", "table", "caption"})
-        node = Node(tag, _attrs(m[3]) if m[3].strip(" /\t\n") else {})
+        node = Node(tag, _attrs(inside) if inside.strip(" /\t\n") else {})
         stack[-1].children.append(node)
         if tag in VOID:
             continue
@@ -120,23 +155,77 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
             continue
         stack.append(node)
+        opened[tag] += 1
     return root
 
 
-def _hiding(root: Node) -> set[str]:
-    """Simple selectors that the page's style sheets hide."""
-    out, todo = set(), [root]
-    while todo:
-        x = todo.pop()
-        for c in x.children:
-            if isinstance(c, Node):
-                if c.tag == "style":
-                    for names, body in _RULE.findall("".join(t for t in c.children if isinstance(t, str))):
-                        if _OFF.search(body) or _SEEN.search(body) and _SEEN.search(body)[1] != "visible":
-                            out.update(s.strip() for s in names.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s))
-                elif c.tag in ("html", "head", "body", "#root"):
-                    todo.append(c)
-    return out
+def _screen(query: str) -> bool:
+    return any(not re.match(r"\s*(?:only\s+)?(?:print|speech|tty|tv|projection|handheld|braille|embossed|aural)\b|\s*not\s+(?:screen|all)\b", q) for q in query.split(","))
+
+
+def _rules(css: str):
+    """(selectors, declarations) of a style sheet that hold on a screen."""
+    css, at = _COMMENT.sub("", css).lower(), 0
+    while m := _BRACE.search(css, at):
+        head, at = css[at : m.start()].rpartition(";")[2].strip(), m.end()
+        if m[0] == "}":
+            continue
+        if head.startswith(("@media", "@supports", "@layer")) and (not head.startswith("@media") or _screen(head[6:])):
+            continue  # what is inside is read like what is outside
+        depth = 1
+        while depth and (e := _BRACE.search(css, at)):
+            depth, at = depth + (1 if e[0] == "{" else -1), e.end()
+        if not head.startswith("@"):
+            yield head, css[m.end() : at - 1 if depth == 0 else len(css)]
+        if depth:
+            break
+
+
+def _names(part: str) -> frozenset:
+    return frozenset(x for x in re.findall(r"[.#]?[\w-]+", part))
+
+
+class _Sheet:
+    """What the page's style sheets say of display and visibility."""
+
+    def __init__(self, root: Node):
+        self.by: dict[str, list] = {}
+        todo, order, css = [root], 0, []
+        while todo:
+            x = todo.pop()
+            if x.tag == "style":
+                css.append("".join(t for t in x.children if isinstance(t, str)))
+            todo.extend(c for c in reversed(x.children) if isinstance(c, Node))
+        for heads, body in (r for text in css for r in _rules(text)):
+            off, see = _OFF.search(body), _SEEN.search(body)
+            for head in heads.split(",") if off or see else ():
+                parts = [p for p in head.replace(">", " ").split()]
+                if not parts or not all(_SELECTOR.fullmatch(p) for p in parts):
+                    continue
+                names, order = [_names(p) for p in parts], order + 1
+                every = [n for part in names for n in part]
+                weight = (sum(n[0] == "#" for n in every), sum(n[0] == "." for n in every), sum(n[0] not in "#." for n in every), order)
+                key = max(names[-1], key=lambda n: (n[0] == "#", n[0] == "."), default="*")
+                self.by.setdefault(key, []).append((weight, names, (off[1] == "none", bool(off[2])) if off else None, (see[1], bool(see[2])) if see else None))
+
+    def of(self, names: set, above: list) -> tuple:
+        """(hidden by display or None, important), (visibility or None, important) of an element with these names."""
+        got = [((), None), ((), None)]
+        for key in names | {"*"}:
+            for weight, parts, *said in self.by.get(key, ()):
+                if not parts[-1] <= names:
+                    continue
+                k = len(parts) - 2
+                for up in reversed(above) if k >= 0 else ():
+                    k -= parts[k] <= up
+                    if k < 0:
+                        break
+                if k >= 0:
+                    continue
+                for j, x in enumerate(said):
+                    if x is not None and (x[1], *weight) > got[j][0]:
+                        got[j] = ((x[1], *weight), x[0])
+        return tuple((x, bool(w and w[0])) for w, x in got)
 
 
 class _Lines:
@@ -182,9 +271,10 @@ class _Lines:
                 self.lines.append("")
 
 
-def _grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
-    """Lines of a table given as rows of cells (text, column span, row span)."""
-    placed: list[dict[int, str]] = []
+def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table given as rows of cells (lines, column span, row span)."""
+    placed: list[dict[int, list[str]]] = []
+    starts: set[int] = set()
     spans: dict[int, int] = {}
     single: dict[int, int] = {}
     for row in rows:
@@ -195,10 +285,10 @@ def _grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
         for text, cols, deep in row:
             while at in due:
                 at += 1
-            text = " ".join(text.split())
-            line[at] = text
+            line[at] = [x for x in text if x.strip()] if len(text) > 1 else [" ".join(x.split()) for x in text]
+            starts.add(at)
             if cols == 1:
-                single[at] = max(single.get(at, 0), len(text))
+                single[at] = max(single.get(at, 0), max(map(len, line[at]), default=0))
             for c in range(at, at + cols):
                 single.setdefault(c, 0)
                 if deep > 1:
@@ -207,12 +297,13 @@ def _grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
         placed.append(line)
     out = []
     for line in placed:
-        s, x = "", 0
-        for c in range(len(single)):
-            if c in line:
-                s = s + " " * max(x - len(s), 2 if s else 0) + line[c]
-            x += single[c] + 2
-        out.append(s.rstrip())
+        for k in range(max(map(len, line.values()), default=0)):
+            s, x = "", 0
+            for c in range(len(single)):
+                if k < len(line.get(c, ())):
+                    s = s + " " * max(x - len(s), 2 if s else 0) + line[c][k]
+                x += single[c] + 2 if c in starts else 0
+            out.append(s.rstrip())
     return [s for s in out if s]
 
 
@@ -231,10 +322,11 @@ def render(page: str | None) -> str | None:
     if page is None:
         return None
     root = parse(page)
-    off = _hiding(root)
+    sheet = _Sheet(root)
     out = _Lines()
     # frames: node, next child, visible, preformatted, what to do on leaving it
     stack = [[root, 0, True, False, None]]
+    above: list[set] = []
     lists: list[list] = []
     tables: list[list] = []
     while stack:
@@ -242,6 +334,8 @@ def render(page: str | None) -> str | None:
         node, k, shown, pre, leave = top
         if k == len(node.children):
             stack.pop()
+            if above:
+                above.pop()
             if leave:
                 leave()
             continue
@@ -253,13 +347,18 @@ def render(page: str | None) -> str | None:
             continue
         tag, a = c.tag, c.attrs
         style = a.get("style", "").lower() if a else ""
-        if tag in GONE or "hidden" in a or _OFF.search(style) or tag == "dialog" and "open" not in a or tag == "input" and a.get("type", "").lower() == "hidden":
+        if tag in GONE or "hidden" in a or tag == "dialog" and "open" not in a or tag == "input" and a.get("type", "").lower() == "hidden":
             continue
-        names = {tag, *("." + x for x in a.get("class", "").split()), "#" + a.get("id", "")} if off else off
-        see = _SEEN.search(style)
-        visible = see[1] == "visible" if see else False if names & off else shown
-        if off and names & off and not see:
+        names = {tag, *("." + x for x in a.get("class", "").lower().split()), *(("#" + a["id"].lower(),) if a.get("id") else ())} if sheet.by else set()
+        (off, strong), (see, sure) = sheet.of(names, above) if sheet.by else ((None, False), (None, False))
+        own, own_see = _OFF.search(style), _SEEN.search(style)
+        if own and not (strong and not own[2]):
+            off = own[1] == "none"
+        if own_see and not (sure and not own_see[2]):
+            see = own_see[1]
+        if off:
             continue
+        visible = see == "visible" if see else shown
         if node.tag == "details" and "open" not in node.attrs and tag != "summary":
             continue
         leave = None
@@ -282,7 +381,7 @@ def render(page: str | None) -> str | None:
                 inner.end()
                 if not table:
                     table.append([])
-                table[-1].append((" ".join(inner.lines), _number(a.get("colspan"), 1, 1000, 1), _number(a.get("rowspan"), 1, 65534, 1)))
+                table[-1].append((inner.lines, _number(a.get("colspan"), 1, 1000, 1), _number(a.get("rowspan"), 1, 65534, 1)))
                 out = outer
 
         elif tag == "tr" and tables:
@@ -335,6 +434,7 @@ def render(page: str | None) -> str | None:
             def leave(gap=gap):
                 out.block(gap)
 
+        above.append(names)
         stack.append([c, 0, visible, pre or tag in ("pre", "textarea", "listing", "xmp"), leave])
     out.end()
     return "\n".join(out.lines).strip("\n")

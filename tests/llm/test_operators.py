@@ -282,6 +282,15 @@ PAGES = {
     "<p style='visibility:hidden'>no<i style='visibility:visible'>yes</i></p>": "yes",
     "<details><summary>s</summary>no</details><dl><dt>t<dd>d</dl>": "s\n\nt\n  d",
     "</p></div><td>x": "x",
+    "<style>@media print{.a{display:none}} @media screen{.b{display:none}}</style><p class=a>a<p class=b>b": "a",
+    "<style>p{display:none} p.show{display:block}</style><p class=show>yes<p>no": "yes",
+    "<style>div.ad, .x b{display:none}</style><div class=ad>no</div><i class=ad>i</i><p class=x>x<b>no</b>": "i\n\nx",
+    "<div><style>.a{display:none!important} /* .c{display:none} */</style></div><p class=a style='display:block'>no<p class=c>c": "c",
+    "<style>.a{display:none}</style><p class=a style='display:block'>yes<p class=a>no": "yes",
+    "<style>p:hover{display:none} p{visibility:hidden} .v{visibility:visible}</style><p>no<b class=v>yes</b>": "yes",
+    "<table><tr><td><pre>a\n  b</pre><td>x<tr><td><ul><li>c<li>d</ul><td>y</table>": "a    x\n  b\n- c  y\n- d",
+    "<table><tr><td colspan=99999999>a<td>b</table>": "a  b",
+    "<a title='x > y'>z</a> <a \"b>c": "z c",
     "<title>no</title><textarea>a <b>c</textarea>": "a <b>c",
 }
 
@@ -291,6 +300,15 @@ def test_render(page):
     assert html_text.render(page) == PAGES[page]
 
 
+def test_broken_pages_take_linear_time():
+    import time
+
+    for part in ('<a "', "<a '\"", "<!-- ", "<", "<x ", "<style>.a{", "<p class=a "):
+        began = time.perf_counter()
+        html_text.render(part * (1_000_000 // len(part)))
+        assert time.perf_counter() - began < 5, part
+
+
 def test_list_numbers():
     got = html_text.render("<ol start=1990><li>a<li value=2024>b<li>c</ol><ol start=-1500><li>d</ol>")
     assert got.split() == ["1990.", "a", "2024.", "b", "2025.", "c", "-1500.", "d"]
