@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries; each has QUERIES (name -> function) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ("plans.relational", "operators.rewrites", "functions.scalars", "operators.merge", "operators.search", "operators.vectors", "operators.fusion", "operators.graph", "operators.medallion", "operators.ingest", "sources.readers", "plans.meetings", "plans.session_sql", "streaming.changes")
+MODULES: tuple[str, ...] = ("plans.relational", "operators.rewrites", "functions.scalars", "operators.merge", "operators.search", "operators.vectors", "operators.fusion", "operators.graph", "operators.medallion", "operators.ingest", "sources.readers", "plans.meetings", "plans.session_sql", "streaming.changes", "sources.round_trips", "plans.assistants")
 
 
 def _modules():

@@ -91,6 +91,20 @@ def risks(entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return r, party, causes
 
 
+def extraction_report(bronze: DataFrame) -> DataFrame:
+    """E-09: (part, name, value) over all bronze rows: contracts, chunks, entities, relationships, means per chunk, mean
+    confidence of the contracts that have any, and counts by label and relation type."""
+    e = bronze.select("contract_id", F.explode("entities").alias("e")).select("contract_id", "e.label", "e.confidence")
+    r = bronze.select(F.explode("relationships").alias("r")).select("r.rel_type")
+    n = bronze.agg(F.countDistinct("contract_id").alias("contracts"), F.count("*").alias("chunks"), F.sum(F.size("entities")).alias("entities"), F.sum(F.size("relationships")).alias("relationships"))
+    per = e.groupBy("contract_id").agg(F.avg("confidence").alias("m")).where("m > 0").agg(F.avg("m").alias("mean_confidence"))
+    n = n.crossJoin(per)  # one row each
+    n = n.withColumn("entities_per_chunk", F.col("entities") / F.nullif("chunks", F.lit(0))).withColumn("relationships_per_chunk", F.col("relationships") / F.nullif("chunks", F.lit(0)))
+    total = n.select(F.explode(F.array(*[F.struct(F.lit("total").alias("part"), F.lit(c).alias("name"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for c in n.columns])).alias("r")).select("r.*")
+    by = lambda d, c: d.groupBy(F.col(c).alias("name")).agg(F.count("*").cast("double").alias("value")).select(F.lit(c).alias("part"), "name", "value")
+    return total.unionByName(by(e, "label")).unionByName(by(r, "rel_type"))
+
+
 def annotations_to_graph(answers: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """I-09, SRC-12: answers (title, question, text) of known documents (title, document_id) as entities with an edge
     entity -> contract; the edge's type follows the label before unknown labels become Clause; empty answers go."""

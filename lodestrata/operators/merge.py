@@ -120,6 +120,12 @@ def find_and_modify(df: DataFrame, where: Column, order: list[Column], change: d
     return upsert(df, after, [key]), after
 
 
+def update_returning(df: DataFrame, where: Column, changes: dict[str, Column], keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """C-06: (table, changed rows) of an update of every row that meets the condition; the rows come with their new values."""
+    changed = df.where(where).withColumns(changes).select(*df.columns)
+    return upsert(df, changed, keys), changed
+
+
 def bulk_write(df: DataFrame, operations: list, keys: list[str]) -> DataFrame:
     """DML-13: an ordered list of ('insert' | 'upsert' | 'delete' | 'update', argument)."""
     for op, x in operations:

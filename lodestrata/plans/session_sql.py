@@ -44,6 +44,10 @@ class QueryResult:
             return f"error: {self.error}"
         return "\n".join(" | ".join(map(str, r)) for r in [self.columns, *self.rows[:n]])
 
+    def to_dataframe(self, spark: SparkSession, schema: str) -> DataFrame:
+        """N-10: the rows, which the cap bounds, as a DataFrame of the schema; an error gives none."""
+        return spark.createDataFrame(self.rows, schema)
+
 
 def strip_fences(text: str) -> str:
     """N-04."""
@@ -52,12 +56,16 @@ def strip_fences(text: str) -> str:
 
 
 def check_read_only(spark: SparkSession, sql: str, strict: bool = True) -> None:
-    """N-01: writing keywords are refused (strict: inside literals too), and statements that analyse to commands."""
+    """N-01: writing keywords are refused (strict: inside literals too), and statements that Spark parses as commands."""
     text = sql if strict else re.sub(r"'(?:[^']|'')*'", "''", sql)
     if m := _WRITES.search(text):
         raise PermissionError(f"only reading is allowed, not {m[1].upper()}")
     if not re.match(r"\s*(with|select|\(|values|from|table)\b", sql, re.I):
         raise PermissionError("only queries are allowed")
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    for kind in ("Command", "ParsedStatement"):
+        if spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{kind}").isInstance(plan):
+            raise PermissionError("only queries are allowed, this is a command")
 
 
 def capped(df: DataFrame, sql: str, most: int = 10_000, outer: bool = True) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import OrderedDict
 from typing import Protocol
 
 
@@ -43,6 +44,29 @@ class HashEmbedder:
         return out
 
 
+class CachedEmbedder:
+    """V-07: vectors of the last texts asked for, at most so many; only unseen texts reach the embedder."""
+
+    def __init__(self, inner: Embedder, size: int = 1000):
+        self.inner, self.size, self.rows, self.hits, self.misses = inner, size, OrderedDict(), 0, 0
+
+    @property
+    def dim(self) -> int:
+        return self.inner.dim
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        new = [t for t in dict.fromkeys(texts) if t not in self.rows]
+        made = dict(zip(new, self.inner.embed(new))) if new else {}
+        self.hits, self.misses = self.hits + len(texts) - len(new), self.misses + len(new)
+        out = [made[t] if t in made else self.rows[t] for t in texts]
+        for t, v in zip(texts, out):
+            self.rows[t] = v
+            self.rows.move_to_end(t)
+        while len(self.rows) > self.size:
+            self.rows.popitem(last=False)
+        return out
+
+
 class OverlapReranker:
     """Share of the query's words that a text has; 0.5 for a query without words."""
 
