@@ -98,5 +98,42 @@ def queries() -> dict:
     }
 
 
+#: Words of whole texts and items, runs of ten of them (an item of fewer: all), the document words inside runs that items have.
+OP3_SQL = r"""
+WITH low AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+words AS (SELECT side, id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS l FROM low),
+sizes AS (SELECT id, l, least(len(l), 10) AS k FROM words WHERE side = 'b' AND len(l) > 0),
+each AS (SELECT side, id, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS p FROM words),
+runs AS (
+    SELECT side, id, k, p, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS run
+    FROM each e JOIN (SELECT DISTINCT k FROM sizes) s ON e.side = 'd' OR s.k = (SELECT max(z.k) FROM sizes z WHERE z.id = e.id)
+    WINDOW f AS (PARTITION BY side, id, k ORDER BY p ROWS BETWEEN CURRENT ROW AND k - 1 FOLLOWING)),
+items AS (SELECT DISTINCT id AS item_id, k, run FROM runs WHERE side = 'b' AND n = k),
+found AS (SELECT d.id, d.p, d.k, i.item_id FROM runs d JOIN items i ON i.k = d.k AND i.run = d.run WHERE d.side = 'd' AND d.n = d.k),
+hit AS (SELECT id, count(DISTINCT q) AS n FROM (SELECT id, unnest(range(p, p + k)) AS q FROM found) t GROUP BY id),
+named AS (SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT id, CAST(item_id AS VARCHAR) AS item FROM found) t GROUP BY id)
+SELECT w.id AS doc_id, CAST(len(w.l) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM words w LEFT JOIN hit h ON h.id = w.id LEFT JOIN named m ON m.id = w.id WHERE w.side = 'd'
+"""
+
+#: Windows of thirteen words, the least document that each starts in, the words that none of a lesser document's covers.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS l FROM documents),
+each AS (SELECT doc_id, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS p FROM d),
+runs AS (
+    SELECT doc_id, p, word, CASE WHEN count(*) OVER f = 13 THEN string_agg(word, ' ') OVER f END AS run
+    FROM each WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+least AS (SELECT run, min(doc_id) AS first FROM runs WHERE run IS NOT NULL GROUP BY run),
+cut AS (
+    SELECT r.doc_id, r.p, r.word, max(CASE WHEN m.first < r.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY r.doc_id ORDER BY r.p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+    FROM runs r LEFT JOIN least m ON m.run = r.run),
+kept AS (SELECT doc_id, sum(gone) AS n, string_agg(word, ' ' ORDER BY p) FILTER (WHERE gone = 0) AS text FROM cut GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.l) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    """SQL over the whole tables, where it is feasible."""
+    return {"op3_decontaminate": OP3_SQL, "op10_substrings": OP10_SQL}
