@@ -98,6 +98,37 @@ def queries() -> dict:
     }
 
 
+#: All pairs of vectors with cosine 0.95 or more, and what they reach.
+OP1_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(m.b, e.vec_id)) AS component_id, least(e.vec_id, coalesce(m.b, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least m ON m.a = e.vec_id
+"""
+
+#: All pairs of texts that share a five-word shingle, by the overlap of their multisets, and what links of 0.8 reach.
+OP2_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS l FROM documents),
+each AS (SELECT doc_id, len(l) AS n, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS p FROM words),
+runs AS (SELECT doc_id, n, p, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS run FROM each),
+bag AS MATERIALIZED (SELECT doc_id, md5(run) AS h, count(*) AS w FROM runs WHERE p + 4 <= n OR p = 1 GROUP BY 1, 2),
+whole AS MATERIALIZED (SELECT doc_id, sum(w) AS size, md5(string_agg(h || ' ' || w, ',' ORDER BY h)) AS same FROM bag GROUP BY 1),
+heads AS MATERIALIZED (SELECT same, min(doc_id) AS head, max(size) AS size FROM whole GROUP BY 1),
+chosen AS (SELECT b.* FROM bag b JOIN heads g ON g.head = b.doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.w, b.w)) AS shared FROM chosen a JOIN chosen b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT p.a, p.b FROM pairs p JOIN heads x ON x.head = p.a JOIN heads y ON y.head = p.b WHERE p.shared >= 0.8 * (x.size + y.size - p.shared)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+found AS (SELECT d.doc_id, coalesce(g.head, d.doc_id) AS copy_of, least(coalesce(g.head, d.doc_id), coalesce(m.b, g.head, d.doc_id)) AS component_id
+    FROM documents d LEFT JOIN whole w ON w.doc_id = d.doc_id LEFT JOIN heads g ON g.same = w.same LEFT JOIN least m ON m.a = g.head)
+SELECT doc_id, copy_of, component_id, component_id = doc_id AS kept FROM found
+"""
+
 #: Words of whole texts and items, runs of ten of them (an item of fewer: all), the document words inside runs that items have.
 OP3_SQL = r"""
 WITH low AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
@@ -136,4 +167,4 @@ FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
 
 def oracle_sql() -> dict:
     """SQL over the whole tables, where it is feasible."""
-    return {"op3_decontaminate": OP3_SQL, "op10_substrings": OP10_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op2_minhash": OP2_SQL, "op3_decontaminate": OP3_SQL, "op10_substrings": OP10_SQL}

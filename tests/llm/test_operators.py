@@ -572,3 +572,19 @@ def test_pipeline(spark, sf_dir):
     assert sorted(r["doc_id"] for r in seen["decontaminate"].collect()) == [i for i, _, hit, _ in sorted(leaks([(i, held[i]) for i in own], bench), key=lambda x: x[0]) if not hit]
     mixed = Counter(r["doc_id"] for r in seen["mix"].collect())
     assert max(mixed.values()) <= 2 and Counter(r["doc_id"] for r in seen["token_records"].collect()) == mixed
+
+
+@pytest.mark.parametrize("name", ["op1_near_vectors", "op2_minhash", "op3_decontaminate", "op10_substrings"])
+def test_sql(spark, sf_dir, name):
+    import duckdb
+
+    from lodestrata.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    got = con.execute(queries.oracle_sql()[name])
+    cols = [x[0] for x in got.description]
+    df = queries.queries()[name](spark, sf_dir)
+    assert sorted(df.columns) == sorted(cols)
+    assert sorted(tuple(r) for r in df.select(*cols).collect()) == sorted(got.fetchall())
