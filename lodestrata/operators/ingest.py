@@ -38,19 +38,21 @@ def classify_files(files: DataFrame, stored: DataFrame) -> DataFrame:
     return j.select("source", state.alias("state"))
 
 
+#: Characters that end a window, and how far back from its full size they are looked for.
+STOPS, LOOK_BACK = ".!?\n", 200
+
+
 def sliding_chunks(text: str, c: ChunkingConfig = ChunkingConfig()) -> list[tuple[int, int, int, str]]:
-    """I-02: (index, start, end, content): windows of size characters that end at the last sentence end within their
-    last 200, next window overlap back; blank windows go, and the tail is a window of its own."""
-    out, start, n = [], 0, len(text)
-    while start < n:
+    """I-02: (index, start, end, content). A window of full size, unless it reaches the text's end, ends after its last
+    stop no more than LOOK_BACK back and beyond the least size; the next starts overlap before that end. Blank windows
+    go; the last may lie within the one before, and its end beyond the text."""
+    out, start = [], 0
+    while start < len(text):
         end = start + c.size
-        if end < n:
-            for k in range(end, max(start, end - 200), -1):
-                if text[k - 1] in ".!?\n":
-                    end = k
-                    break
-        body = text[start:end].strip()
-        if body:
+        if end < len(text):
+            stop = max(text.rfind(x, max(start + c.least, end - LOOK_BACK) + 1, end + 1) for x in STOPS)
+            end = stop + 1 if stop >= 0 else end
+        if body := text[start:end].strip():
             out.append((len(out), start, end, body))
         start = max(start + 1, end - c.overlap)
     return out
@@ -222,7 +224,22 @@ def _(spark, d):
     return chunk_stride(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk_index", F.md5("content").alias("h"))
 
 
-@R.query("in_chunk_window", "I-02 I-25")
+WINDOW_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, text, CAST(0 AS BIGINT) AS s, CASE WHEN length(text) > 1000 AND k > 0 THEN 801 + k ELSE 1000 END AS e
+    FROM (SELECT doc_id, text, length(regexp_extract(substr(text, 802, 200), '(?s)^(.*[.!?\n])', 1)) AS k FROM documents WHERE length(text) > 0) t
+    UNION ALL
+    SELECT doc_id, text, s, CASE WHEN s + 1000 < length(text) AND k > 0 THEN s + 801 + k ELSE s + 1000 END
+    FROM (SELECT doc_id, text, s, length(regexp_extract(substr(text, s + 802, 200), '(?s)^(.*[.!?\n])', 1)) AS k
+        FROM (SELECT doc_id, text, greatest(s + 1, e - 200) AS s FROM w) x WHERE s < length(text)) y),
+bodies AS (SELECT doc_id, s, e, regexp_replace(substr(text, s + 1, e - s), '^\s+|\s+$', '', 'g') AS body FROM w)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INT) AS chunk_index, CAST(s AS INT) AS start_char, CAST(e AS INT) AS end_char,
+    CAST(length(body) // 4 AS INT) AS token_count
+FROM bodies WHERE body <> ''
+"""
+
+
+@R.query("in_chunk_window", "I-02 I-25", WINDOW_SQL)
 def _(spark, d):
     return chunk_window(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk_index", "start_char", "end_char", "token_count")
 

@@ -354,3 +354,44 @@ def test_plans(spark, sf_dir):
     assert "TakeOrderedAndProject" in top._jdf.queryExecution().executedPlan().toString()
     g = graph.star_graph(spark, sf_dir)
     assert "CartesianProduct" not in graph.match(g.v, g.e, "Contract", "SIGNED_BY", "Party")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunk_windows_end_at_stops():
+    from lodestrata.operators.ingest import ChunkingConfig, sliding_chunks
+
+    c = ChunkingConfig(size=20, overlap=5, least=3)
+    assert sliding_chunks("aaaa. bbbb. cccc dddd eeee ffff", c)[0] == (0, 0, 11, "aaaa. bbbb.")
+    assert sliding_chunks("a" * 20 + ". " + "b" * 9, c)[0][2] == 21  # a stop just after the full size belongs to it
+    assert sliding_chunks("a. " + "b" * 30, c)[0][2] == 20  # a stop before the least size does not count
+    assert sliding_chunks("", c) == [] and sliding_chunks(" \n ", c) == []
+
+
+def test_inverted_file_recall(spark, sf_dir):
+    """The lists that the registered query probes hold nine of ten nearest vectors of the rows whose id 50 divides."""
+    from lodestrata.operators import vectors
+    from lodestrata.session import table
+
+    e = table(spark, sf_dir, "embeddings")
+    index = vectors.InvertedFile(e, lists=16)
+    found = asked = 0
+    for r in e.where("vec_id % 50 = 0").collect():
+        best = {x["vec_id"] for x in vectors.knn(e, list(r["embedding"]), 10).collect()}
+        found += len(best & {x["vec_id"] for x in index.search(list(r["embedding"]), 10, probes=vectors.PROBES).collect()})
+        asked += len(best)
+    assert found >= 0.9 * asked
+
+
+def test_extraction_report_of_nothing(spark):
+    from lodestrata.operators import medallion
+
+    bronze = spark.createDataFrame([], f"contract_id string, chunk_index int, model string, entities {medallion.ENTITY}, relationships {medallion.RELATION}")
+    assert {r["value"] for r in medallion.extraction_report(bronze).collect()} == {0.0}
+
+
+def test_commands_are_refused(spark):
+    from lodestrata.plans.session_sql import check_read_only
+
+    for sql in ("SHOW TABLES", "FROM t INSERT OVERWRITE TABLE u SELECT *", "SET x = 1"):
+        with pytest.raises(PermissionError):
+            check_read_only(spark, sql)
+    check_read_only(spark, "WITH a AS (SELECT 1 AS x) SELECT x FROM a")
