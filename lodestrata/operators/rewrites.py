@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from ..session import table
+from ..session import scratch, table
 
 R = Registry()
 
@@ -77,18 +77,24 @@ def lookup(left: DataFrame, right: DataFrame, local: str, foreign: str, name: st
 def graph_lookup(start: DataFrame, edges: DataFrame, start_key: str, from_col: str, to_col: str, max_depth: int, where: Column | None = None) -> DataFrame:
     """J-21: (start, node, depth) of all nodes reached breadth first, the least depth of each; edges may be restricted.
 
-    One join per level on the frontier; a level is written nowhere, so max_depth should stay small.
+    One join per level on the frontier. Each level is written to the shared folder, so that the plan of one does not
+    hold those before it; the search ends where a level is empty.
     """
+    spark = start.sparkSession
     e = (edges if where is None else edges.where(where)).select(F.col(from_col).alias("_from"), F.col(to_col).alias("_to"))
     front = start.select(F.col(start_key).alias("start"), F.col(start_key).alias("node"))
-    found = None
+    at, seen = scratch(spark, "lookup"), []
     for depth in range(max_depth + 1):
         front = front.join(e, front["node"] == e["_from"]).select("start", F.col("_to").alias("node")).where(F.col("node").isNotNull()).distinct()
-        if found is not None:
-            front = front.join(found.select("start", "node"), ["start", "node"], "left_anti")
-        level = front.withColumn("depth", F.lit(depth))
-        found = level if found is None else found.unionByName(level)
-    return found.groupBy("start", "node").agg(F.min("depth").alias("depth"))
+        if seen:
+            front = front.join(spark.read.parquet(*seen).select("start", "node"), ["start", "node"], "left_anti")
+        path = f"{at}/{depth}"
+        front.withColumn("depth", F.lit(depth)).write.parquet(path)
+        seen.append(path)
+        front = spark.read.parquet(path).select("start", "node")
+        if front.isEmpty():
+            break
+    return spark.read.parquet(*seen)
 
 
 def bucket(c: Column, bounds: list, default: str) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -152,21 +153,26 @@ def headlines(c, query: str, max_words: int = 35) -> Column:
 
 
 def bm25(docs: DataFrame, query: str, k1: float = 1.2, b: float = 0.75, config: str = "simple", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """FT-10: (id, score) of texts with any term. Corpus figures and term counts come from one pass over token arrays;
-    only the query's terms leave the scan, a row per text and term."""
+    """FT-10: (id, score) of texts with any term. One pass counts the corpus and the texts of each term, one scores the texts
+    that have any; no text is shuffled."""
     terms = sorted(set(words(query, config)))
-    d = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col), config).alias("t")).where("t is not null")
-    corpus = d.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("mean"))
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("s")).where("s is not null").select("id", tokens(F.col("s"), config).alias("t"))
 
     def times(w: str) -> Column:
         return F.size(F.filter("t", lambda x: x == w))
 
-    tf = d.select("id", F.size("t").alias("n"), F.explode(F.array(*[F.struct(F.lit(w).alias("term"), times(w).alias("tf")) for w in terms])).alias("h")).select("id", "n", "h.*").where("tf > 0")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # a row per query term
-    s = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus))  # one row
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    return s.groupBy("id").agg(F.sum(part).alias("score"))
+    # generated, so that no filter on the counts is pushed below and makes the tokens anew
+    counts = F.struct(F.size("t").alias("n"), *[times(w).alias(f"tf{k}") for k, w in enumerate(terms)])
+    d = d.select("id", F.explode(F.array(counts)).alias("h")).select("id", "h.*")
+    tf = [F.col(f"tf{k}") for k in range(len(terms))]
+    corpus = d.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(t > 0).alias(f"df{k}") for k, t in enumerate(tf)])
+
+    def part(k: int) -> Column:
+        idf = F.log(1 + (F.col("docs") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
+        return F.when(tf[k] > 0, idf * tf[k] * (k1 + 1) / (tf[k] + k1 * (1 - b + b * F.col("n") / F.col("mean")))).otherwise(0.0)
+
+    s = d.where(reduce(lambda x, t: x | (t > 0), tf, F.lit(False))).crossJoin(F.broadcast(corpus))  # one row
+    return s.groupBy("id").agg(F.sum(sum((part(k) for k in range(len(terms))), F.lit(0.0))).alias("score"))
 
 
 def trigrams(s: str) -> set[str]:
