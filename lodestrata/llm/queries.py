@@ -83,6 +83,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergences
+
+    return divergences(_read(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 def queries() -> dict:
     return {
         "op1_near_vectors": op1_near_vectors,
@@ -95,6 +101,7 @@ def queries() -> dict:
         "op8_language": op8_language,
         "op9_mix_sources": op9_mix_sources,
         "op10_substrings": op10_substrings,
+        "op11_divergence": op11_divergence,
     }
 
 
@@ -164,7 +171,30 @@ SELECT d.doc_id, CAST(len(d.l) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS B
 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+#: Terms of at least three documents of a language, their shares of each source and of the language, and the sums of
+#: floor((p - q)^2 / q) of all pairs of sources, and of each source's terms against the language.
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), []) AS l FROM documents),
+groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+each AS MATERIALIZED (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(l) AS term FROM d) t GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM each GROUP BY 1, 2 HAVING count(*) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1),
+own AS MATERIALIZED (SELECT e.lang, e.source, e.term, sum(e.n) AS n FROM each e JOIN kept k ON k.lang = e.lang AND k.term = e.term GROUP BY ALL),
+sizes AS MATERIALIZED (SELECT g.lang, g.source, coalesce(sum(o.n), 0) AS n FROM groups g LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source GROUP BY 1, 2),
+p AS MATERIALIZED (
+    SELECT s.lang, s.source, k.term, coalesce(o.n, 0) AS n, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(o.n, 0) + 1) // (s.n + l.v) AS BIGINT) AS p,
+        CAST(1 + CAST(1000000000 AS HUGEINT) * (k.n + 1) // (l.n + l.v) AS BIGINT) AS q
+    FROM sizes s JOIN langs l ON l.lang = s.lang JOIN kept k ON k.lang = s.lang LEFT JOIN own o ON o.lang = s.lang AND o.source = s.source AND o.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER w AS INTEGER) AS rank FROM every
+WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER w <= 200
+"""
+
 
 def oracle_sql() -> dict:
     """SQL over the whole tables, where it is feasible."""
-    return {"op1_near_vectors": OP1_SQL, "op2_minhash": OP2_SQL, "op3_decontaminate": OP3_SQL, "op10_substrings": OP10_SQL}
+    return {"op11_divergence": OP11_SQL, "op1_near_vectors": OP1_SQL, "op2_minhash": OP2_SQL, "op3_decontaminate": OP3_SQL, "op10_substrings": OP10_SQL}
