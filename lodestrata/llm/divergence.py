@@ -45,28 +45,27 @@ HELD_ROWS = 1 << 19
 HELD_CELLS = 1 << 21
 
 
-def count_words(batches, gaps: str, least: int = 1, rename=None):
-    """Partial sums (key0, key1, term, n, d) of batches (key0, key1, text): occurrences and rows of each term.
-
-    rename(terms, rows, batch) may replace the terms of a batch's (row, term) pairs before they are summed up; rows are
-    at most those of a batch, and sums are emitted whenever more than HELD_ROWS are held.
-    """
-    names, held = ["key0", "key1", "term", "n", "d"], []
+def count_words(batches, gaps: str, keys: int, least: int = 1, rename=None):
+    """Partial sums (key0.., term, n, d) of batches (keys, text, ..): occurrences and rows of each term of at least so many
+    characters. rename(terms, rows, batch) may replace the terms of a batch's (row, term) pairs before they are summed up.
+    Sums are emitted whenever more than HELD_ROWS are held."""
+    by = [f"key{k}" for k in range(keys)] + ["term"]
+    held: list = []
 
     def summed(tables):
         t = pa.concat_tables(tables).combine_chunks()
-        return t.group_by(names[:3], use_threads=False).aggregate([("n", "sum"), ("d", "sum")]).select(["key0", "key1", "term", "n_sum", "d_sum"]).rename_columns(names)
+        return t.group_by(by, use_threads=False).aggregate([("n", "sum"), ("d", "sum")]).select([*by, "n_sum", "d_sum"]).rename_columns([*by, "n", "d"])
 
     for b in batches:
-        parts = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(b.column(2).cast(pa.large_string()), "")), gaps)
+        parts = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(b.column(keys).cast(pa.large_string()), "")), gaps)
         t = pa.table({"row": pc.list_parent_indices(parts), "term": pc.list_flatten(parts)})
         t = t.filter(pc.greater_equal(pc.utf8_length(t["term"]), least))
-        t = t.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
-        row, term, n = t["row"].combine_chunks(), t["term"].combine_chunks(), t["count_all"].combine_chunks()
+        t = t.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+        row, term, n = (pa.concat_arrays(t[c].chunks) if t.num_rows else pa.array([], t[c].type) for c in ("row", "term", "count_all"))
         if rename is not None:
             term = rename(term, row, b)
         one = pa.repeat(pa.scalar(1, pa.int64()), len(n))
-        held.append(summed([pa.table([b.column(0).take(row), b.column(1).take(row), term, n.cast(pa.int64()), one], names=names)]))
+        held.append(summed([pa.table([*[b.column(k).take(row) for k in range(keys)], term, n.cast(pa.int64()), one], names=[*by, "n", "d"])]))
         if sum(x.num_rows for x in held) > HELD_ROWS:
             held = [summed(held)]
             if held[0].num_rows > HELD_ROWS // 2:
@@ -82,7 +81,7 @@ def source_counts(docs: DataFrame, min_docs: int, text_col: str = "text", lang_c
     d = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in ((lang_col, "lang"), (source_col, "source"))], F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        for b in count_words(batches, GAPS):
+        for b in count_words(batches, GAPS, keys=2):
             yield pa.record_batch([b.column(0), b.column(1), b.column(2).cast(pa.string()), b.column(3), b.column(4)], names=["lang", "source", "term", "n", "d"])
 
     parts = d.mapInArrow(run, "lang string, source string, term string, n long, d long").repartition("lang", "term")
