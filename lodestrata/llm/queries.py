@@ -226,7 +226,7 @@ hashed AS (SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c
 made AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, n FROM hashed),
 words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE len(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
 keys AS MATERIALIZED (SELECT word, n, word AS k FROM words UNION SELECT word, n, substr(word, 1, i) || substr(word, i + 2) FROM (SELECT word, n, unnest(range(len(word))) AS i FROM words) t),
-near AS MATERIALIZED (SELECT DISTINCT a.word, b.word AS other, b.n FROM keys a JOIN keys b ON a.k = b.k AND a.word <> b.word WHERE levenshtein(a.word, b.word) = 1),
+near AS MATERIALIZED (SELECT DISTINCT a.word, b.word AS other, b.n FROM keys a JOIN keys b ON a.k = b.k AND a.word <> b.word WHERE len(a.word) <> len(b.word) OR len(list_filter(range(1, len(a.word) + 1), lambda i: substr(a.word, i, 1) <> substr(b.word, i, 1))) = 1),
 best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS form, max(n) AS form_n FROM near GROUP BY 1),
 forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 2 * w.n THEN b.form END AS form, CASE WHEN b.form_n >= 2 * w.n THEN b.form_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
 walk AS (SELECT word, coalesce(form, word) AS at, form IS NOT NULL AS moved FROM forms UNION ALL SELECT s.word, coalesce(f.form, s.at), f.form IS NOT NULL FROM walk s JOIN forms f ON f.word = s.at WHERE s.moved)

@@ -11,7 +11,7 @@
 4. A word's form is its near word of largest count. Roots follow forms by pointer doubling: each round joins what is
    reached so far with itself and is written before the next. Counts at least double at each form, so rounds are few.
 
-``misspell`` deletes a letter of every 97th run by a hash of id and run: the noise that the query is asked to have.
+``every`` deletes a letter of runs that a hash of id and run picks: the noise that the query is asked to have.
 
 Defined results: null or empty texts have no runs; a null id is the empty string in the hash; every row counts, whether
 its id repeats or not; equal counts go to the word that is smaller in code-point order; an empty table gives no rows;
@@ -28,46 +28,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, materialize, tune
-from .divergence import count_words
+from .words import latin_letters, numbered_words, runs
 
-#: What stands between runs of lower-cased letters, as RE2 reads it.
-GAPS = "[^a-z\\x{C0}-\\x{FF}]+"
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: Letters of words that are hashed at a time.
 SLICE_LETTERS = 1 << 20
 
 
-def misspell(every: int):
-    """Terms with one letter less where the hash of id and term is a multiple of `every`; ids are a batch's last column."""
+def _count(min_length: int, every: int | None):
+    """Counts (word, n) of batches (text, id); of each word that the hash of id and word picks, one letter less."""
 
-    def rename(term, row, b):
+    def run(batches):
         import numpy as np
 
-        begun = [zlib.crc32(f"{'' if i is None else i}:".encode()) for i in b.column(b.num_columns - 1).to_pylist()]
-        crc, words = zlib.crc32, term.cast(pa.large_binary()).to_pylist()
-        h = np.fromiter((crc(w, begun[r]) for w, r in zip(words, row.to_pylist())), np.int64, len(words))
-        on = h % every == 0
-        if not on.any():
-            return term
-        new = []
-        for k in np.flatnonzero(on):
-            w = words[k].decode()
-            at = int(h[k]) % len(w)
-            new.append(w[:at] + w[at + 1 :])
-        return pc.replace_with_mask(term, pa.array(on), pa.array(new, term.type))
-
-    return rename
+        for t, row, code, words in numbered_words(batches, 0, latin_letters, min_length):
+            size = max(1, len(words))
+            pair, n = runs(row * size + code)
+            row, code, new = pair // size, pair % size, []
+            if every:
+                begun = [zlib.crc32(f"{'' if i is None else i}:".encode()) for i in t.column(1).to_pylist()]
+                crc, spelled = zlib.crc32, words.cast(pa.large_binary()).to_pylist()
+                h = np.fromiter((crc(spelled[c], begun[r]) for r, c in zip(row.tolist(), code.tolist())), np.int64, len(pair))
+                on = h % every == 0
+                for c, v, k in zip(code[on], h[on], n[on]):
+                    w = spelled[c].decode()
+                    at = int(v) % len(w)
+                    new.append((w[:at] + w[at + 1 :], int(k)))
+                code, n = code[~on], n[~on]
+            total = np.zeros(size, np.int64)
+            np.add.at(total, code, n)
+            kept = np.flatnonzero(total)
+            for k in range(0, len(kept), 1 << 16):
+                s = kept[k : k + (1 << 16)]
+                yield pa.record_batch([words.take(pa.array(s)).cast(pa.string()), pa.array(total[s])], names=["word", "n"])
+            if new:
+                yield pa.record_batch([pa.array([w for w, _ in new], pa.string()), pa.array([k for _, k in new], pa.int64())], names=["word", "n"])
+
+    return run
 
 
 def word_counts(docs: DataFrame, min_length: int = 5, min_count: int = 3, every: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(word, n) of the runs of letters, only A-Z lower-cased."""
+    """(word, n) of the runs of letters, only A-Z lower-cased; every: a letter of each so manieth run of a text is deleted."""
     d = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id"))
-
-    def run(batches):
-        for b in count_words(batches, GAPS, keys=0, least=min_length, rename=misspell(every) if every else None):
-            yield pa.record_batch([b.column(0).cast(pa.string()), b.column(1)], names=["word", "n"])
-
-    found = d.mapInArrow(run, "word string, n long").where(F.length("word") >= min_length)
+    found = d.mapInArrow(_count(min_length, every), "word string, n long").where(F.length("word") >= min_length)
     return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
 
