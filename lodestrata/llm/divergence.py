@@ -3,7 +3,7 @@
 Each language's sources are compared with each other and with the language as a whole, over the terms that at least
 ``min_docs`` of its documents have.
 
-1. Tasks count terms by (lang, source) in Arrow batches, sum up what they have and emit partial counts.
+1. Tasks count terms by (lang, source), some Arrow batches at a time, and emit partial counts.
 2. Counts meet by (lang, term); terms in fewer documents go. What is left is written once.
 3. Terms of a language are dealt to slices of about ``SLICE_ROWS`` counts, and its sources to seats of a few sources. A
    task packs a slice: one compressed block of counts for each seat. While it has the terms at hand, a heap of each
@@ -32,47 +32,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, materialize, new_path, tune
+from .words import ascii_letters, numbered_words, runs
 
 SCALE = 1_000_000_000
-#: What stands between terms, as RE2 reads it.
-GAPS = "[\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f]+"
 #: Counts in a slice, and sources in a seat where that gives no more than MAX_SEATS of them.
 SLICE_ROWS = 1 << 17
 SEAT_SOURCES = 4
 MAX_SEATS = 32
-#: Partial counts that a task holds, and cells of a matrix that a meeting holds.
-HELD_ROWS = 1 << 19
+#: Cells of a matrix that a meeting holds.
 HELD_CELLS = 1 << 21
 
 
-def count_words(batches, gaps: str, keys: int, least: int = 1, rename=None):
-    """Partial sums (key0.., term, n, d) of batches (keys, text, ..): occurrences and rows of each term of at least so many
-    characters. rename(terms, rows, batch) may replace the terms of a batch's (row, term) pairs before they are summed up.
-    Sums are emitted whenever more than HELD_ROWS are held."""
-    by = [f"key{k}" for k in range(keys)] + ["term"]
-    held: list = []
-
-    def summed(tables):
-        t = pa.concat_tables(tables).combine_chunks()
-        return t.group_by(by, use_threads=False).aggregate([("n", "sum"), ("d", "sum")]).select([*by, "n_sum", "d_sum"]).rename_columns([*by, "n", "d"])
+def _count(batches):
+    """Counts (lang, source, term, n, d) of each HELD_BYTES of text: occurrences and rows of each term."""
+    import numpy as np
 
-    for b in batches:
-        parts = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(b.column(keys).cast(pa.large_string()), "")), gaps)
-        t = pa.table({"row": pc.list_parent_indices(parts), "term": pc.list_flatten(parts)})
-        t = t.filter(pc.greater_equal(pc.utf8_length(t["term"]), least))
-        t = t.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
-        row, term, n = (pa.concat_arrays(t[c].chunks) if t.num_rows else pa.array([], t[c].type) for c in ("row", "term", "count_all"))
-        if rename is not None:
-            term = rename(term, row, b)
-        one = pa.repeat(pa.scalar(1, pa.int64()), len(n))
-        held.append(summed([pa.table([*[b.column(k).take(row) for k in range(keys)], term, n.cast(pa.int64()), one], names=[*by, "n", "d"])]))
-        if sum(x.num_rows for x in held) > HELD_ROWS:
-            held = [summed(held)]
-            if held[0].num_rows > HELD_ROWS // 2:
-                yield from held[0].to_batches(max_chunksize=1 << 16)
-                held = []
-    if held:
-        yield from summed(held).to_batches(max_chunksize=1 << 16)
+    for t, row, code, words in numbered_words(batches, 2, ascii_letters):
+        keys = [pc.dictionary_encode(t.column(c).combine_chunks()) for c in range(2)]
+        lang, source = (k.combine_chunks() if isinstance(k, pa.ChunkedArray) else k for k in keys)
+        group = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(zero_copy_only=False)
+        size = max(1, len(words))
+        key, n = runs(group[row] * size + code)
+        pair, _ = runs(row * size + code)
+        _, d = runs(group[pair // size] * size + pair % size)
+        for k in range(0, len(key), 1 << 16):
+            s = slice(k, k + (1 << 16))
+            g, term = key[s] // size, key[s] % size
+            columns = [lang.dictionary.take(pa.array(g // len(source.dictionary))), source.dictionary.take(pa.array(g % len(source.dictionary))), words.take(pa.array(term)).cast(pa.string()), pa.array(n[s].astype(np.int64)), pa.array(d[s].astype(np.int64))]
+            yield pa.record_batch(columns, names=["lang", "source", "term", "n", "d"])
 
 
 def source_counts(docs: DataFrame, min_docs: int, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -80,11 +67,7 @@ def source_counts(docs: DataFrame, min_docs: int, text_col: str = "text", lang_c
     language's count, first marks one row of each term."""
     d = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in ((lang_col, "lang"), (source_col, "source"))], F.col(text_col).cast("string").alias("text"))
 
-    def run(batches):
-        for b in count_words(batches, GAPS, keys=2):
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2).cast(pa.string()), b.column(3), b.column(4)], names=["lang", "source", "term", "n", "d"])
-
-    parts = d.mapInArrow(run, "lang string, source string, term string, n long, d long").repartition("lang", "term")
+    parts = d.mapInArrow(_count, "lang string, source string, term string, n long, d long").repartition("lang", "term")
     w = Window.partitionBy("lang", "term")
     sums = parts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     sums = sums.withColumns({"first": F.row_number().over(w.orderBy("source")) == 1, "total": F.sum("n").over(w), "docs": F.sum("d").over(w)})

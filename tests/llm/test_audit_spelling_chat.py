@@ -81,7 +81,7 @@ def test_divergences_odd_rows(spark, least, top):
 def test_divergences_of_many_seats_slices_and_meetings_in_parts(spark, monkeypatch):
     r = random.Random(3)
     many = [(k, " ".join(f"w{'abcdefghijklmnopqrst'[min(19, int(r.expovariate(0.2)))]}{'xyz'[r.randrange(3)]}" for _ in range(r.randrange(30))), "en", f"s{r.randrange(27)}") for k in range(400)]
-    for name, value in (("SLICE_ROWS", 60), ("SEAT_SOURCES", 2), ("HELD_ROWS", 40), ("HELD_CELLS", 25)):
+    for name, value in (("SLICE_ROWS", 60), ("SEAT_SOURCES", 2), ("HELD_CELLS", 25)):
         monkeypatch.setattr(divergence, name, value)
     got = rows(divergence.divergences(spark.createDataFrame(many, SCHEMA), 3, 5), *COLUMNS)
     assert got == brute_divergences(many, 3, 5)
