@@ -116,16 +116,6 @@ def ordered_unique(df: DataFrame, value: str, position: str) -> DataFrame:
     return df.groupBy(value).agg(F.min(position).alias(position))
 
 
-def percentile_exclusive(values: Column, q: float) -> Column:
-    """A-28: percentile by the exclusive method, position q (n + 1) of the sorted array; the largest if n is small."""
-    s = F.array_sort(values)
-    n = F.size(s)
-    at = (n + 1) * F.lit(q)
-    lo = F.floor(at).cast("int")
-    inner = F.get(s, lo - 1) + (at - lo) * (F.get(s, lo) - F.get(s, lo - 1))
-    return F.when(n < 20, F.array_max(s)).when(lo >= n, F.array_max(s)).otherwise(inner)
-
-
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """A-22: count, nulls, distinct values, mean, deviation, least and largest of each column, one row each."""
     one = df.agg(*[f.alias(f"{c}__{n}") for c in columns for n, f in (("n", F.count(c)), ("nulls", F.count_if(F.col(c).isNull())), ("kinds", F.countDistinct(c)), ("mean", F.avg(c)), ("sd", F.stddev_samp(c)), ("lo", F.min(c)), ("hi", F.max(c)))])
@@ -260,11 +250,6 @@ def _(spark, d):
     return ordered_unique(table(spark, d, "orders"), "o_orderpriority", "o_orderkey")
 
 
-@R.query("rw_p95_exclusive", "A-28 E-08", "SELECT k, CAST(round(CAST(CASE WHEN n < 20 THEN hi ELSE a + (0.95 * (n + 1) - floor(0.95 * (n + 1))) * (b - a) END AS DECIMAL(38,12)), 6) AS DOUBLE) AS p95 FROM (SELECT k, n, hi, s[CAST(floor(0.95 * (n + 1)) AS INT)] AS a, coalesce(s[CAST(floor(0.95 * (n + 1)) AS INT) + 1], hi) AS b FROM (SELECT event_type AS k, count(*) AS n, max(value) AS hi, list_sort(list(value)) AS s FROM events GROUP BY 1) t) u")
-def _(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("k")).agg(decimal(percentile_exclusive(F.collect_list("value"), 0.95), 6).alias("p95"))
-
-
 @R.query("rw_json_agg", "A-29", "SELECT n_regionkey, string_agg(concat('{\"k\":', CAST(n_nationkey AS VARCHAR), ',\"n\":\"', n_name, '\"}'), ',' ORDER BY n_nationkey) AS js FROM nation GROUP BY 1".replace("string_agg(", "concat('[', string_agg(").replace(" ORDER BY n_nationkey) AS js", " ORDER BY n_nationkey), ']') AS js"))
 def _(spark, d):
     return table(spark, d, "nation").groupBy("n_regionkey").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n"))))).alias("js"))
@@ -286,13 +271,6 @@ def _(spark, d):
     return describe(table(spark, d, "orders"), ["o_totalprice"]).withColumn("mean", decimal("mean", 4)).withColumn("sd", decimal("sd", 4))
 
 
-@R.query("rw_set_window_fields", "W-19", "SELECT event_id, CAST(sum(event_id) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS s, lag(event_id) OVER (ORDER BY ts, event_id) AS prev, lead(event_id) OVER (ORDER BY ts, event_id) AS next FROM events WHERE event_type = 'click'")
-def _(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = table(spark, d, "events").where("event_type = 'click'")
-    return e.select("event_id", F.sum("event_id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.lag("event_id").over(w).alias("prev"), F.lead("event_id").over(w).alias("next"))
-
-
 @R.query("rw_melt", "SRC-10", "SELECT n_nationkey, name, CAST(v AS BIGINT) AS v FROM (SELECT n_nationkey, 'customers' AS name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS v FROM nation UNION ALL SELECT n_nationkey, 'suppliers', (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) FROM nation) t")
 def _(spark, d):
     n = table(spark, d, "nation").select("n_nationkey")

@@ -6,6 +6,12 @@ tables. Stand-ins: ``names`` counts orders by year, priority and status; ``gdp``
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators.ordered import GlobalOrder
+from ..operators.rewrites import decimal
+from ..session import table
 from .registry import Registry
 
 R = Registry()
@@ -36,7 +42,14 @@ R.sql("ch14_top3_per_group", "W-01 CH14", "SELECT yr, o_orderkey, o_totalprice F
 R.sql("ch15_rank_dense", "W-02 CH15", "SELECT c_custkey, c_nationkey, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS rk, CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS dr FROM customer")
 R.sql("ch16_lag_lead", "W-04 CH16", f"WITH {GDP} SELECT country, yr, {dec('usd')} AS usd, {dec('usd - lag(usd) OVER (PARTITION BY country ORDER BY yr)')} AS change, {dec('lead(usd) OVER (PARTITION BY country ORDER BY yr)')} AS next FROM gdp")
 R.sql("ch17_running_total", "W-05 CH17", f"WITH {NAMES} SELECT yr, name, sex, CAST(sum(cnt) OVER (PARTITION BY name ORDER BY yr) AS BIGINT) AS running FROM names")
-R.sql("ch18_ntile", "W-03 CH18", f"SELECT q, count(*) AS n, {dec('min(c_acctbal)')} AS lo, {dec('max(c_acctbal)')} AS hi FROM (SELECT c_acctbal, CAST(ntile(4) OVER (ORDER BY c_acctbal, c_custkey) AS BIGINT) AS q FROM customer) t GROUP BY q")
+
+
+@R.query("ch18_ntile", "W-03 CH18", f"SELECT q, count(*) AS n, {dec('min(c_acctbal)')} AS lo, {dec('max(c_acctbal)')} AS hi FROM (SELECT c_acctbal, CAST(ntile(4) OVER (ORDER BY c_acctbal, c_custkey) AS BIGINT) AS q FROM customer) t GROUP BY q")
+def _(spark, d):
+    c = GlobalOrder(table(spark, d, "customer").select("c_acctbal", "c_custkey"), ["c_acctbal", "c_custkey"]).tiles(4, "q")
+    return c.groupBy("q").agg(F.count("*").alias("n"), F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi")).withColumns({k: decimal(k) for k in ("lo", "hi")})
+
+
 R.sql("ch19_growth", "W-18 C-02 CH19", f"WITH {GDP}, y AS (SELECT country, yr, CAST(usd AS DOUBLE) AS usd, lag(CAST(usd AS DOUBLE)) OVER (PARTITION BY country ORDER BY yr) AS prev FROM gdp), top AS (SELECT country FROM gdp GROUP BY country ORDER BY sum(usd) DESC, country LIMIT 5) SELECT country, {dec('avg((usd - prev) / prev * 100)', 3)} AS growth FROM y WHERE prev > 0 AND country IN (SELECT country FROM top) GROUP BY country")
 R.sql("ch20_stable", "A-10 CH20", f"WITH {NAMES} SELECT name, sex, count(*) AS yrs, {dec('stddev_samp(cnt)', 4)} AS sd FROM names GROUP BY name, sex HAVING count(*) = (SELECT count(DISTINCT yr) FROM names)")
 # predicates and projections
@@ -77,12 +90,28 @@ R.sql("a_q1", "A-01", f"SELECT l_returnflag, l_linestatus, {dec('sum(l_quantity)
 R.sql("w_rows_frame", "W-06 W-07", f"SELECT event_id, {dec('sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 4)} AS running, {dec('avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)', 4)} AS trailing, {dec('avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)', 4)} AS centred FROM events")
 R.sql("w_range_peers", "W-08", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far FROM orders")
 R.sql("w_first_last", "W-10", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS first_key, last_value(o_orderkey) OVER w AS last_key FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
-R.sql("w_percent_rank", "W-11", f"SELECT c_custkey, {dec('percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal)', 6)} AS pr, {dec('percent_rank() OVER (ORDER BY c_acctbal)', 6)} AS pr_all FROM customer")
+
+
+@R.query("w_percent_rank", "W-11", f"SELECT c_custkey, {dec('percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal)', 6)} AS pr, {dec('percent_rank() OVER (ORDER BY c_acctbal)', 6)} AS pr_all FROM customer")
+def _(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    c = c.withColumn("pr", F.percent_rank().over(Window.partitionBy("c_nationkey").orderBy("c_acctbal")))
+    c = GlobalOrder(c, ["c_acctbal", "c_custkey"], keys=1).ranked(percent="pr_all")
+    return c.select("c_custkey", decimal("pr", 6).alias("pr"), decimal("pr_all", 6).alias("pr_all"))
+
+
 R.sql("w_named", "W-12", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER w AS BIGINT) AS rn, count(*) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS near FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)")
 R.sql("w_multi_partition", "W-13 W-14", f"SELECT o_orderkey, {dec('o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_orderstatus, o_orderpriority)', 8)} AS share, {dec('o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderstatus, o_orderpriority)', 4)} AS delta FROM orders")
 R.sql("w_group_rank", "W-16", "SELECT l_orderkey, l_linenumber, CAST(rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS BIGINT) AS rk FROM lineitem")
 R.sql("w_pct_change", "W-17", f"SELECT user_id, event_id, {dec('value / nullif(lag(value) OVER w, 0) - 1', 4)} AS change, {dec('sum(value) OVER w', 4)} AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
-R.sql("w_relevance_rank", "W-20", "SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS BIGINT) AS rn FROM documents WHERE lang = 'en'")
+
+
+@R.query("w_relevance_rank", "W-20", "SELECT doc_id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS BIGINT) AS rn FROM documents WHERE lang = 'en'")
+def _(spark, d):
+    docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "n_chars")
+    return GlobalOrder(docs, ["-n_chars", "doc_id"]).numbered("rn").select("doc_id", "rn")
+
+
 # sorting, sets, common table expressions
 R.sql("s_nulls_last", "S-02", "SELECT c_custkey, t.last_key FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS last_key FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) t ON o_custkey = c_custkey ORDER BY t.last_key ASC NULLS LAST, c_custkey")
 R.sql("s_paging", "S-03", "SELECT p_partkey, p_name FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 40")
