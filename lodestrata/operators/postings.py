@@ -10,7 +10,7 @@ A search bounds the score of each block by the sum of its heads, scores the bloc
 those whose bound reaches the k-th score found. Scores are exact; what is left out can't be among the first k.
 
 Defined results: null texts are no documents, empty ones are; rows that share an id are documents of their own whose
-scores add up; ties go by id; terms that no text has add nothing; a question without terms has no answers.
+scores add up; scores that agree in nine decimals are ties, which go by id; terms that no text has add nothing; a question without terms has no answers.
 """
 
 from __future__ import annotations
@@ -119,10 +119,10 @@ class Index:
         first = blocks.orderBy(F.desc("bound"), "block").limit(lead + -(-k // self.block)).select("block")
         best = p.join(F.broadcast(first), "block").groupBy("id").agg(F.sum("score").alias("score")).orderBy(F.desc("score")).limit(k)
         n, least = best.agg(F.count("*"), F.min("score")).first()
-        # bounds and scores are sums in another order
-        hopeful = blocks.where(F.col("bound") >= (least * (1 - 1e-9) if n == k else 0.0)).select("block")
+        # bounds and scores are sums in another order, and scores are ranked by nine decimals
+        hopeful = blocks.where(F.col("bound") >= (least * (1 - 1e-9) - 1e-8 if n == k else 0.0)).select("block")
         out = p.join(hopeful, "block", "left_semi").groupBy("id").agg(F.sum("score").alias("score"))
-        return out.orderBy(F.desc("score"), F.asc("id")).limit(k)
+        return out.orderBy(F.desc(F.round("score", 9)), F.asc("id")).limit(k)
 
     def _kept(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = scratch(df.sparkSession, "bounds")
@@ -181,7 +181,7 @@ def _(spark, d):
     return spark.read.parquet(f"{index.path}/dictionary").select("term", "df", "tf")
 
 
-@R.query("ft_index_search", "FT-10 FT-01", f"WITH {bm25_sql(['ertion', 'schach', 'the', 'lyer', 'nowhere'])} SELECT id, CAST(round(CAST(score AS DECIMAL(38,12)), 6) AS DOUBLE) AS score FROM bm ORDER BY round(CAST(score AS DECIMAL(38,12)), 6) DESC, id LIMIT 25")
+@R.query("ft_index_search", "FT-10 FT-01", f"WITH {bm25_sql(['ertion', 'schach', 'the', 'lyer', 'nowhere'])} SELECT id, CAST(round(CAST(score AS DECIMAL(38,12)), 6) AS DOUBLE) AS score FROM bm ORDER BY round(score, 9) DESC, id LIMIT 25")
 def _(spark, d):
     """The 25 best documents for a question, from an index that is written and opened again."""
     path = build_index(table(spark, d, "documents")).path

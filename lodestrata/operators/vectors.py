@@ -1,4 +1,4 @@
-"""Vector distances, exact and inverted-file nearest neighbours, centroids, coherence.
+"""Vector distances, exact nearest neighbours, centroids, coherence (the inverted file is in ``lists``).
 
 Distances are expressions over arrays in double precision, so they stay in generated code and sort straight into a
 top-k; a query vector is a literal.
@@ -79,31 +79,6 @@ def coherence(df: DataFrame, group: str, vector: str = "embedding") -> DataFrame
     return length.join(n, group).select(group, "n", mean.alias("coherence"))
 
 
-class InvertedFile:
-    """V-05, DML-17: coarse k-means over a bounded sample, every row assigned, probes of the nearest lists searched."""
-
-    def __init__(self, df: DataFrame, lists: int = 100, sample_rows: int = 20_000, seed: int = 1, vector: str = "embedding", key: str = "vec_id"):
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        self.vector, self.key, self.rows = vector, key, df.count()
-        share = min(1.0, sample_rows / max(1, self.rows))
-        picked = df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
-        model = KMeans(k=max(1, min(lists, self.rows // 2)), seed=seed, maxIter=10).fit(picked.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features")))
-        self.centers = [[float(x) for x in c] for c in model.clusterCenters()]
-        cs = F.array(*[F.struct(array_of(c).alias("c"), F.lit(k).alias("k")) for k, c in enumerate(self.centers)])
-        best = F.array_min(F.transform(cs, lambda s: F.struct(l2(F.col(vector), s["c"]).alias("d"), s["k"].alias("k"))))
-        self.index = df.withColumn("list", best["k"])
-
-    def stale(self, rows: int, factor: int = 3) -> bool:
-        """Whether the table has grown so much that the index should be built again."""
-        return rows >= factor * self.rows
-
-    def search(self, query: list[float], k: int, probes: int = 10, metric: str = "cosine") -> DataFrame:
-        near = sorted(range(len(self.centers)), key=lambda j: sum((a - b) ** 2 for a, b in zip(query, self.centers[j])))[:probes]
-        return knn(self.index.where(F.col("list").isin(near)), query, k, metric, self.vector, self.key)
-
-
 def top_products(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """V-10: the k items of largest inner product for each user, by blocks of items: (user, item, score).
 
@@ -180,14 +155,4 @@ def _(spark, d):
     return top_products(u, i, 3).select("user", "item", decimal("score", 6).alias("score"))
 
 
-#: Lists of 16 that the registered search probes; a test holds its recall to 0.9.
-PROBES = 10
-
-
-@R.query("v_inverted_file", "V-05 DML-17")
-def _(spark, d):
-    e = table(spark, d, "embeddings")
-    return InvertedFile(e, lists=16).search(_query(spark, d), 10, probes=PROBES).select("vec_id", "distance")
-
-
 QUERIES, ORACLES, COVERS = R.queries, R.oracles, R.covers

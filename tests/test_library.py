@@ -240,9 +240,6 @@ def test_search_units(spark):
 
 def test_vectors(spark):
     d = spark.createDataFrame([(k, [float(k % 3), 1.0, float(k)], 0) for k in range(1, 60)], "vec_id long, embedding array<double>, label int")
-    index = vectors.InvertedFile(d, lists=4)
-    assert rows(index.search([1.0, 1.0, 30.0], 5, probes=4).select("vec_id")) == rows(vectors.knn(d, [1.0, 1.0, 30.0], 5).select("vec_id"))
-    assert index.stale(3 * 59) and not index.stale(100)
     one = vectors.coherence(d.where("vec_id = 1"), "label").first()
     assert one["coherence"] == 1.0
 
@@ -366,21 +363,6 @@ def test_chunk_windows_end_at_stops():
     assert sliding_chunks("", c) == [] and sliding_chunks(" \n ", c) == []
 
 
-def test_inverted_file_recall(spark, sf_dir):
-    """The lists that the registered query probes hold nine of ten nearest vectors of the rows whose id 50 divides."""
-    from lodestrata.operators import vectors
-    from lodestrata.session import table
-
-    e = table(spark, sf_dir, "embeddings")
-    index = vectors.InvertedFile(e, lists=16)
-    found = asked = 0
-    for r in e.where("vec_id % 50 = 0").collect():
-        best = {x["vec_id"] for x in vectors.knn(e, list(r["embedding"]), 10).collect()}
-        found += len(best & {x["vec_id"] for x in index.search(list(r["embedding"]), 10, probes=vectors.PROBES).collect()})
-        asked += len(best)
-    assert found >= 0.9 * asked
-
-
 def test_extraction_report_of_nothing(spark):
     from lodestrata.operators import medallion
 
