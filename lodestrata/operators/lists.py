@@ -54,13 +54,14 @@ class Lists:
     generation: int
     probes: int
     recall: float
+    kind: str
 
     def stale(self, rows: int, factor: float = 3) -> bool:
         """DML-17: whether the table has so many times the rows that centroids were fitted for."""
         return rows >= factor * max(1, self.fitted_rows)
 
     def blocks(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(*[f"{self.path}/generation-{g}" for g in range(self.generation + 1)])
+        return spark.read.parquet(f"{self.path}/blocks").where(F.col("generation") <= self.generation)
 
     def centers(self, spark: SparkSession):
         """(matrix of centroids, radius of each list): lists rows, at most CENTROID_BYTES."""
@@ -78,7 +79,7 @@ class Lists:
         spark = queries.sparkSession
         ship(spark)
         if not self.lists:
-            return _nothing(queries, self.key_type(spark))
+            return _nothing(queries, self.kind)
         sent = spark.sparkContext.broadcast(self.centers(spark))
         asked = _choose(self._unit(queries, "query", "vector"), sent, self.probes if probes is None else probes)
         return self._answer(asked, k, others)
@@ -88,7 +89,7 @@ class Lists:
         spark = queries.sparkSession
         ship(spark)
         if not self.lists:
-            return _nothing(queries, self.key_type(spark))
+            return _nothing(queries, self.kind)
         sent = spark.sparkContext.broadcast(self.centers(spark))
         unit = _written(self._unit(queries, "query", "vector"), "queries")
         first = self._answer(_choose(unit, sent, self.probes), k, others)
@@ -96,9 +97,6 @@ class Lists:
         far = unit.join(worst, unit["query"].eqNullSafe(worst["_q"]), "left").select("query", "vector", "worst")
         return self._answer(_choose(far, sent, None, self.metric), k, others)
 
-    def key_type(self, spark: SparkSession):
-        return self.blocks(spark).schema["keys"].dataType.elementType.simpleString()
-
     def _unit(self, df: DataFrame, key: str, vector: str) -> DataFrame:
         return _valid(df, key, vector, self.dim, self.metric)
 
@@ -115,7 +113,7 @@ class Lists:
         few = [r["list"] for r in asked.select("list").distinct().limit(65).collect()]
         if len(few) <= 64:  # as filters, so that other partitions are not read
             wanted = wanted.where(F.col("list").isin(few) & F.col("folder").isin(sorted({x % FOLDERS for x in few})))
-        own = self.key_type(spark)
+        own = self.kind
         met = packed.join(wanted.select("list", "keys", "vectors"), "list").select("queries", "asked", "keys", "vectors")
         found = met.mapInArrow(_nearest(self.dim, self.metric, k, others), f"query {kind}, neighbour {own}, distance double")
         out = top_per_group(found, ["query"], [F.asc("distance"), F.asc("neighbour")], k)
@@ -254,7 +252,7 @@ def _store(spark: SparkSession, rows: DataFrame, index: Lists, sent) -> int:
     most = max(1, BLOCK_BYTES // (8 * index.dim))
     dealt = placed.join(F.broadcast(sizes.drop("radius")), "list").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("n") / most)))  # a row for each list
     packed = dealt.groupBy("list", "part").applyInArrow(_pack("key", "vector"), f"list long, part long, keys array<{kind}>, vectors binary")
-    packed.withColumn("folder", F.pmod("list", F.lit(FOLDERS)).cast("int")).repartition("folder").sortWithinPartitions("folder", "list", "part").write.partitionBy("folder").parquet(f"{index.path}/generation-{index.generation}")
+    packed.withColumn("folder", F.pmod("list", F.lit(FOLDERS)).cast("int")).repartition("folder").sortWithinPartitions("folder", "list", "part").write.partitionBy("folder").parquet(f"{index.path}/blocks/generation={index.generation}")
     sizes.coalesce(1).write.parquet(f"{index.path}/radii-{index.generation}")
     return sizes.agg(F.sum("n")).first()[0] or 0
 
@@ -272,17 +270,17 @@ def build_lists(df: DataFrame, key: str = "vec_id", vector: str = "embedding", p
     """V-05: write an inverted file over (key, vector) and choose its number of probes for the k nearest."""
     spark = df.sparkSession
     ship(spark)
-    path = path or scratch(spark, "lists")
+    path, kind = path or scratch(spark, "lists"), df.schema[key].dataType.simpleString()
     usual = _valid(df, key, vector, None, metric).groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if usual is None:
-        return Lists(path, key, vector, metric, 0, 0, 0, 0, 0, 0, 1.0)
+        return Lists(path, key, vector, metric, 0, 0, 0, 0, 0, 0, 1.0, kind)
     dim, rows = usual["dim"], usual["count"]
     n = min(lists or max(1, round(rows**0.5)), CENTROID_BYTES // (8 * dim), rows)
     valid = _valid(df, key, vector, dim, metric)
     share = min(1.0, min(SAMPLE_ROWS, max(4096, SAMPLE_OF_LIST * n)) / rows)
     sample = valid.where(F.pmod(F.xxhash64(key, "vector"), F.lit(1 << 30)) < int(share * (1 << 30)))
     centers = _fit(sample, n, dim)
-    index = Lists(path, key, vector, metric, dim, len(centers), rows, rows, 0, len(centers), 1.0)
+    index = Lists(path, key, vector, metric, dim, len(centers), rows, rows, 0, len(centers), 1.0, kind)
     spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "list long, centroid array<double>").coalesce(1).write.parquet(f"{path}/centers")
     _store(spark, valid, index, spark.sparkContext.broadcast(centers))
     index = _measure(spark, index, valid, recall, k)
@@ -305,7 +303,7 @@ def _measure(spark: SparkSession, index: Lists, valid: DataFrame, recall: float,
 
     centers, radius = index.centers(spark)
     own = F.xxhash64(index.key, F.lit(7))
-    trials = valid.select(F.col(index.key).alias("query"), "vector").orderBy(own).limit(TRIALS)
+    trials = valid.where(F.col(index.key).isNotNull()).select(F.col(index.key).alias("query"), "vector").orderBy(own).limit(TRIALS)
     trials = _written(trials, "trials")
     near = replace(index, probes=index.lists).search(trials, k, others=True)
     where = index.blocks(spark).select("list", F.explode("keys").alias("neighbour"))

@@ -57,6 +57,10 @@ def _class(n: Column) -> Column:
     return F.floor(2 * F.log2(n + F.lit(1.0))).cast("int")
 
 
+#: What is written; without rows there is nothing that a schema could be read from.
+_SCHEMAS = {"postings": "id {id}, n int, term string, tf int, block long", "dictionary": "term string, df long, tf long, top double", "heads": "term string, block long, top double, n long"}
+
+
 @dataclass
 class Index:
     """Where an index is and what it holds; ``open_index`` reads this from the table beside the postings."""
@@ -68,9 +72,10 @@ class Index:
     block: int
     k1: float
     b: float
+    kind: str
 
     def _of(self, spark: SparkSession, name: str, terms: list[str]) -> DataFrame:
-        own = spark.read.parquet(f"{self.path}/{name}")
+        own = spark.read.schema(f"{_SCHEMAS[name].format(id=self.kind)}, bucket int").parquet(f"{self.path}/{name}")
         return own.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})) & F.col("term").isin(terms))
 
     def weight(self) -> Column:
@@ -146,7 +151,7 @@ def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
     lengths = F.size(F.filter(F.split("text", "[^a-z0-9]+"), lambda x: x != ""))
     classes = d.select(lengths.alias("n")).groupBy(_class(F.col("n")).alias("c")).agg(F.count("*").alias("docs"), F.sum("n").alias("words")).orderBy("c").collect()  # at most 64 rows
     total = sum(r["docs"] for r in classes)
-    mean = sum(r["words"] for r in classes) / max(1, total)
+    mean = float(sum(r["words"] for r in classes)) / max(1, total)
     at, block_of = 0, F.lit(None).cast("long")
     for r in classes:
         n = -(-r["docs"] // block)
@@ -154,21 +159,23 @@ def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
         at += n
     kind = d.schema["id"].dataType.simpleString()
     p = d.mapInArrow(_counts, f"id {kind}, n int, term string, tf int").withColumns({"block": block_of, "bucket": F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")})
-    index = Index(path, total, mean, buckets, block, k1, b)
+    index = Index(path, total, mean, buckets, block, k1, b, kind)
     p.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
-    written = spark.read.parquet(f"{path}/postings")
-    by_term = written.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max(index.weight()).alias("top"))
+    def written(name: str) -> DataFrame:
+        return spark.read.schema(f"{_SCHEMAS[name].format(id=kind)}, bucket int").parquet(f"{path}/{name}")
+
+    by_term = written("postings").groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max(index.weight()).alias("top"))
     by_term.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/dictionary")
-    often = spark.read.parquet(f"{path}/dictionary").where(F.col("df") > block).select("bucket", "term")
-    heads = written.join(often, ["bucket", "term"], "left_semi").groupBy("bucket", "term", "block").agg(F.max(index.weight()).alias("top"), F.count("*").alias("n"))
+    often = written("dictionary").where(F.col("df") > block).select("bucket", "term")
+    heads = written("postings").join(often, ["bucket", "term"], "left_semi").groupBy("bucket", "term", "block").agg(F.max(index.weight()).alias("top"), F.count("*").alias("n"))
     heads.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/heads")
-    spark.createDataFrame([(total, mean, buckets, block, k1, b)], "docs long, mean double, buckets int, block int, k1 double, b double").coalesce(1).write.parquet(f"{path}/stats")
+    spark.createDataFrame([(total, mean, buckets, block, k1, b, kind)], "docs long, mean double, buckets int, block int, k1 double, b double, kind string").coalesce(1).write.parquet(f"{path}/stats")
     return index
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     r = spark.read.parquet(f"{path}/stats").first()
-    return Index(path, r["docs"], r["mean"], r["buckets"], r["block"], r["k1"], r["b"])
+    return Index(path, r["docs"], r["mean"], r["buckets"], r["block"], r["k1"], r["b"], r["kind"])
 
 
 # Queries ---------------------------------------------------------------------------------------------------------

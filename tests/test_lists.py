@@ -79,7 +79,7 @@ def test_a_hot_list_is_many_blocks(spark, monkeypatch):
 
 def test_odd_vectors(spark):
     vs = [(k, [float(x) for x in v]) for k, v in enumerate(even(np.random.default_rng(3), 40, 3))]
-    odd = [(100, None), (101, []), (102, [0.0] * 3), (103, [float("nan"), 1, 1]), (104, [None, 1.0, 1.0]), (105, [1.0]), (106, [1e300] * 3), (None, [1.0, 2.0, 3.0]), (107, [float("inf")] * 3)]
+    odd = [(100, None), (101, []), (102, [0.0] * 3), (103, [float("nan"), 1.0, 1.0]), (104, [None, 1.0, 1.0]), (105, [1.0]), (106, [1e300] * 3), (None, [1.0, 2.0, 3.0]), (107, [float("inf")] * 3)]
     df = spark.createDataFrame(vs + odd, SCHEMA).withColumns({c: F.lit(1) for c in ("list", "part", "vector", "keys", "query", "n")})
     index = lists.build_lists(df)
     assert index.rows == 42  # with 106 and the null key
