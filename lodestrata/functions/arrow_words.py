@@ -9,12 +9,13 @@ import pyarrow.compute as pc
 HELD_BYTES = 16 << 20
 
 
-def only(characters: str):
-    """A function of bytes (a NumPy array): A-Z lower-cased, other ASCII characters than these as spaces, the rest as it is."""
+def only(characters: str, beyond: bool = True):
+    """A function of bytes (a NumPy array): A-Z lower-cased, other ASCII characters than these as spaces; what is beyond ASCII
+    as it is, or as spaces too."""
     import numpy as np
 
     to = np.arange(256, dtype=np.uint8)
-    to[:128] = 32
+    to[: 128 if beyond else 256] = 32
     for c in characters.encode():
         to[c] = c
     to[ord("A") : ord("Z") + 1] = to[ord("a") : ord("z") + 1]

@@ -29,32 +29,58 @@ from .rewrites import decimal
 from .search import TOK, bm25_sql, words
 
 R = Registry()
+#: Frequent terms that are sent to all tasks (some 20 MB) rather than joined.
+SENT_TERMS = 500_000
 
 
-def _counts(batches):
-    """(id, n, term, tf) of batches (id, lower-cased text): a row for each term of each text, and for each text one without."""
-    import numpy as np
-    import pyarrow as pa
+LETTERS = only("abcdefghijklmnopqrstuvwxyz0123456789", beyond=False)
 
-    for t, row, code, terms in numbered_words(batches, 1, only("abcdefghijklmnopqrstuvwxyz0123456789")):
-        size, ids = max(1, len(terms)), t.column(0).combine_chunks()
-        ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
-        n = np.bincount(row, minlength=t.num_rows) if len(row) else np.zeros(t.num_rows, np.int64)
-        key, tf = runs(row * size + code)
-        for k in range(0, len(key), 1 << 16):
-            s = slice(k, k + (1 << 16))
-            at = key[s] // size
-            yield pa.record_batch([ids.take(pa.array(at)), pa.array(n[at].astype(np.int32)), terms.take(pa.array(key[s] % size)).cast(pa.string()), pa.array(tf[s].astype(np.int32))], names=["id", "n", "term", "tf"])
 
+def _class(n):
+    """Lengths within a factor of the square root of two share a class."""
+    import numpy as np
 
-def _clean(c: Column) -> Column:
-    """Lower-cased, with what is beyond ASCII as a space."""
-    return F.regexp_replace(F.lower(c), "[^\\x00-\\x7F]", " ")
+    return np.floor(2 * np.log2(n + 1.0)).astype(np.int64)
 
 
-def _class(n: Column) -> Column:
-    """Lengths within a factor of the square root of two."""
-    return F.floor(2 * F.log2(n + F.lit(1.0))).cast("int")
+def _lengths(batches):
+    """(class, docs, words) of batches (text), summed up."""
+    import numpy as np
+    import pyarrow as pa
+
+    docs, total = np.zeros(128, np.int64), np.zeros(128, np.int64)
+    for t, row, _, _ in numbered_words(batches, 0, LETTERS):
+        n = np.bincount(row, minlength=t.num_rows)
+        np.add.at(docs, _class(n), 1)
+        np.add.at(total, _class(n), n)
+    on = np.flatnonzero(docs)
+    yield pa.record_batch([pa.array(on), pa.array(docs[on]), pa.array(total[on])], names=["class", "docs", "words"])
+
+
+def _postings(buckets: int, start, blocks):
+    """(id, n, term, tf, block, bucket) of batches (id, hash, text): a row for each term of each text. A class's texts are
+    dealt to its blocks by the hash."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for t, row, code, terms in numbered_words(batches, 2, LETTERS):
+            if not len(row):
+                continue
+            size, ids = max(1, len(terms)), pa.concat_arrays(t.column(0).chunks)
+            n = np.bincount(row, minlength=t.num_rows)
+            c = _class(n)
+            block = start[c] + t.column(1).to_numpy() % np.maximum(blocks[c], 1)
+            bucket = np.array([zlib.crc32(w) % buckets for w in terms.cast(pa.large_binary()).to_pylist()], np.int32)
+            key, tf = runs(row * size + code)
+            for k in range(0, len(key), 1 << 16):
+                s = slice(k, k + (1 << 16))
+                at, term = key[s] // size, key[s] % size
+                columns = [ids.take(pa.array(at)), pa.array(n[at].astype(np.int32)), terms.take(pa.array(term)).cast(pa.string()), pa.array(tf[s].astype(np.int32)), pa.array(block[at]), pa.array(bucket[term])]
+                yield pa.record_batch(columns, names=["id", "n", "term", "tf", "block", "bucket"])
+
+    return run
 
 
 #: What is written; without rows there is nothing that a schema could be read from.
@@ -144,29 +170,32 @@ def _by_term(known: dict[str, tuple[float, int]]) -> Column:
 
 def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int = 32, block: int = 256, k1: float = 1.2, b: float = 0.75) -> Index:
     """FT-01: write the index of a table of texts and open it. One shuffle, of a row for each term of each text."""
+    import numpy as np
+
     spark = docs.sparkSession
     ship(spark)
     path = path or scratch(spark, "index")
-    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), _clean(F.col(text_col)).alias("text"))
-    lengths = F.size(F.filter(F.split("text", "[^a-z0-9]+"), lambda x: x != ""))
-    classes = d.select(lengths.alias("n")).groupBy(_class(F.col("n")).alias("c")).agg(F.count("*").alias("docs"), F.sum("n").alias("words")).orderBy("c").collect()  # at most 64 rows
+    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.lower(text_col).alias("text"))
+    classes = d.select("text").mapInArrow(_lengths, "class long, docs long, words long").groupBy("class").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")).collect()  # at most 128 rows
     total = sum(r["docs"] for r in classes)
     mean = float(sum(r["words"] for r in classes)) / max(1, total)
-    at, block_of = 0, F.lit(None).cast("long")
+    start, blocks = np.zeros(128, np.int64), np.zeros(128, np.int64)
     for r in classes:
-        n = -(-r["docs"] // block)
-        block_of = F.when(_class(F.col("n")) == r["c"], F.lit(at) + F.pmod(F.xxhash64("id"), F.lit(n))).otherwise(block_of)
-        at += n
+        blocks[r["class"]] = -(-r["docs"] // block)
+    start[1:] = np.cumsum(blocks)[:-1]
     kind = d.schema["id"].dataType.simpleString()
-    p = d.mapInArrow(_counts, f"id {kind}, n int, term string, tf int").withColumns({"block": block_of, "bucket": F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")})
+    p = d.mapInArrow(_postings(buckets, start, blocks), f"id {kind}, n int, term string, tf int, block long, bucket int")
     index = Index(path, total, mean, buckets, block, k1, b, kind)
     p.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+
     def written(name: str) -> DataFrame:
         return spark.read.schema(f"{_SCHEMAS[name].format(id=kind)}, bucket int").parquet(f"{path}/{name}")
 
     by_term = written("postings").groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max(index.weight()).alias("top"))
     by_term.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/dictionary")
     often = written("dictionary").where(F.col("df") > block).select("bucket", "term")
+    if often.count() <= SENT_TERMS:
+        often = F.broadcast(often)
     heads = written("postings").join(often, ["bucket", "term"], "left_semi").groupBy("bucket", "term", "block").agg(F.max(index.weight()).alias("top"), F.count("*").alias("n"))
     heads.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/heads")
     spark.createDataFrame([(total, mean, buckets, block, k1, b, kind)], "docs long, mean double, buckets int, block int, k1 double, b double, kind string").coalesce(1).write.parquet(f"{path}/stats")
