@@ -85,9 +85,10 @@ def risks(entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     held = entities.groupBy("document_id").agg(F.collect_set("label").alias("labels")).where(F.array_contains("labels", "Party"))
     r = held.crossJoin(F.broadcast(rules)).where(~F.array_contains("labels", F.col("needed"))).select("document_id", "risk", "severity", "risk_type")
     party = r.select("document_id", "risk").join(entities.where("label = 'Party'").select("document_id", F.col("uuid").alias("party")), "document_id")
-    pairs = spark.createDataFrame(CAUSES, "cause string, effect string")  # three rows
-    a = r.select("document_id", F.col("risk").alias("cause")).join(F.broadcast(pairs), "cause")
-    causes = a.join(r.select("document_id", F.col("risk").alias("effect")), ["document_id", "effect"]).select("document_id", "cause", "effect")
+    need = {risk: label for risk, label, *_ in RISK_RULES}
+    # both risks of a pair hold where both labels are absent, which a contract's row of labels says by itself
+    pairs = F.array(*[F.when(~F.array_contains("labels", need[a]) & ~F.array_contains("labels", need[b]), F.struct(F.lit(a).alias("cause"), F.lit(b).alias("effect"))) for a, b in CAUSES])
+    causes = held.select("document_id", F.explode(F.filter(pairs, lambda p: p.isNotNull())).alias("p")).select("document_id", "p.cause", "p.effect")
     return r, party, causes
 
 
@@ -178,7 +179,11 @@ def _(spark, d):
     return risks(_gold_vertices(spark, d))[0]
 
 
-@R.query("md_risk_causes", "I-15", f"WITH {RISK_SQL} SELECT a.document_id, c.cause, c.effect FROM r a JOIN (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for a, b in CAUSES)}) c(cause, effect) ON a.risk = c.cause JOIN r b ON b.document_id = a.document_id AND b.risk = c.effect")
+_NEED = {risk: label for risk, label, *_ in RISK_RULES}
+_PAIRS = ", ".join(f"('{a}', '{b}', '{_NEED[a]}', '{_NEED[b]}')" for a, b in CAUSES)
+
+
+@R.query("md_risk_causes", "I-15", f"WITH {STAGED}, held AS MATERIALIZED (SELECT contract_id, list(DISTINCT label) AS ls FROM s GROUP BY 1 HAVING bool_or(label = 'Party')) SELECT contract_id AS document_id, cause, effect FROM held, (VALUES {_PAIRS}) q(cause, effect, a, b) WHERE NOT list_contains(ls, a) AND NOT list_contains(ls, b)")
 def _(spark, d):
     return risks(_gold_vertices(spark, d))[2]
 
