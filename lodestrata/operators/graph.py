@@ -4,7 +4,9 @@ source, target and edge, so they are the same every time."""
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize
 from ..plans.registry import Registry, run_sql
+from ..session import table
 from .merge import upsert
 
 R = Registry()
@@ -75,54 +78,63 @@ INTENTS = {
     "list_contracts": Pattern("Contract"),
 }
 
-#: GS-09: stems that tell of an intent, each with a weight; a phrase of several stems must stand in this order, up to two
-#: words apart. An intent's score is the sum over its stems that a question has; the highest score is the intent.
-STEMS = {
-    "find_parties": {"party": 1, "parties": 1, "who sign": 3, "signator": 3, "signed": 2},
-    "find_indemnification": {"indemnif": 4, "indemnit": 4},
-    "find_jurisdictions": {"jurisdiction": 4, "governing law": 5, "choice law": 5},
-    "find_termination_clauses": {"terminat": 4},
-    "find_confidentiality_clauses": {"confidential": 5, "nda": 5, "non disclosure": 9},
-    "find_payment_terms": {"payment": 4, "fee": 4, "royalt": 4, "revenue shar": 5},
-    "find_obligations": {"obligation": 3, "duty": 3, "duties": 3},
-    "find_liability_clauses": {"liabilit": 4},
-    "find_effective_dates": {"effective date": 5, "take effect": 5, "takes effect": 5, "commence": 4},
-    "find_expiration_dates": {"expir": 4},
-    "find_renewal_terms": {"renew": 4},
-    "find_disclosures": {"disclos": 4},
-    "find_superseded_contracts": {"supersed": 6, "superced": 6},
-    "find_amendments": {"amend": 6},
-    "find_references": {"document refer": 6, "referenced": 4, "external document": 6},
-    "find_incorporated_documents": {"incorporat reference": 9},
-    "find_attachments": {"attach": 6},
-    "find_replacements": {"replac": 6},
-    "find_all_risks": {"risk": 4, "compliance gap": 5, "exposure": 4, "vulnerab": 4},
-    "find_risk_chains": {"risk cause": 6, "risk factor cause": 1, "cause risk": 6, "cause other risk": 6},
-    "find_missing_indemnity": {"lack indemnit": 9, "missing indemnit": 9, "without indemnit": 9, "no indemnit": 9},
-    "find_missing_termination": {"lack terminat": 9, "missing terminat": 9, "without terminat": 9, "no terminat": 9},
-    "find_sections": {"section": 4, "subsection": 4, "paragraph": 4, "heading": 4, "structur": 4},
+#: Own example questions of each intent. What an intent is about is read from its name, from the labels and the relation of
+#: its pattern, and from these.
+EXAMPLES = {
+    "find_parties": ["Who signed this deal?", "Name the party on each side"],
+    "find_indemnification": ["Who indemnifies whom?", "Does anybody hold us harmless?"],
+    "find_jurisdictions": ["Courts of which country decide?"],
+    "find_termination_clauses": ["How can we terminate it early?"],
+    "find_confidentiality_clauses": ["What must be kept secret?"],
+    "find_payment_terms": ["What fees and prices are to be paid?"],
+    "find_obligations": ["What must the supplier deliver, what is it obliged to do?"],
+    "find_liability_clauses": ["Is damage liable to a cap?"],
+    "find_effective_dates": ["From when is it effective and in force?"],
+    "find_expiration_dates": ["When does it expire or end?"],
+    "find_renewal_terms": ["Can it be renewed or prolonged?"],
+    "find_disclosures": ["Who discloses data to whom?"],
+    "find_superseded_contracts": ["Which deal is superseded by it?"],
+    "find_amendments": ["Which deal was amended or changed?"],
+    "find_references": ["Which papers are referenced or cited?"],
+    "find_incorporated_documents": ["Which papers are incorporated?"],
+    "find_attachments": ["Which annexes are attached?"],
+    "find_replacements": ["Which deal did it replace?"],
+    "find_all_risks": ["How risky is it, what could harm a party?"],
+    "find_risk_chains": ["Which risk brings about which?"],
+    "find_missing_indemnity": ["Which ones lack an indemnity?", "Those without indemnity"],
+    "find_missing_termination": ["Which ones lack termination?", "Those without termination"],
+    "find_sections": ["What headings and chapters does it have?"],
 }
-#: GS-10: stems of the logical graphs beside ENTITY, which is always asked.
-GRAPH_STEMS = {
-    "HIERARCHY": ["section", "subsection", "paragraph", "heading", "structur", "hierarch", "clause text", "chunk"],
-    "LINEAGE": ["amend", "supers", "superc", "replac", "incorporat reference", "lineage", "document refer", "referenced document", "previous version", "previous contract", "original agreement", "attach"],
-    "RISK": ["risk", "compliance gap", "missing clause", "exposure", "vulnerab", "gap in", "gap analysis", "no indemnit", "no liabilit", "no terminat", "not have indemnit", "not have liabilit", "not have terminat"],
+#: GS-10: the intents of the logical graphs beside ENTITY, which is always asked.
+GRAPHS = {
+    "HIERARCHY": ["find_sections"],
+    "LINEAGE": ["find_superseded_contracts", "find_amendments", "find_references", "find_incorporated_documents", "find_attachments", "find_replacements"],
+    "RISK": ["find_all_risks", "find_risk_chains"],
 }
+#: Words of names and patterns that tell nothing apart.
+COMMON = frozenset("find all contract contracts agreement clause clauses document documents deal term terms date dates has by for to on from other each it its we us be this those ones side could must kept did".split())
 #: Words that begin questions and sentences, and words that are no name by themselves.
 OPENERS = frozenset("which what who whose whom how when where why is are was were do does did has have can could will list show find give tell name in on at of for the a an any all".split())
 
 
-def _words(question: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+", question.lower())
+def stems(text: str) -> set[str]:
+    """The first five letters of words, of the singular of those in -ies and -s; names in capitals and lines fall apart."""
+    words = re.findall(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+", text)
+    words = [w.lower() for w in words if w.lower() not in OPENERS and w.lower() not in COMMON]
+    return {(w[:-3] + "y" if w.endswith("ies") else w[:-1] if w.endswith("s") and len(w) > 3 else w)[:5] for w in words}
 
 
-def _has(words: list[str], phrase: str, gap: int = 2) -> bool:
-    """The stems of a phrase begin words that follow each other with at most so many words between."""
-    first, *rest = phrase.split()
-    ends = [k for k, w in enumerate(words) if w.startswith(first) and (len(first) > 3 or w in (first, first + "s"))]
-    for stem in rest:
-        ends = [k for e in ends for k in range(e + 1, min(e + gap + 2, len(words))) if words[k].startswith(stem)]
-    return bool(ends)
+def _weights() -> dict[str, dict[str, float]]:
+    """By intent, what its stems weigh: more the fewer intents have them, twice if they are in its name."""
+    own = {}
+    for intent, examples in EXAMPLES.items():
+        p = INTENTS[intent]
+        own[intent] = (stems(intent), stems(" ".join([p.src, p.rel or "", "" if p.absent else p.dst or "", *examples])))
+    spread = Counter(x for name, rest in own.values() for x in name | rest)
+    return {k: {x: (2 if x in name else 1) * math.log((1 + len(own)) / spread[x]) for x in name | rest} for k, (name, rest) in own.items()}
+
+
+WEIGHTS = _weights()
 
 
 def name_in(question: str) -> str | None:
@@ -147,18 +159,24 @@ def name_in(question: str) -> str | None:
 
 
 def parse_intent(question: str) -> tuple[str, str | None]:
-    """(intent, name) of a question: the intent with the highest score, of equals the first; list_contracts if none has
-    any."""
-    words = _words(question)
-    scores = {intent: sum(w for stem, w in stems.items() if _has(words, stem)) for intent, stems in STEMS.items()}
+    """(intent, name) of a question: the intent whose stems in the question (without the name) weigh most, of equals the
+    first; list_contracts if it has none."""
+    name = name_in(question)
+    asked = stems(question.replace(name, " ") if name else question)
+    scores = {intent: sum(own[x] for x in sorted(asked & own.keys())) for intent, own in WEIGHTS.items()}
     best = max(scores, key=scores.get)
-    return (best if scores[best] else "list_contracts"), name_in(question)
+    return (best if scores[best] else "list_contracts"), name
 
 
 def route(question: str) -> list[str]:
-    """The logical graphs to ask, ENTITY always, in order."""
-    words = _words(question)
-    return ["ENTITY", *[g for g, stems in GRAPH_STEMS.items() if any(_has(words, s) for s in stems)]]
+    """The logical graphs to ask, ENTITY always, in order: those that a stem of the question belongs to and no intent outside."""
+    asked = stems(question)
+    out = ["ENTITY"]
+    for graph, intents in GRAPHS.items():
+        outside = {x for k, own in WEIGHTS.items() if k not in intents for x in own}
+        if any(x in WEIGHTS[k] and x not in outside for x in asked for k in intents):
+            out.append(graph)
+    return out
 
 
 def match(v: DataFrame, e: DataFrame, src: str | list | None = None, rel: str | list | None = None, dst: str | list | None = None) -> DataFrame:
@@ -452,30 +470,56 @@ def _(spark, d):
 
 
 #: Questions with the intent, name and graphs that they must give.
+#: Questions about a customer by the remainder of the key: (text, intent, whether the name is found, graphs).
 ASKED = [
-    ("Which parties signed the Harbour Lease Agreement?", "find_parties", "Harbour Lease Agreement", "ENTITY"),
-    ("Is anyone indemnified under 'Deal Nine'?", "find_indemnification", "Deal Nine", "ENTITY"),
-    ("Which agreements lack an indemnity clause?", "find_missing_indemnity", None, "ENTITY"),
-    ("What risk causes another risk?", "find_risk_chains", None, "ENTITY,RISK"),
-    ("What does the Harbour Lease amend?", "find_amendments", "Harbour Lease", "ENTITY,LINEAGE"),
-    ("Show the section headings", "find_sections", None, "ENTITY,HIERARCHY"),
-    ("List everything", "list_contracts", None, "ENTITY"),
+    ("Which parties signed '{}'?", "find_parties", True, "ENTITY"),
+    ("Is anyone indemnified under '{}'?", "find_indemnification", True, "ENTITY"),
+    ("Which agreements lack an indemnity clause?", "find_missing_indemnity", False, "ENTITY"),
+    ("What risk causes another risk?", "find_risk_chains", False, "ENTITY,RISK"),
+    ("What does '{}' amend?", "find_amendments", True, "ENTITY,LINEAGE"),
+    ("Show the section headings of '{}'", "find_sections", True, "ENTITY,HIERARCHY"),
+    ("List everything", "list_contracts", False, "ENTITY"),
 ]
 
 
-def _asked_sql(k: int) -> str:
-    text = lambda x: "CAST(NULL AS VARCHAR)" if x is None else "'" + x.replace("'", "''") + "'"
-    return " UNION ALL ".join(f"SELECT {text(q)} AS question, " + (f"{text(i)} AS intent, {text(n)} AS name" if k == 9 else f"{text(g)} AS graphs") for q, i, n, g in ASKED)
+def _case(values) -> str:
+    return "CASE c_custkey % 7 " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+QUESTION = _case(f"replace({_text(q)}, '{{}}', c_name)" for q, *_ in ASKED)
+
+
+def _of_questions(df: DataFrame, schema: str, answer) -> DataFrame:
+    """Rows (key, question) with what an answer says of each question, by Arrow batches."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [answer(q) for q in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), *[pa.array([f[k] for f in found], pa.string()) for k in range(len(found[0]) if found else schema.count(" string"))]], names=[x.split()[0] for x in schema.split(", ")])
+
+    return df.mapInArrow(run, schema)
+
+
+def _questions(spark, d) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), F.expr(QUESTION).alias("question"))
 
 
-@R.query("gs_intents", "GS-09", _asked_sql(9))
+@R.query("gs_intents", "GS-09", f"SELECT CAST(c_custkey AS BIGINT) AS c_custkey, {_case(_text(i) for _, i, _, _ in ASKED)} AS intent, {_case('c_name' if n else 'NULL' for _, _, n, _ in ASKED)} AS name FROM customer")
 def _(spark, d):
-    return spark.createDataFrame([(q, *parse_intent(q)) for q, *_ in ASKED], "question string, intent string, name string")
+    """Intents and names of a question about each customer."""
+    return _of_questions(_questions(spark, d), "c_custkey long, intent string, name string", parse_intent)
 
 
-@R.query("gs_routes", "GS-10", _asked_sql(10))
+@R.query("gs_routes", "GS-10", f"SELECT CAST(c_custkey AS BIGINT) AS c_custkey, {_case(_text(g) for *_, g in ASKED)} AS graphs FROM customer")
 def _(spark, d):
-    return spark.createDataFrame([(q, ",".join(route(q))) for q, *_ in ASKED], "question string, graphs string")
+    """The logical graphs that a question about each customer goes to."""
+    return _of_questions(_questions(spark, d), "c_custkey long, graphs string", lambda q: (",".join(route(q)),))
 
 
 QUERIES, ORACLES, COVERS = R.queries, R.oracles, R.covers
