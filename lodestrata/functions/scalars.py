@@ -117,17 +117,22 @@ def flat_object(text: str | None) -> dict:
     return {}
 
 
+def common_length(x: str, y: str) -> int:
+    """The length of the longest common subsequence, a column of bits at a time."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << k
+    every = v = (1 << len(x)) - 1
+    for c in y:
+        u = v & at.get(c, 0)
+        v = (v + u | v - u) & every
+    return len(x) - v.bit_count()
+
+
 def token_sort_ratio(a: str, b: str) -> float:
     """Similarity 0 to 100 of two texts with their words sorted: twice the longest common subsequence by total length."""
     x, y = (" ".join(sorted(s.lower().split())) for s in (a, b))
-    if not x and not y:
-        return 100.0
-    row = [0] * (len(y) + 1)
-    for c in x:
-        last = 0
-        for k, e in enumerate(y, 1):
-            last, row[k] = row[k], last + 1 if c == e else max(row[k], row[k - 1])
-    return 200.0 * row[-1] / (len(x) + len(y))
+    return 200.0 * common_length(x, y) / (len(x) + len(y)) if x or y else 100.0
 
 
 def token_sort(a, b) -> Column:

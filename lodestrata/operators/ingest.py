@@ -163,24 +163,6 @@ def sentiment_features(moments: DataFrame, key: str, kind: Column) -> DataFrame:
     return g.withColumns({"pos_ratio": F.col("pos") / F.nullif(F.col("n"), F.lit(0)), "neg_ratio": F.col("neg") / F.nullif(F.col("n"), F.lit(0)), "net": F.col("pos") - F.col("neg")})
 
 
-def fuzzy_unique(phrases: DataFrame, score: float = 88.0) -> DataFrame:
-    """I-19: (canonical, aliases): phrases in order of position; each joins the first one it is alike to.
-
-    The fold is sequential by nature; exact copies go first in parallel, and what is left must fit one task."""
-    from ..functions.scalars import token_sort_ratio
-
-    once = phrases.groupBy(F.lower(F.trim("phrase")).alias("phrase")).agg(F.min("position").alias("position"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: dict[str, list[str]] = {}
-        for p in pdf.sort_values(["position", "phrase"])["phrase"]:
-            hit = next((c for c in found if token_sort_ratio(c, p) >= score), None)
-            found.setdefault(hit or p, []).append(p) if hit else found.setdefault(p, [])
-        return pd.DataFrame({"canonical": list(found), "aliases": list(found.values())})
-
-    return once.groupBy(F.lit(0).alias("_")).applyInPandas(lambda pdf: run(pdf), "canonical string, aliases array<string>")
-
-
 def cluster_texts(df: DataFrame, key: str, text: str, k: int = 8, features: int = 10_000, grams: int = 3, min_df: int = 2, max_df: float = 0.85, seed: int = 42):
     """I-20, I-23: TF-IDF over word n-grams, unit length, k-means: (assignments, silhouette, top terms by cluster)."""
     from pyspark.ml import Pipeline
@@ -291,11 +273,6 @@ def _(spark, d):
     return assign_themes(o, o.select(F.lower("topic").alias("phrase"), F.col("topic").alias("theme")).distinct())
 
 
-@R.query("in_fuzzy_unique", "I-19")
-def _(spark, d):
-    return fuzzy_unique(table(spark, d, "part").select(F.col("p_name").alias("phrase"), F.col("p_partkey").alias("position"))).select("canonical", F.size("aliases").alias("n"))
-
-
 @R.query("in_cluster_texts", "I-20 I-23 I-24")
 def _(spark, d):
     t = table(spark, d, "documents").select("doc_id", weighted_text({"text": 1, "lang": 3}).alias("text"))
