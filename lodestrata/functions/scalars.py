@@ -178,7 +178,7 @@ R.sql("sc_math", "functions/math", "SELECT p_partkey, CAST(floor(p_size / 10) *
 R.sql("sc_hashes", "functions/hash", "SELECT doc_id, md5(text) AS m, substring(sha2(text, 256), 1, 24) AS s FROM documents", "SELECT doc_id, md5(text) AS m, substring(sha256(text), 1, 24) AS s FROM documents")
 
 
-@R.query("sc_strip_html", "functions/string DML-15 FT-13", "SELECT page_id, length(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS n, md5(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS h FROM pages")
+@R.query("sc_strip_html", "functions/string DML-15", "SELECT page_id, length(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS n, md5(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS h FROM pages")
 def _(spark, d):
     t = strip_html(F.col("html"))
     return table(spark, d, "pages").select("page_id", F.length(t).cast("long").alias("n"), F.md5(t).alias("h"))

@@ -289,7 +289,7 @@ def _rrf_sql(base: int, n: int) -> str:
     return f"WITH {BM}, {LEN}, a AS (SELECT id, {rn} AS rank FROM bm QUALIFY rank < {60 + base}), b AS (SELECT id, {rn} AS rank FROM ov WHERE score > 0 QUALIFY rank < {60 + base}), f AS (SELECT id, sum(1.0 / (60 + rank)) AS score, min(arm * 1000 + rank) AS o FROM (SELECT *, 0 AS arm FROM a UNION ALL SELECT *, 1 FROM b) u GROUP BY id) SELECT id, CAST(round(CAST(score AS DECIMAL(38,12)), 8) AS DOUBLE) AS score FROM f ORDER BY f.score DESC, o LIMIT {n}"
 
 
-@R.query("rrf_hybrid", "R-01 R-04 FT-14", _rrf_sql(0, 10))
+@R.query("rrf_hybrid", "R-01", _rrf_sql(0, 10))
 def _(spark, d):
     return fused_top(_arms(spark, d, 0), "id", 10).select("id", decimal("score", 8).alias("score"))
 
@@ -347,7 +347,7 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", is_analytical(F.col("text")).alias("analytical"))
 
 
-@R.query("rt_retrieve_hybrid", "R-04 R-05 V-06 R-08")
+@R.query("rt_retrieve_hybrid", "R-04 FT-14 V-06")
 def _(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"), F.col("source").alias("title"), "source")
     return Retriever(embed_column(docs, "content", HashEmbedder())).search("the ertion lyer", 10).select("id", "similarity")

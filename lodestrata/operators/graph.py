@@ -464,7 +464,7 @@ def _(spark, d):
     return out.agg(F.count("*").alias("n"), F.count_if(F.col("metadata") == "new").alias("renamed"))
 
 
-@R.query("gs_search_context", "GS-03 GS-05 GS-06", f"WITH {V_SQL}, {E_SQL} SELECT concat(a.name, ' ', e.rel_type, ' ', b.name) AS line FROM e JOIN v a ON a.uuid = e.src JOIN v b ON b.uuid = e.dst WHERE contains(lower(a.name), '12') OR contains(lower(b.name), '12') ORDER BY 1 LIMIT 20")
+@R.query("gs_search_context", "GS-06", f"WITH {V_SQL}, {E_SQL} SELECT concat(a.name, ' ', e.rel_type, ' ', b.name) AS line FROM e JOIN v a ON a.uuid = e.src JOIN v b ON b.uuid = e.dst WHERE contains(lower(a.name), '12') OR contains(lower(b.name), '12') ORDER BY 1 LIMIT 20")
 def _(spark, d):
     return star_graph(spark, d).context("12")
 

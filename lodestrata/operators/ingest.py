@@ -221,7 +221,7 @@ FROM bodies WHERE body <> ''
 """
 
 
-@R.query("in_chunk_window", "I-02 I-25", WINDOW_SQL)
+@R.query("in_chunk_window", "I-02", WINDOW_SQL)
 def _(spark, d):
     return chunk_window(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk_index", "start_char", "end_char", "token_count")
 
@@ -273,7 +273,7 @@ def _(spark, d):
     return assign_themes(o, o.select(F.lower("topic").alias("phrase"), F.col("topic").alias("theme")).distinct())
 
 
-@R.query("in_cluster_texts", "I-20 I-23 I-24")
+@R.query("in_cluster_texts", "I-23 I-24")
 def _(spark, d):
     t = table(spark, d, "documents").select("doc_id", weighted_text({"text": 1, "lang": 3}).alias("text"))
     return cluster_texts(t, "doc_id", "text", k=4, features=500, grams=2)[0]

@@ -233,14 +233,14 @@ def _(spark, d):
     return docs.agg(F.count("*").alias("n")).select(F.lit("docs").alias("t"), "n").unionByName(ch.agg(F.count("*").alias("n")).select(F.lit("labels").alias("t"), "n"))
 
 
-@R.query("dml_update_fields", "DML-11 DML-20", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'BIG' ELSE p_name END AS p_name, CASE WHEN p_size > 25 THEN p_size + 100 ELSE p_size END AS size, CASE WHEN p_size > 25 THEN concat(p_brand, '|new') ELSE p_brand END AS tags FROM part")
+@R.query("dml_update_fields", "DML-11", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'BIG' ELSE p_name END AS p_name, CASE WHEN p_size > 25 THEN p_size + 100 ELSE p_size END AS size, CASE WHEN p_size > 25 THEN concat(p_brand, '|new') ELSE p_brand END AS tags FROM part")
 def _(spark, d):
     p = table(spark, d, "part").withColumn("tags", F.array("p_brand"))
     out = update_fields(p, F.col("p_size") > 25, set={"p_name": "BIG"}, inc={"p_size": 100}, push={"tags": "new"}, unset=["p_type"], rename={"p_size": "size"})
     return out.select("p_partkey", "p_name", "size", F.array_join("tags", "|").alias("tags"))
 
 
-@R.query("dml_buckets", "DML-12 ST-08", "SELECT user_id, CAST(bucket AS BIGINT) AS bucket, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS ids FROM (SELECT *, floor((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) / 5) AS bucket FROM events) t GROUP BY 1, 2")
+@R.query("dml_buckets", "DML-12", "SELECT user_id, CAST(bucket AS BIGINT) AS bucket, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS ids FROM (SELECT *, floor((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) / 5) AS bucket FROM events) t GROUP BY 1, 2")
 def _(spark, d):
     return buckets(table(spark, d, "events"), "user_id", ["ts", "event_id"], 5, "event_id").select("user_id", "bucket", "n", F.array_join(F.col("values").cast("array<string>"), ",").alias("ids"))
 
