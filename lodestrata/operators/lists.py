@@ -131,16 +131,38 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 
 def _valid(df: DataFrame, key: str, vector: str, dim: int | None, metric: str) -> DataFrame:
-    """(key, vector) as double precision; unit vectors for cosine; only those that have a place."""
-    v = F.col(vector).cast("array<double>")
-    sound = F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    d = df.select(F.col(key).alias(key), v.alias("vector")).where(sound & (F.size("vector") == dim) if dim else sound)
-    if metric != "cosine":
-        return d
-    largest = F.array_max(F.transform("vector", F.abs))
-    d = d.where(largest > 0).withColumn("vector", F.transform("vector", lambda x: x / largest))  # no square overflows
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    return d.withColumn("vector", F.transform("vector", lambda x: x / norm))
+    """(key, vector) in double precision, unit vectors for cosine; only those that have a place (dim None: of any dimension)."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            v = b.column(1)
+            sizes = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False)
+            for n in [dim] if dim else np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == n)
+                if not len(at):
+                    continue
+                x = np.asarray(v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, int(n))  # nulls are NaN
+                on = np.isfinite(x).all(1)
+                if metric == "cosine":
+                    largest = np.abs(np.where(np.isfinite(x), x, 0)).max(1)
+                    on &= largest > 0
+                    x = x[on] / largest[on, None]  # no square overflows
+                    x /= np.sqrt((x * x).sum(1))[:, None]
+                else:
+                    x = x[on]
+                at = at[on]
+                for k in range(0, len(at), 4096):
+                    part = x[k : k + 4096]
+                    ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * int(n))
+                    yield pa.record_batch([b.column(0).take(pa.array(at[k : k + 4096])), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))], names=[key, "vector"])
+
+    source = df.select(F.col(key).alias(key), F.col(vector).cast("array<double>").alias("vector"))
+    return source.mapInArrow(run, f"`{key}` {kind}, vector array<double>")
 
 
 def _matrix(column):
