@@ -123,21 +123,63 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def pii_violations(sql: str, columns: list[str], allowed=("count", "max", "min", "sum", "approx_distinct", "approx_count_distinct")) -> list[str]:
-    """PF-19: protected columns that a statement uses outside the allowed aggregates."""
+    """PF-19: protected columns that a statement uses outside the allowed aggregates; a star outside of count names them all."""
     import re
 
     tokens = re.findall(r"'(?:[^']|'')*'|[A-Za-z_][\w.]*|\S", sql)
     stack, bad = [], []
     for k, t in enumerate(tokens):
+        before = tokens[k - 1].lower() if k else ""
         if t == "(":
-            stack.append(tokens[k - 1].lower() if k else "")
+            stack.append(before)
         elif t == ")":
             stack and stack.pop()
+        elif t == "*" and (before in ("select", "distinct", "all", ",") or before.endswith(".")):
+            bad += sorted(columns)
         elif t.rpartition(".")[2].lower() in {c.lower() for c in columns} and not any(f in allowed for f in stack):
             bad.append(t)
     return bad
 
 
+def exposed_columns(spark, sql: str, columns: list[str]) -> list[str]:
+    """PF-19: protected columns that the result of a statement shows as they are, under any name and through any view,
+    alias, star or subquery: what its analyzed plan's output is made of, down to the tables. Aggregates show no value but
+    of the functions that keep one (min, max, first, any_value), which the guard allows."""
+    plan = spark._jsparkSession.sql(sql).queryExecution().analyzed()
+    made: dict[int, set[int]] = {}
+    names: dict[int, str] = {}
+
+    def each(seq):
+        return [seq.apply(k) for k in range(seq.size())]
+
+    def walk(p):
+        for child in each(p.children()):
+            walk(child)
+        if p.nodeName() in ("Project", "Aggregate"):
+            for e in each(p.projectList() if p.nodeName() == "Project" else p.aggregateExpressions()):
+                refs = {a.exprId().id() for a in each(e.references().toSeq())}
+                own = e.exprId().id()
+                if own not in refs:
+                    aggregate = p.nodeName() == "Aggregate" and own not in {a.exprId().id() for g in each(p.groupingExpressions()) for a in each(g.references().toSeq())} and "(" in e.toString()
+                    made[own] = set() if aggregate else refs
+        elif p.nodeName() == "Union":
+            for k, a in enumerate(each(p.output())):
+                made[a.exprId().id()] = made.get(a.exprId().id(), set()) | {each(c.output())[k].exprId().id() for c in each(p.children())} - {a.exprId().id()}
+        elif not p.children().size():
+            for a in each(p.output()):
+                names[a.exprId().id()] = a.name()
+
+    walk(plan)
+    seen, todo = set(), [a.exprId().id() for a in each(plan.output())]
+    while todo:
+        x = todo.pop()
+        if x not in seen:
+            seen.add(x)
+            todo += made.get(x, ())
+    wanted = {c.lower() for c in columns}
+    return sorted({names[x] for x in seen if x in names and names[x].lower() in wanted})
+
+
 @R.query("rw_distinct_on", "A-13", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
 def _(spark, d):
     return distinct_on(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_custkey", "o_orderkey")

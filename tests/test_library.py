@@ -377,3 +377,17 @@ def test_commands_are_refused(spark):
         with pytest.raises(PermissionError):
             check_read_only(spark, sql)
     check_read_only(spark, "WITH a AS (SELECT 1 AS x) SELECT x FROM a")
+
+
+def test_protected_columns(spark):
+    from lodestrata.operators.rewrites import exposed_columns, pii_violations
+
+    spark.createDataFrame([(1, "a", "b")], "c_custkey long, c_name string, c_phone string").createOrReplaceTempView("people")
+    for sql, shown in [
+        ("SELECT * FROM people", ["c_name", "c_phone"]), ("SELECT p.* FROM people p", ["c_name", "c_phone"]), ("SELECT x FROM (SELECT upper(c_name) AS x, c_phone FROM people) t", ["c_name"]),
+        ("SELECT count(c_name) AS n, max(c_phone) AS m FROM people", []), ("SELECT count(*) AS n FROM people", []), ("SELECT c_name AS k, count(*) AS n FROM people GROUP BY c_name", ["c_name"]),
+        ("SELECT c_custkey FROM people UNION ALL SELECT c_custkey FROM people", []), ("WITH q AS (SELECT c_phone AS z FROM people) SELECT z || '!' AS zz FROM q ORDER BY z", ["c_phone"]), ("SELECT c_custkey FROM people WHERE c_name = 'a'", []),
+    ]:
+        assert exposed_columns(spark, sql, ["c_name", "c_phone"]) == shown, sql
+    assert pii_violations("SELECT * FROM people", ["c_name"]) == pii_violations("SELECT DISTINCT p.* FROM people p", ["c_name"]) == ["c_name"]
+    assert pii_violations("SELECT count(*), 2 * 3, max(c_name) FROM people", ["c_name"]) == []
