@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..session import scratch, ship, table
+from .ordered import GlobalOrder
 from .rewrites import decimal, top_per_group
 
 R = Registry()
@@ -230,6 +231,8 @@ def _nearest(dim: int, metric: str, k: int, others: bool):
                 q, x = (np.frombuffer(b.column(c)[i].as_py(), float).reshape(-1, dim) for c in (1, 3))
                 if metric == "cosine":
                     far = 1 - q @ x.T
+                elif metric == "inner":
+                    far = -(q @ x.T)
                 else:
                     far = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T, 0))
                 if others:
@@ -361,6 +364,69 @@ def maintain(index: Lists, every: DataFrame, added: DataFrame, factor: float = 3
     return add_rows(index, added), False
 
 
+# Largest inner products ------------------------------------------------------------------------------------------
+
+#: Blocks of items whose largest norms are sent to all tasks (a number each).
+SENT_BLOCKS = 1 << 20
+
+
+def top_products(users: DataFrame, items: DataFrame, k: int, others: bool = False) -> DataFrame:
+    """V-10: (user, item, score, rank): the exact k items of largest inner product of each user, for rows (user, v), (item, v).
+
+    Items are in order of falling norm, in blocks of at most BLOCK_BYTES. Users first meet the leading block; their k-th
+    score so far over their own norm says up to which block an item may still be better (Cauchy and Schwarz), and they meet
+    the blocks up to there. Vectors without a place score nothing; ties go by item."""
+    import numpy as np
+
+    spark = items.sparkSession
+    ship(spark)
+    usual = _valid(items, "item", "v", None, "inner").groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((users, "user"), (items, "item"))]
+    schema = f"user {kinds[0]}, item {kinds[1]}, score double, rank int"
+    if usual is None or k < 1:
+        return spark.createDataFrame([], schema)
+    dim = usual["dim"]
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    size = max(1, BLOCK_BYTES // (8 * dim))
+    order = GlobalOrder(_valid(items, "item", "v", dim, "inner").withColumn("norm", norm), ["-norm", "item"]).numbered("row")
+    dealt = order.withColumns({"list": F.expr(f"(row - 1) div {size}"), "part": F.lit(0).cast("long")})
+    packed = dealt.groupBy("list", "part").applyInArrow(_pack("item", "vector"), f"list long, part long, keys array<{kinds[1]}>, vectors binary")
+    packed = _written(packed.select("list", "keys", "vectors"), "items")
+    tops = dealt.groupBy("list").agg(F.max("norm").alias("norm")).orderBy("list").limit(SENT_BLOCKS + 1).collect()
+    if len(tops) > SENT_BLOCKS:
+        raise ValueError(f"more than {SENT_BLOCKS} blocks of items: raise BLOCK_BYTES")
+    sent = spark.sparkContext.broadcast(np.array([r["norm"] for r in tops]))
+    own = _written(_valid(users, "user", "v", dim, "inner").withColumn("norm", norm), "users")
+
+    def answer(asked: DataFrame) -> DataFrame:
+        n = asked.groupBy("list").agg(F.count("*").alias("n"))
+        mine = asked.join(n, "list").withColumn("part", F.pmod(F.xxhash64("user"), F.ceil(F.col("n") / QUERY_BLOCK)))
+        mine = mine.groupBy("list", "part").applyInArrow(_pack("user", "vector"), f"list long, part long, keys array<{kinds[0]}>, vectors binary")
+        met = mine.select("list", F.col("keys").alias("queries"), F.col("vectors").alias("asked")).join(packed, "list").select("queries", "asked", "keys", "vectors")
+        found = met.mapInArrow(_nearest(dim, "inner", k, others), f"user {kinds[0]}, item {kinds[1]}, distance double".replace("user", "query").replace("item", "neighbour"))
+        return found.select(F.col("query").alias("user"), F.col("neighbour").alias("item"), (-F.col("distance")).alias("score"))
+
+    first = _written(top_per_group(answer(own.select(F.lit(0).cast("long").alias("list"), "user", "vector")), ["user"], [F.desc("score"), F.asc("item")], k), "best")
+    least = first.where(F.col("rn") == k).select(F.col("user").alias("_u"), F.col("score").alias("least"))
+
+    def reach(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            n, worst = (b.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                bar = np.where(np.isnan(worst), -np.inf, worst * (1 - np.sign(worst) * 1e-9) - 1e-12)
+                bar = np.where(n > 0, bar / n, np.where(bar < 0, -np.inf, np.inf))
+            ends = np.searchsorted(-sent.value, -bar, side="right")  # blocks before hold norms of at least the bar
+            yield pa.record_batch([b.column(0), pa.array(ends.astype(np.int64))], names=["user", "ends"])
+
+    ends = own.join(least, own["user"].eqNullSafe(least["_u"]), "left").select("user", "norm", "least").mapInArrow(reach, f"user {kinds[0]}, ends long")
+    further = own.select(F.col("user").alias("_u"), "vector").join(ends.where("ends > 1"), F.col("_u").eqNullSafe(F.col("user")))
+    further = further.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("ends") - 1)).alias("list"), "user", "vector")
+    every = first.drop("rn").unionByName(answer(further))
+    return top_per_group(every, ["user"], [F.desc("score"), F.asc("item")], k).select("user", "item", "score", F.col("rn").alias("rank"))
+
+
 # Queries ---------------------------------------------------------------------------------------------------------
 
 
@@ -408,4 +474,31 @@ def _(spark, d):
     return out.select("query", "neighbour", decimal("distance", 6).alias("distance"), F.lit(first).alias("rebuilt_first"), F.lit(then).alias("rebuilt_then"))
 
 
+def _customers(spark, d) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "embeddings")
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("user"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
+
+
+PRODUCT_SQL = """best AS (SELECT a.vec_id AS "user", b.vec_id AS item, a.label = b.label AS hit, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+    QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) <= 10)"""
+
+
+@R.query("v_top_products", "V-10", f"WITH {PRODUCT_SQL} SELECT \"user\", item, CAST(round(CAST(score AS DECIMAL(38,12)), 6) AS DOUBLE) AS score FROM best")
+def _(spark, d):
+    """The ten items of largest inner product of every vector whose id 50 divides, among all others."""
+    return top_products(*_customers(spark, d), 10, others=True).select("user", "item", decimal("score", 6).alias("score"))
+
+
+@R.query("v_recall_at_10", "V-10", f"WITH {PRODUCT_SQL}, n AS (SELECT label, count(*) - 1 AS n FROM embeddings GROUP BY 1), u AS (SELECT \"user\", count(*) FILTER (WHERE hit) AS hits FROM best GROUP BY 1) SELECT count(*) AS users, CAST(round(CAST(avg(CASE WHEN n.n > 0 THEN hits * 1.0 / least(10, n.n) END) AS DECIMAL(38,12)), 6) AS DOUBLE) AS recall FROM u JOIN embeddings e ON e.vec_id = u.\"user\" JOIN n ON n.label = e.label")
+def _(spark, d):
+    """Recall@10 where the relevant items of a vector are the others of its label."""
+    e = table(spark, d, "embeddings")
+    best = top_products(*_customers(spark, d), 10, others=True).select("user", "item")
+    label = e.select(F.col("vec_id").alias("item"), F.col("label").alias("item_label"))
+    users = e.select(F.col("vec_id").alias("user"), "label").join(e.groupBy("label").agg((F.count("*") - 1).alias("n")), "label")
+    hits = best.join(label, "item").join(users, "user").groupBy("user", "n").agg(F.count_if(F.col("item_label") == F.col("label")).alias("hits"))
+    return hits.agg(F.count("*").alias("users"), decimal(F.avg(F.try_divide("hits", F.least(F.lit(10), "n"))), 6).alias("recall"))
+
+
 QUERIES, ORACLES, COVERS = R.queries, R.oracles, R.covers

@@ -79,18 +79,6 @@ def coherence(df: DataFrame, group: str, vector: str = "embedding") -> DataFrame
     return length.join(n, group).select(group, "n", mean.alias("coherence"))
 
 
-def top_products(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """V-10: the k items of largest inner product for each user, by blocks of items: (user, item, score).
-
-    Items are dealt to blocks; every user meets each block, keeps that block's k best, and the k best of those."""
-    blocks = 8
-    i = items.withColumn("b", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")).groupBy("b").agg(F.collect_list(F.struct("item", "v")).alias("vs"))
-    u = users.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    scored = F.slice(F.sort_array(F.transform("vs", lambda s: F.struct(dot(F.col("v"), s["v"]).alias("score"), (-s["item"]).alias("o"))), False), 1, k)
-    part = u.join(i, "b").select("user", F.explode(scored).alias("s")).select("user", (-F.col("s.o")).alias("item"), "s.score")
-    return top_per_group(part, ["user"], [F.desc("score"), F.asc("item")], k)
-
-
 Q0 = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
 
 
@@ -147,12 +135,4 @@ def _(spark, d):
     return e.where("prev is not null").select("vec_id", decimal(cosine("embedding", "prev"), 6).alias("s"))
 
 
-@R.query("v_top_products", "V-10", "SELECT a.vec_id AS \"user\", b.vec_id AS item, CAST(round(CAST(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS DECIMAL(38,12)), 6) AS DOUBLE) AS score FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label = 1 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) <= 3")
-def _(spark, d):
-    e = table(spark, d, "embeddings")
-    u = e.where("label = 0").select(F.col("vec_id").alias("user"), F.col("embedding").alias("v"))
-    i = e.where("label = 1").select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
-    return top_products(u, i, 3).select("user", "item", decimal("score", 6).alias("score"))
-
-
 QUERIES, ORACLES, COVERS = R.queries, R.oracles, R.covers

@@ -103,3 +103,29 @@ def test_growth(spark):
     opened = lists.open_lists(spark, more.path, 1)
     assert got(opened.search_exact(asked(df), 7, others=True)) == brute(vectors, range(0, 800, 50), 7, "cosine")
     assert lists.maintain(index, df, df, factor=2)[1]
+
+
+@pytest.mark.parametrize("rows", [1, 7, 100_000])
+def test_largest_inner_products(spark, monkeypatch, rows):
+    """Blocks of one vector, of some, and one for all; norms of all sizes, zero and negative scores, ties and no place."""
+    dim = 5
+    monkeypatch.setattr(lists, "BLOCK_BYTES", 8 * dim * rows)
+    r = np.random.default_rng(6)
+    n = 60 if rows == 1 else 400
+    x = r.normal(size=(n, dim)) * np.exp(r.normal(size=(n, 1)))
+    x[3] = x[9] = x[11]
+    x[5] = 0
+    users = r.normal(size=(30, dim))
+    users[4] = 0
+    users[7] = -abs(users[7])
+    x[20:40] = abs(x[20:40])
+    df = lambda m, c: spark.createDataFrame([(k, [float(z) for z in v]) for k, v in enumerate(m)] + [(900, None), (901, [1.0]), (902, [float("nan")] * dim)], f"{c} long, v array<double>")
+    got = {}
+    for row in lists.top_products(df(users, "user"), df(x, "item"), 6).collect():
+        got.setdefault(row["user"], {})[row["rank"]] = (row["item"], row["score"])
+    assert sorted(got) == list(range(30))
+    for u, found in got.items():
+        s = x @ users[u]
+        want = sorted(range(n), key=lambda j: (-round(s[j], 10), j))[:6]
+        assert [round(found[k + 1][1], 9) for k in range(6)] == [round(s[j], 9) + 0.0 for j in want]
+    assert lists.top_products(df(users, "user"), df(x, "item").limit(0), 6).collect() == []
