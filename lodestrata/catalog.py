@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries; each has QUERIES (name -> function) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ("plans.relational", "operators.rewrites", "operators.ordered", "functions.scalars", "operators.merge", "operators.search", "operators.postings", "operators.vectors", "operators.lists", "operators.fusion", "operators.graph", "operators.medallion", "operators.ingest", "operators.alike", "sources.readers", "plans.meetings", "plans.session_sql", "streaming.changes", "streaming.bounded", "sources.round_trips", "plans.assistants")
+MODULES: tuple[str, ...] = ("plans.relational", "operators.rewrites", "operators.ordered", "functions.scalars", "operators.merge", "operators.search", "operators.postings", "operators.vectors", "operators.lists", "operators.late", "operators.fusion", "operators.graph", "operators.medallion", "operators.ingest", "operators.alike", "sources.readers", "plans.meetings", "plans.session_sql", "streaming.changes", "streaming.bounded", "sources.round_trips", "plans.assistants")
 
 
 def _modules():
