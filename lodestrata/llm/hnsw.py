@@ -3,11 +3,12 @@
 Equal vectors are one class. Classes are dealt to shards by hash; each shard builds a graph: levels by a hash, each
 level a graph of at most M links per node chosen by the usual diversity rule, filled by inserting batches that search
 the graph so far; nodes of the base level that its first node does not reach get a bridge to their nearest reached one.
-A query is a beam search; from every found vector within a margin of the threshold the graph is then walked on, as long
-as more such vectors are found, so a large group needs no wide beam. Each shard audits itself: for samples of its own
-vectors and of other shards' it compares what queries find with brute force over the shard, and widens the beam until
-0.99 of the links are found, and the nearest vector of 0.75 of the queries, most of which have no link (a vector itself
-counts as neither); a beam as wide as the shard reaches all of it, and if even that fails the audit the run fails.
+A query is a beam search; from every found vector within a margin of the threshold the graph is then walked on, along
+links in both directions, as long as more such vectors are found, so a large group needs no wide beam. Each shard audits
+itself: for samples of its own vectors and of other shards' it compares what queries find with brute force over the
+shard, and widens the beam until 0.99 of the links are found, as much of each query's links on average, and the nearest
+vector of 0.75 of the queries, most of which have no link (a vector itself counts as neither); a beam as wide as the
+shard reaches all of it, and if even that fails the audit the run fails.
 
 Graphs are written to the shared folder once. Every class queries every shard: a task holds a block of classes and reads
 one graph after the other. Found pairs are verified by cosine in double precision. A task gives a count of links for
@@ -40,6 +41,25 @@ AUDIT_ROWS = 512
 MARGIN, NEAREST = 0.02, 0.75
 
 
+def _distinct(a):
+    """The values of an array in order; numpy's own function hashes them, which takes longer."""
+    import numpy as np
+
+    a = np.sort(a)
+    return a[np.diff(a, prepend=a[:1] - 1) != 0]
+
+
+def _dots(x, i, y, j):
+    """Inner products of rows i of x and j of y, a thousand at a time, which stay in the processor's cache."""
+    import numpy as np
+
+    out = np.empty(len(i), np.float32)
+    for k in range(0, len(i), 1024):
+        a, b = (v.take(at[k : k + 1024], axis=0, mode="clip") for v, at in ((x, i), (y, j)))
+        np.einsum("nd,nd->n", a, b, out=out[k : k + 1024])
+    return out
+
+
 class Graph:
     """Layered proximity graph over unit vectors (float32)."""
 
@@ -50,6 +70,7 @@ class Graph:
         n = len(x)
         draw = np.random.default_rng(seed).random(n)
         level = np.minimum((-np.log(np.maximum(draw, 1e-12)) / np.log(M)).astype(int), 6)
+        self.close = None
         self.layers = []  # from the top: (nodes, place of a node among them, links)
         upper = None
         for l in range(level.max(initial=0), -1, -1):
@@ -67,7 +88,7 @@ class Graph:
     def __setstate__(self, layers):
         import numpy as np
 
-        self.x, self.layers = None, []
+        self.x, self.close, self.layers = None, None, []
         for nodes, links in layers:
             place = np.full(len(layers[-1][0]), -1, np.int64)
             place[nodes] = np.arange(len(nodes))
@@ -198,47 +219,47 @@ class Graph:
         return found
 
     def _beam(self, layer, q, seeds, ef: int, step: int = 4):
-        """The ef most similar nodes found for each query, in falling order: (places or -1, similarities)."""
+        """The ef most similar nodes found for each query, in falling order: (places or -1, similarities). A found node is a
+        key of 64 bits, in order of similarity: that, the place, and whether the node is still to be opened."""
         import numpy as np
 
         nodes, _, links = layer
-        x, b = self.x, len(q)
-        seen = np.zeros((b, len(nodes)), bool)
-        row = np.arange(b)[:, None]
-        ids = np.full((b, ef), -1, np.int64)
-        sims = np.full((b, ef), -2, np.float32)
-        opened = np.zeros((b, ef), bool)
-        s = min(ef, seeds.shape[1])
-        ids[:, :s] = np.sort(seeds[:, :s], axis=1)
-        ids[:, 1:s][ids[:, 1:s] == ids[:, : s - 1]] = -1
-        sims[:, :s] = np.where(ids[:, :s] >= 0, np.einsum("bmd,bd->bm", x[nodes[np.maximum(ids[:, :s], 0)]], q), -2)
-        seen[row, np.maximum(seeds[:, :s], 0)] = True
-        live = np.arange(b)
-        while len(live):
-            free = np.where(opened[live] | (ids[live] < 0), -3, sims[live])
-            best = np.argsort(-free, axis=1, kind="stable")[:, :step]
-            can = np.take_along_axis(free, best, 1) > -3
-            go = can.any(axis=1)
-            live, best, can = live[go], best[go], can[go]
+        b, n = len(q), len(nodes)
+        x = self.x if n == len(self.x) else self.x[nodes]
+        none = np.iinfo(np.int64).min
+        keys, seen = np.full((b, ef), none), np.zeros(b * n, bool)
+        at = _distinct(((np.arange(b) * n)[:, None] + seeds[:, :ef]).ravel())
+        while True:
+            seen[at] = True
+            r, c = at // n, at % n
+            bits = _dots(x, c, q, r).view(np.int32)
+            new = ((bits ^ ((bits >> 31) & 0x7FFFFFFF)).astype(np.int64) << 32) | (c << 1) | 1
+            on = new > keys[r, 0]
+            r, new = r[on], new[on]
+            if len(r):
+                count = np.bincount(r, minlength=b)
+                own = np.flatnonzero(count)
+                wide = np.full((len(own), count.max()), none)
+                wide[np.arange(count.max()) < count[own, None]] = new
+                wide = np.concatenate([keys[own], wide], axis=1)
+                wide.sort(axis=1)
+                keys[own] = wide[:, -ef:]
+            todo = (keys & 1).astype(bool)
+            live = np.flatnonzero(todo.any(axis=1))
             if not len(live):
                 break
-            opened[live[:, None], best] |= can
-            near = np.where(can[:, :, None], links[np.maximum(ids[live[:, None], best], 0)], -1).reshape(len(live), -1)
-            near.sort(axis=1)
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-            new = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
-            r, c = np.nonzero(new)
-            seen[live[r], near[r, c]] = True
-            got = np.full(near.shape, -2, np.float32)
-            got[r, c] = np.einsum("nd,nd->n", x[nodes[near[r, c]]], q[live[r]])
-            near = np.where(new, near, -1)
-            all_s = np.concatenate([sims[live], got], axis=1)
-            top = np.argpartition(-all_s, ef - 1, axis=1)[:, :ef]
-            sims[live] = np.take_along_axis(all_s, top, 1)
-            ids[live] = np.take_along_axis(np.concatenate([ids[live], near], axis=1), top, 1)
-            opened[live] = np.take_along_axis(np.concatenate([opened[live], np.zeros(near.shape, bool)], axis=1), top, 1)
-        order = np.argsort(-sims, axis=1, kind="stable")
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+            todo = todo[live, ::-1]
+            r, c = np.nonzero(todo & (np.cumsum(todo, axis=1, dtype=np.int32) <= step))
+            r, c = live[r], ef - 1 - c
+            best = keys[r, c]
+            keys[r, c] = best ^ 1
+            near = links[(best & 0xFFFFFFFF) >> 1]
+            at = ((r * n)[:, None] + near)[near >= 0]
+            at = _distinct(at[~seen[at]])
+        keys = keys[:, ::-1]
+        bits = (keys >> 32).astype(np.int32)
+        sims = (bits ^ ((bits >> 31) & 0x7FFFFFFF)).view(np.float32)
+        return np.where(keys > none, (keys & 0xFFFFFFFF) >> 1, -1), np.where(keys > none, sims, np.float32(-2))
 
     def search(self, q, ef: int):
         """(nodes or -1, similarities) of the ef nearest found."""
@@ -252,15 +273,32 @@ class Graph:
         return self._beam(last, q, seeds, max(min(ef, len(last[0])), 1))
 
     def within(self, q, ef: int, low: float, most: int = 1 << 17):
-        """(query, node) of all found at similarity low or more: by a beam, and by walking on from what is found. At most
-        about `most` nodes are opened at a time."""
+        """(query, node) of all found at similarity low or more: by a beam, and by walking on from what is found. About
+        32 * `most` links are followed at a time."""
         return self._walk(q, *self.search(q, ef), low, most)
 
+    def _close(self, low: float):
+        """Links of the base level in either direction, as (starts, ends): those that two vectors may have that a query has
+        both at similarity low or more."""
+        import numpy as np
+
+        if self.close is None or self.close[0] != low:
+            n, links = len(self.x), self.layers[-1][2]
+            bound = np.cos(min(2 * np.arccos(min(max(low, -1), 1)), np.pi)) - 1e-4
+            u, k = np.nonzero(links >= 0)
+            v = links[u, k]
+            on = _dots(self.x, u, self.x, v) >= bound
+            both = _distinct(np.concatenate([u[on] * n + v[on], v[on] * n + u[on]]))
+            self.close = low, np.searchsorted(both, np.arange(n + 1) * n), both % n
+        return self.close[1:]
+
     def _walk(self, q, ids, sims, low: float, most: int = 1 << 17):
+        """A full node drops links to it from its list, so a part of a large group may have links to the rest and none
+        back: the walk follows them in both directions."""
         import numpy as np
 
         q = np.ascontiguousarray(q, dtype=np.float32)
-        n, links = len(self.x), self.layers[-1][2]
+        n, (starts, ends) = len(self.x), self._close(low)
         r, c = np.nonzero((ids >= 0) & (sims >= low))
         c = ids[r, c].astype(np.int64)
         seen, stamp = np.zeros(len(q) * n, bool), np.zeros(len(q) * n, np.int32)
@@ -268,29 +306,28 @@ class Graph:
         found, todo = [(r, c)], [(r, c)]
         while todo:
             r, c = todo.pop()
-            if len(r) > most:
-                todo += [(r[most:], c[most:])]
-                r, c = r[:most], c[:most]
-            near = links[c]
-            k, j = np.nonzero(near >= 0)
-            at = r[k] * n + near[k, j]
+            count = starts[c + 1] - starts[c]
+            upto = np.cumsum(count)
+            fits = max(1, np.searchsorted(upto, 32 * most, "right"))
+            if len(r) > fits:
+                todo.append((r[fits:], c[fits:]))
+                r, c, count, upto = r[:fits], c[:fits], count[:fits], upto[:fits]
+            near = ends[np.repeat(starts[c] - upto + count, count) + np.arange(count.sum())]
+            at = np.repeat(r, count) * n + near
             at = at[~seen[at]]
             stamp[at] = np.arange(len(at), dtype=np.int32)
             at = at[stamp[at] == np.arange(len(at))]
             seen[at] = True
             r, c = at // n, at % n
-            s = np.empty(len(at), np.float32)
-            for k in range(0, len(at), most):
-                s[k : k + most] = np.einsum("nd,nd->n", q[r[k : k + most]], self.x[c[k : k + most]])
-            on = s >= low
+            on = _dots(self.x, c, q, r) >= low
             if on.any():
                 found.append((r[on], c[on]))
                 todo.append((r[on], c[on]))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def audit(self, threshold: float, recall: float, others=None, sample: int = 256, ef: int = 16) -> int:
-        """The beam at which samples of own vectors and others find that share of their links, and NEAREST of the
-        nearest vectors. A vector is not its own neighbour."""
+        """The beam at which samples of own vectors and others find that share of their links, of all and on average of a
+        query's, and NEAREST of the nearest vectors. A vector is not its own neighbour."""
         import numpy as np
 
         n = len(self.x)
@@ -304,18 +341,21 @@ class Graph:
             nearest[k : k + 64] = true.argmax(axis=1)
             links[k : k + 64] = true >= threshold
         best = np.einsum("nd,nd->n", q, self.x[nearest])
+        each = links.sum(axis=1)
+        some = each > 0
         while True:
-            hit, linked = 0, 0
+            hit, linked = 0, np.zeros(len(q), np.int64)
             for k in range(0, len(q), 64):
                 ids, sims = self.search(q[k : k + 64], ef)
                 r, c = self._walk(q[k : k + 64], ids, sims, threshold - MARGIN)
-                linked += links[k : k + 64][r, c].sum()
+                linked[k : k + 64] = np.bincount(r[links[k : k + 64][r, c]], minlength=len(sims))
                 sims = np.where(ids == np.concatenate([pick, np.full(len(q) - len(pick), -9)])[k : k + 64, None], -2, sims)
                 hit += (sims.max(axis=1) >= best[k : k + 64] - 1e-6).sum()
-            if linked >= recall * links.sum() and (n < 2 or hit >= NEAREST * len(q)):
+            enough = linked.sum() >= recall * each.sum() and (linked[some] / each[some]).sum() >= recall * some.sum()
+            if enough and (n < 2 or hit >= NEAREST * len(q)):
                 return ef
             if ef >= n:
-                raise RuntimeError(f"a shard's graph finds {linked} of {links.sum()} links and {hit} of {len(q)} nearest vectors")
+                raise RuntimeError(f"a shard's graph finds {linked.sum()} of {each.sum()} links and {hit} of {len(q)} nearest vectors")
             ef = min(ef * 2, n)
 
 

@@ -129,6 +129,45 @@ def test_audit_of_links(monkeypatch):
         g.audit(0.95, 0.99)
 
 
+def test_audit_sees_small_groups(monkeypatch):
+    """The one link of a query does not vanish among the 200 of another."""
+    monkeypatch.setattr(hnsw, "NEAREST", 0)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(2000, 64))
+    pick = np.random.default_rng(7).choice(2000, 256, replace=False)
+    free = np.setdiff1d(np.arange(2000), pick)
+    x[free[0]] = x[pick[0]] + r.normal(size=64) * 0.1
+    x[free[10:210]] = x[pick[9]] + r.normal(size=(200, 64)) * 0.1
+    g = Lossy((x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32))
+    assert g.audit(0.95, 0.99) == 16
+    g.lost = [pick[0]]
+    assert g.audit(0.95, 0.99) == 32
+
+
+def test_walk_in_both_directions():
+    """A part of a group that has links to the rest and none back is found from the rest."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=16) + r.normal(size=(60, 16)) * 0.05
+    g = hnsw.Graph(x / np.linalg.norm(x, axis=1)[:, None])
+    nodes, place, links = g.layers[-1]
+    g.layers[-1] = nodes, place, np.where((nodes[:, None] >= 10) & (links < 10), -1, links)
+    _, found = g._walk(g.x[30:31], np.array([[30]]), np.ones((1, 1), np.float32), 0.93)
+    assert sorted(found) == np.flatnonzero(g.x @ g.x[30] >= 0.93).tolist() and min(found) < 10
+
+
+def test_large_group_needs_no_wide_beam():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(2500, 64))
+    at = r.permutation(2500)[:100]
+    x[at] = x[at[0]].copy() + r.normal(size=(100, 64)) * 0.16
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    g, q = hnsw.Graph(x[:2000]), x[2000:]
+    links = q @ x[:2000].T >= 0.95
+    a, b = g.within(q, 16, 0.93)
+    assert links.sum() > 1000 and links[a, b].sum() == links.sum()
+    assert g.audit(0.95, 0.99, q) == 16
+
+
 def test_links_of_large_groups(spark):
     """0.99 of the links of brute force and no other, on 20,000 vectors with groups of 2 to 1,500."""
     r = np.random.default_rng(5)
