@@ -68,7 +68,17 @@ R.sql("j_cooccurrence", "J-08", "SELECT a.l_returnflag AS fa, b.l_returnflag AS
 R.sql("j_two_memberships", "J-11", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 R.sql("j_full_outer", "J-12", "SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY 1) a FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) b ON a.k = b.k")
 R.sql("j_lateral_top", "J-13", "SELECT n_name, t.c_custkey, t.c_acctbal FROM nation CROSS JOIN LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 3) t")
-R.sql("j_lateral_latest", "J-14", "SELECT c_custkey, t.o_orderkey FROM customer LEFT JOIN LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) t ON true")
+
+
+@R.query("j_lateral_latest", "J-14", "SELECT c_custkey, t.o_orderkey FROM customer LEFT JOIN LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) t ON true")
+def _(spark, d):
+    """The latest order of each customer. In Spark's own LATERAL the LIMIT takes any row if it orders by a column that the
+    subquery does not return."""
+    latest = F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey"))
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(latest.alias("o_orderkey"))
+    return table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
+
+
 R.sql("j_cross_one_row", "J-16", "SELECT count(*) AS n FROM part CROSS JOIN (SELECT avg(p_retailprice) AS m FROM part) q WHERE p_retailprice > q.m")
 R.sql("j_merge_multi", "J-17", "SELECT s_suppkey, c_custkey FROM supplier LEFT JOIN (SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY' GROUP BY 1) c ON s_nationkey = c_nationkey")
 R.sql("j_fan_out", "J-26", "SELECT c_nationkey, count(o_orderkey) AS o, count(s_suppkey) AS s FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' LEFT JOIN supplier ON s_nationkey = c_nationkey AND s_acctbal > 8000 GROUP BY c_nationkey")
