@@ -84,9 +84,10 @@ def chunk_stride(df: DataFrame, key: str, text: str, stride: int = 1500) -> Data
 
 
 def sentences(c: Column) -> Column:
-    """I-04: split after . ! ?, trimmed, those over ten characters."""
-    parts = F.split(F.regexp_replace(c, r"([.!?])\s+", "$1\n"), "\n")
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) > 10)
+    """I-04: split after . ! ? and white space (RE2's, without the vertical tab), trimmed, those over ten characters."""
+    parts = F.split(F.regexp_replace(c, r"([.!?])[ \t\n\f\r]+", "$1\n"), "\n")
+    # F.trim by itself would also be given an item's place, and trim its digits
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) > 10)
 
 
 def semantic_chunks(text: str, embed, threshold: float = 0.5, least: int = 2, most: int = 15, adaptive: bool = False, min_chars: int = 100, max_chars: int = 2000) -> list[tuple[int, str]]:
@@ -240,7 +241,8 @@ def _(spark, d):
 
 @R.query("in_sentences", "I-04", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))), ' ') AS s FROM documents) t WHERE length(s) > 10 GROUP BY doc_id")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(sentences(F.col("text"))).cast("long").alias("n")).where("n > 0")
+    n = table(spark, d, "documents").select("doc_id", F.size(sentences(F.col("text"))).cast("long").alias("n")).where("n > 0")
+    return n.groupBy("doc_id").agg(F.sum("n").alias("n"))
 
 
 @R.query("in_hash_diff", "I-01", "SELECT CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'deleted' WHEN n.h = o.h THEN 'unchanged' ELSE 'changed' END AS state, count(*) AS n FROM (SELECT doc_id, md5(CASE WHEN doc_id % 9 = 0 THEN 'x' ELSE text END) AS h FROM documents WHERE doc_id % 4 <> 0) n FULL JOIN (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 5 <> 0) o ON n.doc_id = o.doc_id GROUP BY 1")
