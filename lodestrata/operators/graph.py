@@ -16,6 +16,7 @@ from ..functions.scalars import normalize
 from ..plans.registry import Registry, run_sql
 from ..session import table
 from .merge import upsert
+from .rewrites import top_per_group
 
 R = Registry()
 
@@ -222,10 +223,12 @@ def paths(e: DataFrame, rel: str | list, least: int = 1, most: int = 3) -> DataF
     return every.where(F.col("depth") >= least).drop("used")
 
 
-def run_intent(v: DataFrame, e: DataFrame, intent: str, name: str | None = None) -> DataFrame:
-    """G-01 to G-24: (source, target, rel_type, detail), at most 20 rows for a name, else 50."""
+def run_intent(v: DataFrame, e: DataFrame, intent: str, name: str | None = None, bundles: tuple[Bundle, ...] = ()) -> DataFrame:
+    """G-01 to G-24: (source, target, rel_type, detail), at most 20 rows for a name, else 50; bundles: more edges of the
+    pattern's type."""
     p = INTENTS[intent]
     name = name if p.use_name else None
+    most = p.named if name else p.most
     if p.rel is None or p.absent:
         d = absent(v, e, p.src, p.rel, p.dst) if p.absent else v.where(F.col("label") == p.src)
         d = d.select(F.col("name").alias("source"), F.lit(None).cast("string").alias("target"), F.lit(p.rel).alias("rel_type"), F.col("metadata").alias("detail"))
@@ -234,18 +237,67 @@ def run_intent(v: DataFrame, e: DataFrame, intent: str, name: str | None = None)
     if name:
         hit = F.contains("source", F.lit(name))
         d = d.where(hit | F.coalesce(F.contains("target", F.lit(name)), F.lit(False)) if p.either else hit)
-    return d.orderBy("source", "target", "detail").limit(p.named if name else p.most)
+    for b in bundles:
+        order = [F.asc("a_name"), F.asc("b_name"), F.asc("a_metadata")]
+        a, t = b.ends(v, p.src, p.dst)
+        of_a, of_b = (F.contains(c, F.lit(name)) if name else F.lit(True) for c in ("a_name", "b_name"))
+        pairs = first_pairs_where(a, t, of_a, of_b, order, most) if p.either else first_pairs(a.where(of_a), t, order, most)
+        d = d.unionByName(pairs.select(F.col("a_name").alias("source"), F.col("b_name").alias("target"), F.lit(b.rel_type).alias("rel_type"), F.col("a_metadata").alias("detail")))
+    return d.orderBy("source", "target", "detail").limit(most)
 
 
 def answer(v: DataFrame, e: DataFrame, question: str) -> DataFrame:
     return run_intent(v, e, *parse_intent(question))
 
 
+@dataclass(frozen=True)
+class Bundle:
+    """The edges of a type from every source (group, src) to every target (group, dst) of its group, by their ends: as edges
+    they are as many as the product of the two."""
+
+    rel_type: str
+    sources: DataFrame
+    targets: DataFrame
+
+    def ends(self, v: DataFrame, src: str | None = None, dst: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Sources with columns a_*, targets with columns b_*, of these labels."""
+        out = []
+        for df, end, label, x in ((self.sources, "src", src, "a_"), (self.targets, "dst", dst, "b_")):
+            own = v if label is None else v.where(F.col("label") == label)
+            own = own.select(*[F.col(c).alias(x + c) for c in v.columns])
+            out.append(df.join(own, F.col(end) == F.col(f"{x}uuid")).drop(end))
+        return out[0], out[1]
+
+
+def first_pairs(sources: DataFrame, targets: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The n first of all pairs of a source and a target of one group. The order must be, for one source, that of b_name, and
+    what is read of a pair must follow from it. Only each group's n first targets can be among the pairs, and only the n
+    sources that are first with their group's first target: every pair of another source has n before it."""
+    best = top_per_group(targets, ["group"], [F.asc("b_name")], n)
+    leading = sources.join(best.where("rn = 1").drop("rn"), "group").orderBy(*order).limit(n).select(*sources.columns)
+    return leading.join(best.drop("rn"), "group").orderBy(*order).limit(n)
+
+
+def first_pairs_where(sources: DataFrame, targets: DataFrame, a: Column, b: Column, order: list[Column], n: int) -> DataFrame:
+    """The same of the pairs where the condition of the source or that of the target holds, as two products of which one at most
+    has a pair."""
+    a, b = F.coalesce(a, F.lit(False)), F.coalesce(b, F.lit(False))
+    return first_pairs(sources.where(a), targets, order, n).unionByName(first_pairs(sources.where(~a), targets.where(b), order, n))
+
+
 class GraphStore:
-    """GS-01 to GS-08 over the two tables; each change gives a new store."""
+    """GS-01 to GS-08 over the two tables; each change gives a new store. Edges may also be known as bundles: then plain are
+    those of no bundle."""
 
-    def __init__(self, vertices: DataFrame, edges: DataFrame):
-        self.v, self.e = vertices, edges
+    def __init__(self, vertices: DataFrame, edges: DataFrame, plain: DataFrame | None = None, bundles: tuple[Bundle, ...] = ()):
+        self.v, self.e, self.plain, self.bundles = vertices, edges, edges if plain is None else plain, bundles
+
+    def ask(self, intent: str, name: str | None = None) -> DataFrame:
+        """G-01 to G-24: run_intent, of bundles only by pairs that are among its first."""
+        p = INTENTS[intent]
+        if p.rel is None or p.absent:
+            return run_intent(self.v, self.e, intent, name)
+        return run_intent(self.v, self.plain, intent, name, tuple(b for b in self.bundles if b.rel_type == p.rel))
 
     def merge_vertices(self, new: DataFrame) -> GraphStore:
         """Same label, normalised name and document keep their uuid; name and metadata are overwritten; unknown labels
@@ -364,9 +416,10 @@ _C, _D, _S, _P = (f"'{x}', CAST({y} AS STRING)" for x, y in (("c", "c_custkey"),
 _NEXT = "customer WHERE c_custkey % {1} {2} 0 AND c_custkey + {0} IN (SELECT c_custkey FROM customer)"
 _MORE = "supplier WHERE s_suppkey + {0} IN (SELECT s_suppkey FROM supplier)"
 _PARTS = "part WHERE p_partkey % 13 = {0} AND p_partkey + {1} IN (SELECT p_partkey FROM part)"
-E_SQL = "e AS (" + "\nUNION ALL ".join([
+_SIGNED = f"SELECT concat('b', CAST(c_custkey AS STRING), '-', CAST(s_suppkey AS STRING)), concat({_C}), concat({_S}), 'SIGNED_BY' FROM customer JOIN supplier ON c_nationkey = s_nationkey"
+_EDGES = [
     _edge("g", "c_custkey", _C, "'n', CAST(c_nationkey AS STRING)", "'GOVERNED_BY'", "customer WHERE c_custkey % 3 <> 0"),
-    f"SELECT concat('b', CAST(c_custkey AS STRING), '-', CAST(s_suppkey AS STRING)), concat({_C}), concat({_S}), 'SIGNED_BY' FROM customer JOIN supplier ON c_nationkey = s_nationkey",
+    _SIGNED,
     _edge("a", "c_custkey", _C, _D.format(1), "'AMENDS'", _NEXT.format(1, 5, "<>")),
     _edge("u", "c_custkey", _C, _D.format(2), "'SUPERCEDES'", _NEXT.format(2, 3, "=")),
     _edge("r", "c_custkey", _C, _D.format(3), "'REPLACES'", _NEXT.format(3, 4, "=")),
@@ -376,12 +429,17 @@ E_SQL = "e AS (" + "\nUNION ALL ".join([
     _edge("k", "p_partkey", _P, "'p', CAST(p_partkey + 1 AS STRING)", "'HAS_CLAUSE'", _PARTS.format(0, 1)),
     _edge("o", "p_partkey", _P, "'p', CAST(p_partkey + 13 AS STRING)", "'CAUSES'", _PARTS.format(12, 13)),
     f"SELECT concat('w', CAST(p_partkey AS STRING)), concat({_P}), concat({_S}), 'INCREASES_RISK_FOR' FROM part JOIN supplier ON s_suppkey = p_partkey % 10 + 1 WHERE p_partkey % 13 = 12",
-]) + ")"
+]
+E_SQL = "e AS (" + "\nUNION ALL ".join(_EDGES) + ")"
+#: The edges less those between all customers and suppliers of a nation, which are a bundle.
+PLAIN_SQL = "e AS (" + "\nUNION ALL ".join(x for x in _EDGES if x is not _SIGNED) + ")"
 
 
 def star_graph(spark, d) -> GraphStore:
     v = run_sql(spark, d, f"WITH {V_SQL} SELECT * FROM v").withColumns({"normalized_name": normalize(F.col("name")), "document_id": F.lit("star"), "metadata": F.lit("{}")})
-    return GraphStore(v, run_sql(spark, d, f"WITH {V_SQL}, {E_SQL} SELECT * FROM e").withColumns({"document_id": F.lit("star"), "properties": F.lit("{}")}))
+    every, plain = (run_sql(spark, d, f"WITH {V_SQL}, {e} SELECT * FROM e").withColumns({"document_id": F.lit("star"), "properties": F.lit("{}")}) for e in (E_SQL, PLAIN_SQL))
+    signed = [table(spark, d, t).select(F.col(g).alias("group"), F.concat(F.lit(x), F.col(k).cast("string")).alias(end)) for t, g, x, k, end in (("customer", "c_nationkey", "c", "c_custkey", "src"), ("supplier", "s_nationkey", "s", "s_suppkey", "dst"))]
+    return GraphStore(v, every, plain, (Bundle("SIGNED_BY", *signed),))
 
 
 def _intent_sql(p: Pattern, name: str | None) -> str:
@@ -396,8 +454,7 @@ for _intent, _p in INTENTS.items():
     _name = "1" if _intent in ("find_parties", "find_jurisdictions") else None
 
     def _run(spark, d, intent=_intent, name=_name):
-        g = star_graph(spark, d)
-        return run_intent(g.v, g.e, intent, name).select("source", "target")
+        return star_graph(spark, d).ask(intent, name).select("source", "target")
 
     R.query(f"g_{_intent}", "G-" + f"{list(INTENTS).index(_intent) + 1:02d}", _intent_sql(_p, _name))(_run)
 
