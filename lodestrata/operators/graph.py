@@ -336,8 +336,12 @@ class GraphStore:
         return match(self.v, self.e, dst="Contract").where(F.contains(F.lower("a_name"), F.lit(name.lower()))).select(F.col("b_uuid").alias("uuid"), F.col("b_name").alias("name")).distinct()
 
     def context(self, text: str, n: int = 20) -> DataFrame:
-        hit = F.contains(F.lower("a_name"), F.lit(text.lower())) | F.contains(F.lower("b_name"), F.lit(text.lower()))
-        return match(self.v, self.e).where(hit).select(F.concat_ws(" ", "a_name", "r_rel_type", "b_name").alias("line")).orderBy("line").limit(n)
+        a, b = (F.contains(F.lower(c), F.lit(text.lower())) for c in ("a_name", "b_name"))
+        d = match(self.v, self.plain).where(a | b).select(F.concat_ws(" ", "a_name", "r_rel_type", "b_name").alias("line"))
+        for x in self.bundles:
+            line = F.concat_ws(" ", "a_name", F.lit(x.rel_type), "b_name")
+            d = d.unionByName(first_pairs_where(*x.ends(self.v), a, b, [line.asc()], n).select(line.alias("line")))
+        return d.orderBy("line").limit(n)
 
     def stats(self) -> DataFrame:
         a = self.v.groupBy(F.col("label").alias("k")).agg(F.count("*").alias("n")).withColumn("part", F.lit("vertex"))
