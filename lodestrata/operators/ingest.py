@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
-from ..session import table
+from ..session import scratch, ship, table
 from .rewrites import decimal
 
 R = Registry()
@@ -164,30 +166,112 @@ def sentiment_features(moments: DataFrame, key: str, kind: Column) -> DataFrame:
     return g.withColumns({"pos_ratio": F.col("pos") / F.nullif(F.col("n"), F.lit(0)), "neg_ratio": F.col("neg") / F.nullif(F.col("n"), F.lit(0)), "net": F.col("pos") - F.col("neg")})
 
 
+#: Terms that a task counts before it hands them on, and words that are sent to all tasks.
+TERMS, SENT_WORDS = 1 << 18, 1 << 20
+
+
+def _runs(t: list[str], n: int, kept=None) -> list[str]:
+    """The n-grams of words in order, of kept ones if they are given."""
+    if kept is None:
+        return [" ".join(x) for x in zip(*(t[k:] for k in range(n)))]
+    if n == 2:
+        return [f"{a} {b}" for a, b in zip(t, t[1:]) if a in kept and b in kept]
+    on = [w in kept for w in t]
+    return [" ".join(t[k : k + n]) for k in range(len(t) - n + 1) if on[k] and all(on[k : k + n])]
+
+
+def _counted(t: DataFrame, sizes: range, kept=None) -> DataFrame:
+    """(term, n, docs): how often and in how many texts each n-gram of these sizes occurs."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def rows():
+            return pa.record_batch([pa.array(list(n), pa.string()), pa.array(n.values(), pa.int64()), pa.array([docs[x] for x in n], pa.int64())], names=["term", "n", "docs"])
+
+        n, docs, own = Counter(), Counter(), kept.value if kept is not None else None
+        for b in batches:
+            for text in b["t"].to_pylist():
+                words = re.findall("[a-z0-9]+", text)
+                c = Counter(words) if 1 in sizes else Counter()
+                for size in sizes:
+                    if size > 1:
+                        c.update(_runs(words, size, own))
+                n.update(c)
+                docs.update(c.keys())
+                if len(n) >= TERMS:
+                    yield rows()
+                    n.clear(), docs.clear()
+        yield rows()
+
+    return t.select("t").mapInArrow(run, "term string, n long, docs long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def vocabulary(t: DataFrame, rows: int, features: int, grams: int, min_df: int, max_df: float) -> list[tuple[str, int]]:
+    """(term, texts that have it) of the most frequent terms of at least min_df texts and at most so great a share of them, ties by
+    name. An n-gram is no more frequent than its words, so those with a word below the last of so many words are not counted."""
+    fit = (F.col("docs") >= min_df) & (F.col("docs") <= max_df * rows)
+    order = [F.desc("n"), F.asc("term")]
+    path = scratch(t.sparkSession, "words")
+    _counted(t, range(1, 2)).write.parquet(path)
+    words = t.sparkSession.read.parquet(path)
+    least = [r["n"] for r in words.where(fit).orderBy(*order).limit(features).select("n").collect()]
+    often = words.where(F.col("n") >= (least[-1] if least and len(least) == features else 0)).select("term").limit(SENT_WORDS + 1).collect()
+    kept = t.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in often)) if len(often) <= SENT_WORDS else None
+    every = words.unionByName(_counted(t, range(2, grams + 1), kept)) if grams > 1 else words
+    return [(r["term"], r["docs"]) for r in every.where(fit).orderBy(*order).limit(features).collect()]
+
+
+def tfidf(t: DataFrame, key: str, rows: int, vocab: list[tuple[str, int]], grams: int) -> DataFrame:
+    """(key, features): sparse vectors of unit length (zero where no term occurs), of lower-case texts t."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    sent = t.sparkSession.sparkContext.broadcast(({x: k for k, (x, _) in enumerate(vocab)}, [math.log((rows + 1) / (docs + 1)) for _, docs in vocab], frozenset(w for x, _ in vocab if " " in x for w in x.split(" "))))
+    kind = t.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        place, weight, kept = sent.value
+        for b in batches:
+            at, values = [], []
+            for text in b["t"].to_pylist():
+                words = re.findall("[a-z0-9]+", text)
+                c = Counter([place[x] for x in words if x in place])
+                for n in range(2, grams + 1) if kept else ():
+                    c.update([place[x] for x in _runs(words, n, kept) if x in place])
+                at.append(sorted(c))
+                v = [c[k] * weight[k] for k in at[-1]]
+                norm = math.sqrt(sum(x * x for x in v)) or 1.0
+                values.append([x / norm for x in v])
+            yield pa.record_batch([b[key], pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=[key, "at", "values"])
+
+    size = len(vocab)
+    vector = F.udf(lambda at, values: Vectors.sparse(size, at, values), VectorUDT())
+    return t.select(key, "t").mapInArrow(run, f"`{key}` {kind}, at array<int>, values array<double>").select(key, vector("at", "values").alias("features"))
+
+
 def cluster_texts(df: DataFrame, key: str, text: str, k: int = 8, features: int = 10_000, grams: int = 3, min_df: int = 2, max_df: float = 0.85, seed: int = 42):
-    """I-20, I-23: TF-IDF over word n-grams, unit length, k-means: (assignments, silhouette, top terms by cluster)."""
-    from pyspark.ml import Pipeline
+    """I-20, I-23: TF-IDF over word n-grams, unit length, k-means: (assignments, silhouette, top terms by cluster). Vectors are
+    made once and stored."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
-
-    from .search import tokens
 
-    t = df.select(key, tokens(F.col(text)).alias("t"))
-    every = [F.col("t")] + [_grams("t", n) for n in range(2, grams + 1)]
-    t = t.withColumn("g", F.concat(*every))
-    model = Pipeline(stages=[CountVectorizer(inputCol="g", outputCol="tf", vocabSize=features, minDF=min_df, maxDF=max_df), IDF(inputCol="tf", outputCol="ti"), Normalizer(inputCol="ti", outputCol="features"), KMeans(k=k, seed=seed, maxIter=20)]).fit(t)
-    out = model.transform(t)
-    vocab = model.stages[0].vocabulary
-    top = [[vocab[j] for j in sorted(range(len(vocab)), key=lambda j: (-c[j], vocab[j]))[:10]] for c in model.stages[3].clusterCenters()]
+    spark = df.sparkSession
+    ship(spark)
+    t = df.select(key, F.coalesce(F.lower(F.col(text)), F.lit("")).alias("t"))
+    rows = df.count()
+    vocab = vocabulary(t, rows, features, grams, min_df, max_df)
+    path = scratch(spark, "tfidf")
+    tfidf(t, key, rows, vocab, grams).write.parquet(path)
+    stored = spark.read.parquet(path)
+    model = KMeans(k=k, seed=seed, maxIter=20).fit(stored)
+    out = model.transform(stored)
+    names = [x for x, _ in vocab]
+    top = [[names[j] for j in sorted(range(len(names)), key=lambda j: (-c[j], names[j]))[:10]] for c in model.clusterCenters()]
     return out.select(key, F.col("prediction").alias("cluster")), ClusteringEvaluator().evaluate(out), top
 
 
-def _grams(c: str, n: int) -> Column:
-    at = F.sequence(F.lit(1), F.size(c) - (n - 1))
-    return F.when(F.size(c) >= n, F.transform(at, lambda j: F.array_join(F.slice(F.col(c), j, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-
-
 def weighted_text(c: dict[str, int]) -> Column:
     """I-24: columns of text or arrays repeated so many times each, in one text."""
     return F.concat_ws(" ", *[F.col(k) for k, n in c.items() for _ in range(n)])
